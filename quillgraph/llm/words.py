@@ -39,12 +39,12 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray) -> Words:
-    """Words of each text; a word never crosses the border between two texts."""
+def words_of(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Words of each text; a word never crosses the border between two texts. space: the bytes between words."""
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()
