@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact_dedup, language_id, mixing, quality_rules, simhash
+from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, mixing, quality_rules, simhash, toxicity
 from quillgraph.llm.common import table
 
 
@@ -22,6 +22,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op7_simhash, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op7_simhash, op9_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
