@@ -57,18 +57,20 @@ def words_of(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -
     return Words(start, end, np.searchsorted(start, offsets))
 
 
-def word_hashes(words: Words, data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(words.start):
-        return np.zeros(0, np.uint64)
+def word_hashes(words: Words, data: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; about `size` bytes are worked on at a time."""
     length = words.end - words.start
-    total = int(length.sum())
-    begin = np.cumsum(length) - length
-    place = np.arange(total) - np.repeat(begin, length)
-    at = place + np.repeat(words.start, length)
-    value = BYTE_VALUE[data[at]]
-    value *= powers(int(length.max()))[place]
-    out = np.add.reduceat(value, begin)
+    out = np.zeros(len(length), np.uint64)
+    ends, low = np.cumsum(length), 0
+    while low < len(length):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
+        own = length[low:high]
+        begin = np.cumsum(own) - own
+        place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(begin, own)
+        value = BYTE_VALUE[data[place + np.repeat(words.start[low:high], own)]]
+        value *= powers(int(own.max()))[place]
+        out[low:high] = np.add.reduceat(value, begin)
+        low = high
     out += length.astype(np.uint64)
     return mix64(out)
 
