@@ -39,6 +39,9 @@ CHUNK, BUCKET = 200_000, 4_000_000
 LAST = 2**63 - 1
 
 
+PACKED = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "u1"), ("known", "u1")])
+
+
 def window_minima(grams: np.ndarray) -> np.ndarray:
     """Minima of REACH neighbours, by doubling."""
     out, width = grams, 1
@@ -49,30 +52,34 @@ def window_minima(grams: np.ndarray) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, row, first window's start, number of windows) of each segment of a column's texts."""
+def segments_of(column: pa.Array) -> np.ndarray:
+    """The segments of a column's texts: h (minimizer), key (here the row), start, n (windows), and known where
+    windows may repeat within the segment."""
     offsets, data = text_buffers(column)
     words = words_of(offsets, data)
     grams = rolling(word_hashes(words, data), GRAM)
-    if len(grams) < REACH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    minima = window_minima(grams)
     counts = words.counts
     windows = np.maximum(counts - WINDOW + 1, 0)
     row = np.repeat(np.arange(len(counts)), windows)
     if not len(row):
-        return np.zeros(0, np.uint64), row, row, row
+        return np.zeros(0, PACKED)
     place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = minima[words.first[row] + place]
+    at_word = words.first[row] + place
+    value, gram = window_minima(grams)[at_word], grams[at_word]
     new = np.ones(len(row), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     since = np.arange(len(row)) - np.repeat(at, np.diff(np.append(at, len(row))))
     at = np.flatnonzero(since % REACH == 0)
-    return value[at], row[at], place[at], np.diff(np.append(at, len(row)))
+    out = np.zeros(len(at), PACKED)
+    out["h"], out["key"], out["start"], out["n"] = value[at], row[at], place[at], np.diff(np.append(at, len(row)))
+    segment = np.repeat(np.arange(len(at)), out["n"])
+    for shift in range(1, REACH):  # equal windows of one segment begin with equal sequences
+        same = np.flatnonzero(gram[shift:] == gram[:-shift])
+        out["known"][segment[same][segment[same] == segment[same + shift]]] = 1
+    return out
 
 
-PACKED = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "u1"), ("known", "u1")])
 
 
 def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
@@ -85,7 +92,7 @@ def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         all_ = np.concatenate(parts)
         _, first, inverse, total = np.unique(all_["h"], return_index=True, return_inverse=True, return_counts=True)
-        all_["known"] = total[inverse] > 1
+        all_["known"] |= total[inverse] > 1
         bucket = ((all_["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         rest = np.ones(len(all_), bool)
         rest[first] = False
@@ -98,10 +105,8 @@ def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             for part in slices(batch):
-                h, row, start, n = segments_of(part.column("text"))
-                own = np.zeros(len(h), PACKED)
-                own["h"], own["start"], own["n"] = h, start, n
-                own["key"] = part.column("key").to_numpy(zero_copy_only=False)[row]
+                own = segments_of(part.column("text"))
+                own["key"] = part.column("key").to_numpy(zero_copy_only=False)[own["key"]]
                 parts.append(own)
                 held += len(own)
                 if held >= CHUNK:
