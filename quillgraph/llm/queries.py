@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, mixing, quality_rules, simhash, substring_dedup, toxicity
+from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity
 from quillgraph.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op8_line_dedup, op9_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
