@@ -84,9 +84,10 @@ class BKTree:
         self.keys, self.child = keys[order], order + 1
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays of (query number, node) at a distance of at most the radius."""
-        for at in range(0, len(queries), 4096):
-            q = np.arange(at, min(at + 4096, len(queries)))
+        """Arrays of (query number, node) at a distance of at most the radius; few queries at a time in a large tree."""
+        step = max(1, (1 << 18) // max(1, len(self.prints)))
+        for at in range(0, len(queries), step):
+            q = np.arange(at, min(at + step, len(queries)))
             node = np.zeros(len(q), np.int64)
             while len(q):
                 d = np.bitwise_count(queries[q] ^ self.prints[node]).astype(np.int64)
@@ -101,20 +102,17 @@ class BKTree:
 
 def stars(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each fingerprint of a shard the smallest one it is joined to through links within the shard."""
-    tree = BKTree(prints)
-    label = np.arange(len(prints))
-    pairs = [(a[a < b], b[a < b]) for a, b in tree.within(prints, radius)]
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    tree, label = BKTree(prints), np.arange(len(prints))
+    for a, b in tree.within(prints, radius):
+        while True:  # labels are roots; links between different roots hook the larger to the smaller
+            ra, rb = label[a], label[b]
+            open_ = ra != rb
+            if not open_.any():
+                break
+            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+            np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (label[label] != label).any():
+                label = label[label]
     return prints[label]
 
 
