@@ -170,13 +170,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     n_rows = prints.count()
     repeated = written(repeated_fingerprints(prints, n_rows), "repeated")
     classes = written(verified_classes(docs, repeated, n_rows), "classes")
-    # The first row of each group's largest doc_id; repeated rows beyond it go.
-    stays = (
-        prints.join(classes, ["fp", "digest"])
-        .filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("fp", "digest")
-        .agg(F.min("row").alias("stays"))
-    )
+    # The first row of each group's largest doc_id; repeated rows beyond it go. Partial maxima travel, not rows.
+    stays = prints.groupBy("fp", "digest").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("last")).select("fp", "digest", (-F.col("last.row")).alias("stays"))
     found = prints.join(classes.join(stays, ["fp", "digest"]), ["fp", "digest"], "left")
     alone = F.col("group_size").isNull()
     return found.select(
