@@ -2,10 +2,10 @@
 
 1. Windows are grouped by their minimizer: the least hash of the GRAM-word sequences in them. Equal windows
    have equal minimizers, so only windows whose minimizer occurs twice can repeat. Runs of neighbouring
-   windows with one minimizer form a segment, about one for eight words; segments travel packed, and
-   minimizers that are frequent in one task are settled there.
-2. The segments left, with their words, are the reference: equal ones are one entry with its earliest place.
-   They are sharded by minimizer, which keeps equal windows in one shard.
+   windows with one minimizer form a segment, about one for eight words; segments travel packed and without
+   their words, and minimizers that are frequent in one task are settled there.
+2. Of equal segments (by minimizer and a 64-bit digest of the words) the earliest is fetched with its words:
+   these are the reference. It is sharded by minimizer, which keeps equal windows in one shard.
 3. Each shard's suffix automaton is built in order of place, so that a state knows its first end. The
    shard's segments stream through it: while the matched length is at least WINDOW, the state of the last
    WINDOW words tells the window's earliest place. A minimizer with more than SHARD different segments is
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import discard, map_arrow, release, slices, text_buffers, texts, written
-from quillgraph.llm.words import rolling, word_hashes, words_of
+from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 WINDOW, GRAM, SHARD = 20, 6, 400
 REACH = WINDOW - GRAM + 1
@@ -39,7 +39,7 @@ CHUNK, BUCKET = 200_000, 4_000_000
 LAST = 2**63 - 1
 
 
-PACKED = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "u1"), ("known", "u1")])
+PACKED = np.dtype([("h", "<u8"), ("dg", "<u8"), ("dk", "<i8"), ("th", "<i4"), ("start", "<i4"), ("n", "u1"), ("known", "u1")])
 
 
 def window_minima(grams: np.ndarray) -> np.ndarray:
@@ -53,11 +53,12 @@ def window_minima(grams: np.ndarray) -> np.ndarray:
 
 
 def segments_of(column: pa.Array) -> np.ndarray:
-    """The segments of a column's texts: h (minimizer), key (here the row), start, n (windows), and known where
-    windows may repeat within the segment."""
+    """The segments of a column's texts: h (minimizer), dg (digest of the words), dk (here the row), start, n
+    (windows), and known where windows may repeat within the segment."""
     offsets, data = text_buffers(column)
     words = words_of(offsets, data)
-    grams = rolling(word_hashes(words, data), GRAM)
+    hashes = word_hashes(words, data)
+    grams = rolling(hashes, GRAM)
     counts = words.counts
     windows = np.maximum(counts - WINDOW + 1, 0)
     row = np.repeat(np.arange(len(counts)), windows)
@@ -71,17 +72,16 @@ def segments_of(column: pa.Array) -> np.ndarray:
     at = np.flatnonzero(new)
     since = np.arange(len(row)) - np.repeat(at, np.diff(np.append(at, len(row))))
     at = np.flatnonzero(since % REACH == 0)
-    out = np.zeros(len(at), PACKED)
-    out["h"], out["key"], out["start"], out["n"] = value[at], row[at], place[at], np.diff(np.append(at, len(row)))
-    segment = np.repeat(np.arange(len(at)), out["n"])
+    out, n = np.zeros(len(at), PACKED), np.diff(np.append(at, len(row)))
+    out["h"], out["dk"], out["start"], out["n"] = value[at], row[at], place[at], n
+    out["dg"] = range_hashes(hashes, at_word[at], at_word[at] + n + WINDOW - 1)
+    segment = np.repeat(np.arange(len(at)), n)
     for shift in range(1, REACH):  # equal windows of one segment begin with equal sequences
         same = np.flatnonzero(gram[shift:] == gram[:-shift])
         out["known"][segment[same][segment[same] == segment[same + shift]]] = 1
     return out
 
 
-
-
 def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
     """bucket, pack: the segments of all texts, by ranges of their minimizers.
 
@@ -106,7 +106,9 @@ def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 own = segments_of(part.column("text"))
-                own["key"] = part.column("key").to_numpy(zero_copy_only=False)[own["key"]]
+                row = own["dk"].copy()
+                own["dk"] = part.column("dk").to_numpy(zero_copy_only=False)[row]
+                own["th"] = part.column("th").to_numpy(zero_copy_only=False)[row]
                 parts.append(own)
                 held += len(own)
                 if held >= CHUNK:
@@ -115,18 +117,19 @@ def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield pack(parts)
 
-    return rows.select("key", "text").mapInArrow(run, "bucket int, pack binary")
+    return rows.select("dk", "th", "text").mapInArrow(run, "bucket int, pack binary")
 
 
 def repeated_segments(packs: DataFrame, partitions: int) -> DataFrame:
-    """h, key, place (start * 256 + n) of the segments whose minimizer occurs twice or more."""
+    """h, dg, dk, th, start, n of the segments whose minimizer occurs twice or more."""
 
     def settle(packs: list[bytes]) -> pa.RecordBatch:
         all_ = np.frombuffer(b"".join(packs), PACKED)
         _, inverse, total = np.unique(all_["h"], return_inverse=True, return_counts=True)
         own = all_[(all_["known"] > 0) | (total[inverse] > 1)]
-        place = own["start"].astype(np.int64) * 256 + own["n"]
-        return pa.RecordBatch.from_pydict({"h": pa.array(own["h"].astype(np.uint64).view(np.int64)), "key": pa.array(own["key"].copy()), "place": pa.array(place)})
+        wide = {"h": np.uint64, "dg": np.uint64, "dk": np.int64}
+        columns = {c: pa.array(own[c].astype(kind).view(np.int64)) for c, kind in wide.items()}
+        return pa.RecordBatch.from_pydict(columns | {c: pa.array(own[c].astype(np.int32)) for c in ("th", "start", "n")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -140,26 +143,25 @@ def repeated_segments(packs: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return packs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "h long, key long, place long")
+    return packs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "h long, dg long, dk long, th int, start int, n int")
 
 
-def cut_out(row: DataFrame) -> DataFrame:
-    """h, dg, key, dk, start, n, content: each candidate segment with its words; dg digests them."""
+def cut_out(rows: DataFrame) -> DataFrame:
+    """h, dg, dk, start, content: the segments that a document's `found` names, with their words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(7)]
-        columns = [batch.column(c).to_pylist() for c in ("key", "dk", "text", "found")]
-        for key, dk, text, found in zip(*columns, strict=True):
+        out: list[list] = [[] for _ in range(5)]
+        columns = [batch.column(c).to_pylist() for c in ("dk", "text", "found")]
+        for dk, text, found in zip(*columns, strict=True):
             words = (text or "").encode().split()
             for f in found:
-                start, n = f["place"] >> 8, f["place"] & 255
-                content = b" ".join(words[start : start + n + WINDOW - 1])
-                for o, v in zip(out, (f["h"], xxhash.xxh64_intdigest(content) - 2**63, key, dk, start, n, content), strict=True):
+                content = b" ".join(words[f["start"] : f["start"] + f["n"] + WINDOW - 1])
+                for o, v in zip(out, (f["h"], f["dg"], dk, f["start"], content), strict=True):
                     o.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["h", "dg", "key", "dk", "start", "n", "content"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["h", "dg", "dk", "start", "content"])
 
-    return map_arrow(row, run, "h long, dg long, key long, dk long, start int, n int, content binary")
+    return map_arrow(rows, run, "h long, dg long, dk long, start int, content binary")
 
 
 class SuffixAutomaton:
@@ -297,13 +299,12 @@ def windows_of(hot: DataFrame) -> DataFrame:
     return map_arrow(hot.select("h", "dg", "dk", "start", "content"), run, "h long, dg long, j int, part long, dk long, start int, content binary")
 
 
-def earliest_runs(segments: DataFrame, partitions: int, shard: int = SHARD) -> DataFrame:
+def earliest_runs(refs: DataFrame, partitions: int, shard: int = SHARD) -> DataFrame:
     """h, dg, runs: where the windows of each different segment occur first."""
-    first = F.min(F.struct("dk", "start"))
-    refs = written(segments.groupBy("h", "dg").agg(first.alias("at"), F.first("content").alias("content")).select("h", "dg", "at.dk", "at.start", "content"), "reference")
     crowded = refs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("h")
     calm = refs.join(crowded, "h", "left_anti").withColumn("part", F.lit(0).cast("long"))
     single = written(windows_of(refs.join(crowded, "h", "left_semi")), "windows")
+    first = F.min(F.struct("dk", "start"))
     distinct = single.groupBy("h", "part").agg(first.alias("at"), F.first("content").alias("content")).select("h", "part", F.col("part").alias("dg"), "at.dk", "at.start", "content")
     windows = searched(distinct, partitions).select("h", F.col("dg").alias("part"), F.col("runs")[0].alias("run"))
     back = single.select("h", "dg", "j", "part").join(windows, ["h", "part"])
@@ -312,25 +313,29 @@ def earliest_runs(segments: DataFrame, partitions: int, shard: int = SHARD) -> D
 
 
 def marked_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the rows of docs with key and dk; key, dk, ranges: the words to remove of each document that has some)."""
+    """(the rows of docs with dk and th; dk, th, ranges: the words to remove of each document that has some).
+
+    dk orders documents; th, a hash of the text, tells rows that share a doc_id apart.
+    """
     spark = docs.sparkSession
-    text = docs["text"].cast("string")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("dk"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"), text.alias("text"))
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(max(16, size // 8_000_000))
-    found = repeated_segments(packed_segments(rows, int(max(64, size // BUCKET))), partitions)
-    candidates = written(found.groupBy("key").agg(F.collect_set(F.struct("h", "place")).alias("found")), "candidates")
+    found = written(repeated_segments(packed_segments(rows, int(max(64, size // BUCKET))), partitions), "found")
     release(spark)
-    # A document's candidates are as many as its words at most.
-    meet = rows.repartition(partitions, "key").join(candidates.hint("shuffle_hash"), "key")
-    segments = written(cut_out(meet), "segments")
+    # Equal segments are one entry of the reference: the earliest. A document has as many as words at most.
+    entries = found.groupBy("h", "dg").agg(F.min(F.struct("dk", "start", "th", "n")).alias("at")).select("h", "dg", "at.*")
+    wanted = entries.groupBy("dk", "th").agg(F.collect_set(F.struct("h", "dg", "start", "n")).alias("found"))
+    refs = written(cut_out(rows.join(wanted.hint("shuffle_hash"), ["dk", "th"])), "reference")  # repeated rows give entries twice, which does no harm
     release(spark)
-    runs = written(earliest_runs(segments, partitions), "runs")
-    each = segments.drop("content").join(runs, ["h", "dg"]).select("key", "dk", F.col("start").alias("own"), F.explode("runs").alias("run"))
+    runs = written(earliest_runs(refs, partitions), "runs")
+    each = found.join(runs, ["h", "dg"]).select("dk", "th", F.col("start").alias("own"), F.explode("runs").alias("run"))
     later = (F.col("run.dk") < F.col("dk")) | ((F.col("run.dk") == F.col("dk")) & (F.col("run.start") < F.col("own") + F.col("run.from")))
-    ranges = each.filter(later).select("key", "dk", F.struct((F.col("own") + F.col("run.from")).alias("from"), (F.col("own") + F.col("run.from") + F.col("run.n") + WINDOW - 1).alias("to")).alias("range"))
-    marks = written(ranges.groupBy("key", "dk").agg(F.collect_set("range").alias("ranges")), "marks")
-    discard(segments)
+    ranges = each.filter(later).select("dk", "th", F.struct((F.col("own") + F.col("run.from")).alias("from"), (F.col("own") + F.col("run.from") + F.col("run.n") + WINDOW - 1).alias("to")).alias("range"))
+    marks = written(ranges.groupBy("dk", "th").agg(F.collect_set("range").alias("ranges")), "marks")
+    for done in (found, refs, runs):
+        discard(done)
     release(spark)
     return rows, marks
 
@@ -358,5 +363,5 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         return pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
 
-    joined = rows.join(marks.hint("shuffle_hash"), ["key", "dk"], "left").select("doc_id", "text", "ranges")
+    joined = rows.join(marks.hint("shuffle_hash"), ["dk", "th"], "left").select("doc_id", "text", "ranges")
     return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

@@ -85,3 +85,16 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
         out *= MULTIPLIER
         out += hashes[k : k + n]
     return mix64(out)
+
+
+def range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence hashes[start:end], from sums of hash x multiplier**place."""
+    n = len(hashes) + 1
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(hashes * powers(n)[1:n], out=sums[1:])
+    inverse = np.full(n, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    out = (sums[end] - sums[start]) * inverse[start]
+    out += (end - start).astype(np.uint64)
+    return mix64(out)
