@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; only where that is unset a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
+    return f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.lineage import scratch
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
 from quillgraph.streaming import event_log
 
 
-def scratch(g: Graph) -> str:
-    """A new folder in spark.checkpoint.dir; only where that is unset a local one."""
-    base = g.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
-    return f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def st1_idempotent_intake(g: Graph) -> DataFrame:
     """Every event sent twice and taken once, in bounded batches."""
-    at = scratch(g)
+    at = scratch(g.spark)
     doubled = g.table("events").unionAll(g.table("events"))
     doubled.repartition(4).write.parquet(f"{at}/in")
     stream = event_log.read_log(g.spark, f"{at}/in")
