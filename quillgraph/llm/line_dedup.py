@@ -1,9 +1,9 @@
-"""Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
+"""Line dedup: an exact set-similarity join of lines.
 
 A line's tokens are its shingles of five words (of a shorter line the whole line); a line without words
-has none, is never matched and stays. A line goes if an earlier one (by doc_id, null last, then place) has
-the same words or a Jaccard similarity of at least 0.8. Equal lines are joined first, by 128-bit hashes of
-their words. Of the different lines that are left:
+has none, is never matched and stays. A line goes if an earlier one (by doc_id, null last, then place in
+the text) has the same words or a Jaccard similarity of at least 0.8. Equal lines are joined first, by
+128-bit hashes of their words. Of the different lines that are left:
 
 - tokens are ordered by rarity: how often their hash bucket (of BUCKETS) occurs in all lines, then by hash;
 - two similar lines share a token in the first n - ceil(0.8 n) + 1 of each (prefix filter), so tokens that
@@ -15,139 +15,271 @@ Existence of an earlier similar line is what decides, so pairs need not all be m
 meets the earliest line of each of its prefix tokens, which settles groups of near copies; only lines
 that this leaves meet all earlier ones. Token hashes have 43 bits.
 
-Cases: null texts count as empty (one line without words); repeated rows share a doc_id, and their lines
-go by place only, so both keep what either keeps. An empty table gives an empty result. Other columns are
-ignored.
+Words are cut and hashed in numpy, and posts (a token in the prefix of a line) travel packed; joins, filters
+and verification are DataFrame operations. A form without any Python was built first; the README has its
+figures.
+
+Cases: null texts count as empty (one line without words); lines of rows that share a doc_id at the same
+place don't remove each other, so repeated rows are treated alike. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, release, written
+from quillgraph.llm.common import discard, map_arrow, release, slices, text_buffers, written
+from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 80
 BUCKETS, HASH_BITS = 1 << 16, 43
 MOST = (1 << (63 - HASH_BITS)) - 1
 LAST = 2**63 - 1
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def held(value: Column, name: str) -> Column:
-    """The value, computed once: later expressions that use it several times read it from here."""
-    return F.explode(F.array(value)).alias(name)
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """dk, no, w (the words), a and b (a 128-bit hash of them) of every line with a word."""
-    text = docs["text"].cast("string")
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("dk"), text.alias("text"))
-    lines = rows.select("dk", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    words = lines.select("dk", "no", held(F.array_remove(F.split("line", SPACES), ""), "w")).filter(F.size("w") > 0)
-    return words.select("dk", "no", "w", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), F.reverse("w")).alias("b"))
-
-
-def tokens_of(w: Column) -> Column:
-    """The different token hashes of a line's words."""
-    mask = F.lit((1 << HASH_BITS) - 1)
-    shingles = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))).bitwiseAND(mask))
-    whole = F.array(F.xxhash64(w).bitwiseAND(mask))
-    return F.array_distinct(F.when(F.size(w) >= SHINGLE, shingles).otherwise(whole))
+#: Posts that a task packs at a time; bytes of text for each bucket of tokens, about.
+CHUNK, BUCKET = 300_000, 4_000_000
+POST = np.dtype([("p", "<i8"), ("dk", "<i8"), ("th", "<i4"), ("no", "<i4"), ("n", "<i4"), ("place", "<i4"), ("known", "u1")])
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart."""
+    doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
+
+
+class Lines:
+    """The lines with words of a column's texts: row, no, first and last word (exclusive), and tokens of each."""
+
+    def __init__(self, column: pa.Array):
+        offsets, data = text_buffers(column)
+        words = words_of(offsets, data)
+        self.hashes = word_hashes(words, data)
+        row = np.repeat(np.arange(len(offsets) - 1), words.counts)
+        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        no = breaks[words.start] - breaks[offsets[row]] if len(row) else row
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (no[1:] != no[:-1])
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(row))
+        self.row, self.no = row[self.first], no[self.first]
+
+    def identity(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each line's words."""
+        other = self.hashes ^ (self.hashes >> np.uint64(29)) ^ np.uint64(0x5851F42D4C957F2D)
+        return range_hashes(self.hashes, self.first, self.last), range_hashes(other * np.uint64(0x14057B7EF767814F), self.first, self.last)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the line, 43-bit hash) of every shingle, repeats included."""
+        size = self.last - self.first
+        n = np.maximum(size - SHINGLE + 1, 1)
+        line = np.repeat(np.arange(len(size)), n)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + self.first[line]
+        shingles = rolling(self.hashes, SHINGLE)
+        value = shingles[np.minimum(at, max(len(shingles) - 1, 0))] if len(shingles) else np.zeros(len(line), np.uint64)
+        short = size < SHINGLE
+        if short.any():
+            value[short[line]] = range_hashes(self.hashes, self.first[short], self.last[short])
+        return line, (value & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How often each of BUCKETS buckets of token hashes occurs: a table of fixed size, summed on the executors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                total += np.bincount(Lines(part.column("text")).tokens()[1] & (BUCKETS - 1), minlength=BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(seen.astype(np.int32)), "n": pa.array(total[seen])})
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in rows.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = min(r["n"], MOST)
+    return out
 
 
-def least_common(n: Column) -> Column:
+def least_common(n: np.ndarray) -> np.ndarray:
     """The fewest tokens that a line of n shares with any similar line."""
-    return F.ceil(n * PERCENT / 100)
-
-
-def with_tokens(lines: DataFrame, frequency: Column) -> DataFrame:
-    """lines and t: their tokens in order of rarity, as longs of the bucket's count and the hash."""
-    plain = lines.select("dk", "no", "a", "b", held(tokens_of(F.col("w")), "u"))
-    ranked = F.transform("u", lambda t: F.shiftleft(F.get(frequency, (t % BUCKETS).cast("int")), HASH_BITS).bitwiseOR(t))
-    return plain.select("dk", "no", "a", "b", held(F.sort_array(ranked), "t"))
-
-
-def frequencies(lines: DataFrame) -> Column:
-    """An array literal: how often each bucket of token hashes occurs. BUCKETS numbers pass through the driver."""
-    tokens = lines.select(held(tokens_of(F.col("w")), "u")).select(F.explode("u").alias("t"))
-    seen = {r["id"]: r["n"] for r in tokens.groupBy((F.col("t") % BUCKETS).alias("id")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return F.split(F.lit(",".join(str(min(seen.get(i, 0), MOST)) for i in range(BUCKETS))), ",").cast("array<bigint>")  # folded to a constant
-
-
-def similar(n: str, m: str, common: Column) -> Column:
-    """common / (n + m - common) is at least the threshold."""
-    return common * 100 >= (F.col(n) + F.col(m) - common) * PERCENT
-
-
-def verified(pairs: DataFrame, docs: DataFrame, frequency: Column) -> DataFrame:
-    """y_dk, y_no of the later lines of pairs (x_dk, x_no, y_dk, y_no) that are similar."""
-    ends = pairs.select(F.col("x_dk").alias("dk"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_dk").alias("dk"), F.col("y_no").alias("no"))).distinct()
-    wanted = docs.withColumn("__dk", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))).join(ends.select(F.col("dk").alias("__dk")).distinct(), "__dk", "left_semi")
-    sets = with_tokens(lines_of(wanted).join(ends, ["dk", "no"], "left_semi"), frequency).dropDuplicates(["dk", "no"])
-    sets = written(sets.select("dk", "no", "t"), "sets")
-    x, y = (sets.select(F.col("dk").alias(f"{s}_dk"), F.col("no").alias(f"{s}_no"), F.col("t").alias(f"{s}_t"), F.size("t").alias(f"{s}_n")) for s in "xy")
-    both = pairs.select("x_dk", "x_no", "y_dk", "y_no").join(x, ["x_dk", "x_no"]).join(y, ["y_dk", "y_no"])
-    return both.filter(similar("x_n", "y_n", F.size(F.array_intersect("x_t", "y_t")))).select("y_dk", "y_no").distinct()
+    return -(-n * PERCENT // 100)
+
+
+def lines_of(rows: DataFrame, frequency: Broadcast, whole: bool = False) -> DataFrame:
+    """dk, th, no, a, b, n, t of every line with words: t has its tokens in order of rarity, as longs of the
+    bucket's count and the hash; of the prefix only, or whole. Rows that have a column no are single lines."""
+    single = "no" in rows.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines = Lines(batch.column("text"))
+        a, b = lines.identity()
+        line, value = lines.tokens()
+        value |= frequency.value[value & (BUCKETS - 1)] << HASH_BITS
+        order = np.lexsort((value, line))
+        line, value = line[order], value[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+        line, value = line[new], value[new]
+        n = np.bincount(line, minlength=len(lines.row))
+        if not whole:
+            place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            value = value[place < (n - least_common(n) + 1)[line]]
+        kept = n if whole else n - least_common(n) + 1
+        t = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(value))
+        own = {c: pa.array(batch.column(c).to_numpy(zero_copy_only=False)[lines.row]) for c in ("dk", "th")}
+        no = batch.column("no").to_numpy(zero_copy_only=False)[lines.row] if single else lines.no
+        return pa.RecordBatch.from_pydict(own | {"no": pa.array(no.astype(np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(n.astype(np.int32)), "t": t})
+
+    return map_arrow(rows.select("dk", "th", "text", *["no"] * single), run, "dk long, th int, no int, a long, b long, n int, t array<long>")
+
+
+def shared_posts(firsts: DataFrame, buckets: int, partitions: int) -> DataFrame:
+    """p, dk, th, no, n, place of the prefix tokens that two lines or more have.
+
+    Of the posts of one token in a chunk one goes to the token's bucket; the others are known to be shared and go
+    anywhere, so that no token fills a bucket.
+    """
+
+    def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
+        posts = np.concatenate(parts)
+        _, first, inverse, total = np.unique(posts["p"], return_index=True, return_inverse=True, return_counts=True)
+        posts["known"] = total[inverse] > 1
+        bucket = ((posts["p"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        rest = np.ones(len(posts), bool)
+        rest[first] = False
+        bucket[rest] = np.flatnonzero(rest) % buckets
+        order = np.argsort(bucket, kind="stable")
+        ids, cut = np.unique(bucket[order], return_index=True)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([x.tobytes() for x in np.split(posts[order], cut[1:])], pa.binary())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            t = batch.column("t")
+            size = np.diff(t.offsets.to_numpy())
+            own = np.zeros(int(size.sum()), POST)
+            own["p"] = t.flatten().to_numpy()
+            for c in ("dk", "th", "no", "n"):
+                own[c] = np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size)
+            own["place"] = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            parts.append(own)
+            held += len(own)
+            if held >= CHUNK:
+                yield pack(parts)
+                parts, held = [], 0
+        if held:
+            yield pack(parts)
+
+    def settle(packs: list[bytes]) -> pa.RecordBatch:
+        posts = np.frombuffer(b"".join(packs), POST)
+        _, inverse, total = np.unique(posts["p"], return_inverse=True, return_counts=True)
+        own = posts[(posts["known"] > 0) | (total[inverse] > 1)]
+        return pa.RecordBatch.from_pydict({c: pa.array(own[c].astype(np.int64 if c in ("p", "dk") else np.int32)) for c in ("p", "dk", "th", "no", "n", "place")})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, pack_ in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield settle(held)
+                    held = []
+                now = bucket
+                held.append(pack_)
+        if held:
+            yield settle(held)
+
+    packs = firsts.select("dk", "th", "no", "n", "t").mapInArrow(deal, "bucket int, pack binary")
+    return packs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "p long, dk long, th int, no int, n int, place int")
+
+
+def before(a: str, b: str = "") -> Column:
+    """The line with columns named a_ is earlier than the one with columns named b."""
+    return (F.col(f"{a}dk") < F.col(f"{b}dk")) | ((F.col(f"{a}dk") == F.col(f"{b}dk")) & (F.col(f"{a}no") < F.col(f"{b}no")))
+
+
+def fitting(pairs: DataFrame) -> DataFrame:
+    """Length and positional filters, for pairs with x_n, x_place, n and place of the token where they meet."""
+    rest = F.least(F.col("x_n") - F.col("x_place"), F.col("n") - F.col("place"))
+    common = F.ceil((F.col("x_n") + F.col("n")) * PERCENT / (100 + PERCENT))
+    length = (F.col("x_n") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("x_n") * PERCENT)
+    # Tokens before the meeting place may be common too.
+    return pairs.filter(length & (rest + F.least("x_place", "place") >= common))
+
+
+KEY = ("dk", "no", "th")
+
+
+def token_sets(posts: DataFrame, rows: DataFrame, frequency: Broadcast) -> DataFrame:
+    """dk, no, th, t: the whole token set of every line with a shared post. Only these lines are cut again."""
+    wanted = posts.groupBy("dk", "th").agg(F.collect_set("no").alias("nos"))  # a document's lines at most
+    met = rows.join(wanted.hint("shuffle_hash"), ["dk", "th"])
+    cut = F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(F.col("lines"), no).alias("text")))
+    lines = met.select("dk", "th", "nos", F.explode(F.array(F.split("text", "\n"))).alias("lines")).select("dk", "th", F.inline(cut))
+    return lines_of(lines, frequency, whole=True).select(*KEY, "t")  # repeated rows give sets twice, which does no harm
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """dk, no, th of the later lines of pairs (x_dk, x_no, x_th, dk, no, th) that are similar on their whole token sets."""
+    pairs = pairs.select(*(f"x_{c}" for c in KEY), *KEY).distinct()
+    both = pairs.join(sets.withColumnRenamed("t", "y_t"), list(KEY)).join(sets.select(*(F.col(c).alias(f"x_{c}") for c in KEY), F.col("t").alias("x_t")), [f"x_{c}" for c in KEY])
+    common = F.size(F.array_intersect("x_t", "y_t"))
+    return both.filter(common * 100 >= (F.size("x_t") + F.size("y_t") - common) * PERCENT).select(*KEY).distinct()
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """dk, no of every line that an earlier one makes go; near: its words differ from that one's."""
+    """dk, th, no of every line that an earlier one makes go; near: no earlier line has just its words."""
     spark = docs.sparkSession
-    lines = lines_of(docs)
-    frequency = frequencies(lines)
-    n = F.size("t")
-    ranked = with_tokens(lines, frequency).select("dk", "no", "a", "b", n.cast("int").alias("n"), F.slice("t", F.lit(1), (n - least_common(n) + 1).cast("int")).alias("prefix"))
-    firsts = ranked.groupBy("a", "b").agg(F.min(F.struct("dk", "no")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    firsts = written(firsts.select("a", "b", "at.dk", "at.no", "n", "prefix"), "lines")
+    rows = rows_of(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(max(16, size // 8_000_000))
+    frequency = spark.sparkContext.broadcast(frequencies(rows))
+    lines = written(lines_of(rows, frequency), "lines")
+    classes = lines.groupBy("a", "b").agg(F.min(F.struct(*KEY)).alias("at")).select("a", "b", *(F.col(f"at.{c}").alias(f"f_{c}") for c in KEY))
+    classes = written(classes, "classes")
+    same = F.lit(True)
+    for c in KEY:
+        same &= F.col(c) == F.col(f"f_{c}")
+    firsts = lines.join(classes, ["a", "b"]).filter(same)
+    shared = written(shared_posts(firsts, int(max(64, size // BUCKET)), partitions), "posts")
     release(spark)
-
-    posts = firsts.select("dk", "no", "n", F.posexplode("prefix").alias("place", "p"))
-    heads = posts.groupBy("p").agg(F.min(F.struct("dk", "no", "n", "place")).alias("x"), F.count(F.lit(1)).alias("posts")).filter("posts > 1").select("p", "x")
-    shared = written(posts.join(heads, "p"), "posts")  # prefix tokens of two lines or more
+    sets = written(token_sets(shared, rows, frequency), "sets")
     release(spark)
 
-    def fits(x: DataFrame) -> DataFrame:
-        """Length and positional filters, for pairs with x_n, x_place, n and place of the token where they meet."""
-        rest = F.least(F.col("x_n") - F.col("x_place"), F.col("n") - F.col("place"))
-        common = F.ceil((F.col("x_n") + F.col("n")) * PERCENT / (100 + PERCENT))
-        length = (F.col("x_n") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("x_n") * PERCENT)
-        # Tokens before the meeting place, of the line with fewer, may be common too.
-        return x.filter(length & (rest + F.least("x_place", "place") >= common))
-
-    def pairs_of(x: DataFrame) -> DataFrame:
-        return x.select("x_dk", "x_no", F.col("dk").alias("y_dk"), F.col("no").alias("y_no")).distinct()
-
-    to_head = shared.select("dk", "no", "n", "place", "p", F.col("x.dk").alias("x_dk"), F.col("x.no").alias("x_no"), F.col("x.n").alias("x_n"), F.col("x.place").alias("x_place"))
-    to_head = to_head.filter((F.col("x_dk") != F.col("dk")) | (F.col("x_no") != F.col("no")))
-    first_pairs = written(pairs_of(fits(to_head)), "pairs")
-    settled = written(verified(first_pairs, docs, frequency), "settled")
-
-    # What is left meets every earlier line with one of its tokens but the head, which it has met.
-    keys = settled.select(F.col("y_dk").alias("dk"), F.col("y_no").alias("no"))
-    open_ = to_head.join(keys, ["dk", "no"], "left_anti")
-    x = to_head.select("p", F.col("dk").alias("x_dk2"), F.col("no").alias("x_no2"), F.col("n").alias("x_n2"), F.col("place").alias("x_place2"))
-    meet = open_.drop("x_dk", "x_no", "x_n", "x_place").join(x, "p").withColumnsRenamed({"x_dk2": "x_dk", "x_no2": "x_no", "x_n2": "x_n", "x_place2": "x_place"})
-    meet = meet.filter((F.col("x_dk") < F.col("dk")) | ((F.col("x_dk") == F.col("dk")) & (F.col("x_no") < F.col("no"))))
-    more_pairs = written(pairs_of(fits(meet)), "pairs")
-    more = verified(more_pairs, docs, frequency)
-    near = written(settled.unionByName(more).select(F.col("y_dk").alias("dk"), F.col("y_no").alias("no")).distinct(), "near")
-
-    gone = firsts.select("a", "b", "dk", "no").join(near.withColumn("near", F.lit(True)), ["dk", "no"], "left")
-    # A copy of a line goes by the earlier of its equals; the first of them only if it is near an earlier line.
-    found = lines.select("dk", "no", "a", "b").join(gone.select("a", "b", F.col("dk").alias("f_dk"), F.col("no").alias("f_no"), "near"), ["a", "b"])
-    copy = (F.col("dk") != F.col("f_dk")) | (F.col("no") != F.col("f_no"))
-    out = written(found.filter(copy | F.col("near")).select("dk", "no", (~copy).alias("near")).distinct(), "gone")
-    discard(shared)
+    columns = ["dk", "no", "th", "n", "place"]
+    heads = shared.groupBy("p").agg(F.min(F.struct(*columns)).alias("x")).select("p", *(F.col(f"x.{c}").alias(f"x_{c}") for c in columns))
+    to_head = shared.join(heads, "p").filter(before("x_"))
+    settled = written(verified(fitting(to_head), sets), "settled")
+    # What is left meets every earlier line that shares one of its tokens.
+    open_ = shared.join(settled, list(KEY), "left_anti")
+    others = shared.select("p", *(F.col(c).alias(f"x_{c}") for c in columns))
+    met = to_head.select(*(f"x_{c}" for c in KEY), *KEY)
+    more = fitting(open_.join(others, "p").filter(before("x_"))).join(met, [*(f"x_{c}" for c in KEY), *KEY], "left_anti")
+    release(spark)
+    settled_later = written(verified(more, sets), "settled")
+    release(spark)
+    near = settled.unionByName(settled_later).distinct().withColumn("near", F.lit(True))
+
+    # A copy of a line goes by the earliest of its equals; that one only if it is near an earlier line.
+    fate = classes.join(near.select(*(F.col(c).alias(f"f_{c}") for c in KEY), "near"), [f"f_{c}" for c in KEY], "left")
+    found = lines.select(*KEY, "a", "b").join(fate, ["a", "b"])
+    out = written(found.filter(before("f_") | F.col("near")).select("dk", "th", "no", (~before("f_")).alias("near")).distinct(), "gone")
+    for done in (lines, shared, sets):
+        discard(done)
+    release(spark)
     return out
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near (lines that go), kept_sha256 of the lines that stay, joined as they were."""
     gone = duplicate_lines(docs)
-    by_doc = gone.groupBy("dk").agg(F.collect_set("no").alias("gone"), F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("dk"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    both = rows.join(by_doc, "dk", "left").select("doc_id", "gone", "n_equal", "n_near", held(F.split("text", "\n"), "lines"), "text")
-    stay = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
+    by_row = gone.groupBy("dk", "th").agg(F.collect_set("no").alias("gone"), F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"))
+    both = rows_of(docs).join(by_row.hint("shuffle_hash"), ["dk", "th"], "left")
+    lines = F.split("text", "\n")
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_equal", F.lit(0)).cast("long").alias("n_equal"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    none = F.lit(0)
+    return both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_equal", none).cast("long").alias("n_equal"), F.coalesce("n_near", none).cast("long").alias("n_near"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
