@@ -190,7 +190,8 @@ def simhash_components(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     roots = written(components(links(classes.select("fp"), shard)), "roots")
     lows = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("component_id"))
     named = roots.join(lows, "root").select(F.col("node").alias("fp"), "component_id")
-    all_classes = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written, so that the last join deals the documents out anew and a fingerprint that many have can be split among tasks.
+    all_classes = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
     return prints.join(all_classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
