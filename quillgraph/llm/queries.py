@@ -63,4 +63,26 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
         FROM n
     """,
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+        later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1),
+        cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN cut USING (doc_id, i) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        v AS (SELECT doc_id, no, line, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS k, doc_id * 1000000 + no AS pos FROM l),
+        c AS (SELECT k, min(pos) AS first_at FROM v WHERE k <> '' GROUP BY 1),
+        t AS (SELECT DISTINCT k, first_at, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [k] END) AS token FROM (SELECT *, string_split(k, ' ') AS w FROM c)),
+        size AS (SELECT k, count(*) AS n FROM t GROUP BY 1),
+        pairs AS (SELECT y.k, x.k AS x, count(*) AS common FROM t x JOIN t y ON x.token = y.token AND x.first_at < y.first_at GROUP BY 1, 2),
+        near AS (SELECT DISTINCT p.k FROM pairs p JOIN size a ON a.k = p.k JOIN size b ON b.k = p.x WHERE common * 100 >= (a.n + b.n - common) * 80),
+        fate AS (SELECT v.doc_id, v.no, v.line, v.k <> '' AND v.pos <> c.first_at AS copy, v.k <> '' AND v.pos = c.first_at AND near.k IS NOT NULL AS close FROM v LEFT JOIN c USING (k) LEFT JOIN near USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(copy, false)) AS n_equal, count(*) FILTER (coalesce(close, false)) AS n_near,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(copy, false) AND NOT coalesce(close, false)), '')) AS kept_sha256
+        FROM fate GROUP BY 1
+    """,
 }
