@@ -301,7 +301,8 @@ def windows_of(hot: DataFrame) -> DataFrame:
 
 def earliest_runs(refs: DataFrame, partitions: int, shard: int = SHARD) -> DataFrame:
     """h, dg, runs: where the windows of each different segment occur first."""
-    crowded = refs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("h")
+    # Written, so that the joins deal refs out anew and a crowded minimizer's entries can be split among tasks.
+    crowded = written(refs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("h"), "crowded")
     calm = refs.join(crowded, "h", "left_anti").withColumn("part", F.lit(0).cast("long"))
     single = written(windows_of(refs.join(crowded, "h", "left_semi")), "windows")
     first = F.min(F.struct("dk", "start"))
