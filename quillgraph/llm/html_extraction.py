@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import map_arrow, texts
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Fixed values of HTML: elements whose content is never text of the page; void elements; inline elements.
@@ -58,6 +58,7 @@ def names_of(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()  # of the stack's tags
     parts: list[tuple[str, bool]] = []
     at, links = 0, 0
 
@@ -79,6 +80,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         while stack:
             top = stack.pop()[0]
+            open_[top] -= 1
             links -= top == "a"
             if top == tag:
                 break
@@ -98,7 +100,7 @@ def blocks_of(page: str) -> list[Block]:
         if found[1]:
             if tag not in INLINE:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if open_[tag]:
                 pop(tag)
             continue
         if tag == "br":
@@ -118,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             if tag in VOID:
                 continue
-            if tag in BLOCK_CLOSES_P and any(t == "p" for t, _ in stack):
+            if tag in BLOCK_CLOSES_P and open_["p"]:
                 inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in HOLDERS or stack[i][0] == "p")
                 if stack[inner][0] == "p":
                     pop("p")
@@ -133,6 +135,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if not found[3].endswith("/"):
             stack.append((tag, names_of(found[3]) if found[3] else ()))
+            open_[tag] += 1
             links += tag == "a"
     flush()
     return out
