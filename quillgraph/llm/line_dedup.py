@@ -201,13 +201,27 @@ def before(a: str, b: str = "") -> Column:
     return (F.col(f"{a}dk") < F.col(f"{b}dk")) | ((F.col(f"{a}dk") == F.col(f"{b}dk")) & (F.col(f"{a}no") < F.col(f"{b}no")))
 
 
-def fitting(pairs: DataFrame) -> DataFrame:
-    """Length and positional filters, for pairs with x_n, x_place, n and place of the token where they meet."""
+def alike_in_length() -> Column:
+    return (F.col("x_n") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("x_n") * PERCENT)
+
+
+def enough() -> Column:
+    """The fewest common tokens of two similar lines of x_n and n."""
+    return F.ceil((F.col("x_n") + F.col("n")) * PERCENT / (100 + PERCENT))
+
+
+def fitting(met: DataFrame) -> DataFrame:
+    """Length and positional filters, for pairs with x_n, x_place, n and place of one token where they meet."""
     rest = F.least(F.col("x_n") - F.col("x_place"), F.col("n") - F.col("place"))
-    common = F.ceil((F.col("x_n") + F.col("n")) * PERCENT / (100 + PERCENT))
-    length = (F.col("x_n") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("x_n") * PERCENT)
     # Tokens before the meeting place may be common too.
-    return pairs.filter(length & (rest + F.least("x_place", "place") >= common))
+    return met.filter(alike_in_length() & (rest + F.least("x_place", "place") >= enough()))
+
+
+def fitting_in_all(met: DataFrame) -> DataFrame:
+    """The same for pairs that are met at every token that their prefixes share: up to the last one the common tokens
+    are then counted, and only those after it may add to them."""
+    pairs = met.filter(alike_in_length()).groupBy(*(f"x_{c}" for c in KEY), *KEY, "x_n", "n").agg(F.count(F.lit(1)).alias("c"), F.max("x_place").alias("x_last"), F.max("place").alias("last"))
+    return pairs.filter(F.col("c") + F.least(F.col("x_n") - F.col("x_last"), F.col("n") - F.col("last")) - 1 >= enough())
 
 
 KEY = ("dk", "no", "th")
@@ -257,7 +271,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     open_ = shared.join(settled, list(KEY), "left_anti")
     others = shared.select("p", *(F.col(c).alias(f"x_{c}") for c in columns))
     met = to_head.select(*(f"x_{c}" for c in KEY), *KEY)
-    more = fitting(open_.join(others, "p").filter(before("x_"))).join(met, [*(f"x_{c}" for c in KEY), *KEY], "left_anti")
+    more = fitting_in_all(open_.join(others, "p").filter(before("x_"))).join(met, [*(f"x_{c}" for c in KEY), *KEY], "left_anti")
     release(spark)
     settled_later = written(verified(more, sets), "settled")
     release(spark)
