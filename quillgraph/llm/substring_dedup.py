@@ -93,7 +93,8 @@ def packed_segments(rows: DataFrame, buckets: int) -> DataFrame:
         all_ = np.concatenate(parts)
         _, first, inverse, total = np.unique(all_["h"], return_index=True, return_inverse=True, return_counts=True)
         all_["known"] |= total[inverse] > 1
-        bucket = ((all_["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # Minima are small numbers: they are spread before their high bits name the bucket.
+        bucket = ((all_["h"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         rest = np.ones(len(all_), bool)
         rest[first] = False
         bucket[rest] = np.flatnonzero(rest) % buckets
