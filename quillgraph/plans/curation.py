@@ -11,6 +11,9 @@ from quillgraph.operators.upsert import first_written, merged
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
 
+#: A total order of lines, whatever the size of their keys.
+LINE_ORDER = "l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus"
+
 IMPLICATED = """SELECT pathway_id, disease_id, count(DISTINCT compound_id) AS support FROM participates JOIN linked USING (compound_id)
     WHERE compound_id IN (SELECT compound_id FROM participates GROUP BY 1 HAVING count(DISTINCT pathway_id) <= 14) GROUP BY 1, 2 HAVING count(DISTINCT compound_id) >= 2"""
 
@@ -115,20 +118,26 @@ def w1_merge_nodes(g: Graph) -> DataFrame:
 
 @query("""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
           SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey < 20) GROUP BY 1, 2""")
-def w2_association_upsert(g: Graph) -> DataFrame:
+def w2_association_upsert(g: Graph, where: str = "l_suppkey < 20", seq: str = "l_orderkey * 100000 + l_partkey * 10 + l_linenumber") -> DataFrame:
     """Sources and papers gather, their number is the number of studies, the first direction stays."""
-    lines = g.table("lineitem").filter("l_suppkey < 20").join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = g.table("lineitem").filter(where).join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.select(
         F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("taxon_id"),
         F.concat(F.lit("D:"), F.col("o_custkey").cast("string")).alias("disease_id"),
         "l_returnflag",
         "l_orderkey",
         "l_linestatus",
-        (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.expr(seq).alias("seq"),
     )
     return rows.groupBy("taxon_id", "disease_id").agg(joined_set("l_returnflag").alias("sources"), F.countDistinct("l_orderkey").alias("n_studies"), F.min_by("l_linestatus", "seq").alias("direction"))
 
 
+@query(f"""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
+          SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, row({LINE_ORDER}) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
+def w2_association_upsert_full(g: Graph) -> DataFrame:
+    return w2_association_upsert(g, "true", f"struct({LINE_ORDER})")
+
+
 @query(f"SELECT coalesce(o.id, n.id) AS id, coalesce(o.segment, n.segment) AS segment, {STATE} FROM {OLD} o FULL JOIN {NEW} n ON o.id = n.id")
 def w3_fill_null(g: Graph) -> DataFrame:
     return merged(*old_new(g), ["id"], {"segment": "keep"})
@@ -166,13 +175,18 @@ def w9_org_delete(g: Graph) -> DataFrame:
 
 
 @query("SELECT l_orderkey AS sample, l_partkey AS taxon, min_by(l_quantity, l_linenumber * 1000 + l_suppkey) AS abundance FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2")
-def w10_sample_composition(g: Graph) -> DataFrame:
+def w10_sample_composition(g: Graph, where: str = "l_orderkey < 500", seq: str = "l_linenumber * 1000 + l_suppkey") -> DataFrame:
     """Lists of (taxon, abundance) taken apart again: the first entry of each pair is written."""
-    rows = g.table("lineitem").filter("l_orderkey < 500").withColumn("seq", F.col("l_linenumber") * 1000 + F.col("l_suppkey"))
+    rows = g.table("lineitem").filter(where).withColumn("seq", F.expr(seq))
     lists = rows.groupBy(F.col("l_orderkey").alias("sample")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("taxon"), F.col("l_quantity").alias("abundance"), "seq")).alias("items"))
     return first_written(lists.select("sample", F.inline("items")), ["sample", "taxon"], "seq", ["abundance"])
 
 
+@query("SELECT l_orderkey AS sample, l_partkey AS taxon, min_by(l_quantity, row(l_linenumber, l_suppkey, l_quantity)) AS abundance FROM lineitem GROUP BY 1, 2")
+def w10_sample_composition_full(g: Graph) -> DataFrame:
+    return w10_sample_composition(g, "true", "struct(l_linenumber, l_suppkey, l_quantity)")
+
+
 @query("SELECT label, count(*) AS missing FROM nodes WHERE org IS NULL GROUP BY 1")
 def v1_missing_org(g: Graph) -> DataFrame:
     return g.nodes.filter("org IS NULL").groupBy("label").agg(F.count(F.lit(1)).alias("missing"))

@@ -127,3 +127,11 @@ def i15_nested_measurements(g: Graph) -> DataFrame:
     lines = g.table("lineitem").filter("l_orderkey < 100").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("measured"), F.col("l_linenumber").cast("long").alias("place"))).alias("measurements"))
     samples = g.table("orders").filter("o_orderkey < 100").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderstatus").alias("study")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("sample"), "measurements")).alias("samples"))
     return samples.select(F.explode("samples").alias("s")).select("s.sample", F.inline("s.measurements"))
+
+
+@query("SELECT o_orderkey AS sample, l_partkey AS measured, CAST(l_linenumber AS BIGINT) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def i15_nested_measurements_full(g: Graph) -> DataFrame:
+    """All orders, a study for each customer, whose orders bound its nested arrays."""
+    lines = g.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("measured"), F.col("l_linenumber").cast("long").alias("place"))).alias("measurements"))
+    samples = g.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("study")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("sample"), "measurements")).alias("samples"))
+    return samples.select(F.explode("samples").alias("s")).select("s.sample", F.inline("s.measurements"))

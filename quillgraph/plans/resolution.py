@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import ABBREVIATIONS, direction_of, disease_id, first_filled, normal_disease
 from quillgraph.operators import resolve
 from quillgraph.operators.profile import delimited, profile, tag_of
+from quillgraph.plans.curation import LINE_ORDER
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
 
@@ -107,14 +108,19 @@ def e13_compound_id(g: Graph) -> DataFrame:
 
 
 @query("SELECT 'Supplier' AS label, CAST(l_suppkey AS VARCHAR) AS id, arg_max(l_returnflag, seq) AS flag, arg_max(l_quantity, seq) AS quantity FROM (SELECT *, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem) GROUP BY 2 UNION ALL SELECT 'edge', l_suppkey || '>' || l_partkey, arg_min(l_returnflag, seq), NULL FROM (SELECT *, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_suppkey < 5) GROUP BY 2")
-def e14_rows_to_graph(g: Graph) -> DataFrame:
+def e14_rows_to_graph(g: Graph, edges_of: str = "l_suppkey < 5", seq: str = "l_orderkey * 100000 + l_partkey * 10 + l_linenumber") -> DataFrame:
     """Later rows overwrite an entity's properties; the first row of an edge wins."""
-    rows = g.table("lineitem").withColumn("seq", F.col("l_orderkey") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
+    rows = g.table("lineitem").withColumn("seq", F.expr(seq))
     nodes = resolve.entities(rows, F.lit("Supplier"), F.col("l_suppkey"), {"flag": F.col("l_returnflag"), "quantity": F.col("l_quantity")}, "seq")
-    edges = resolve.relations(rows.filter("l_suppkey < 5"), "SUPPLIES", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), "seq")
+    edges = resolve.relations(rows.filter(edges_of), "SUPPLIES", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), "seq")
     return nodes.unionAll(edges.select(F.lit("edge"), F.concat_ws(">", "src", "dst"), "value", F.lit(None).cast("double")))
 
 
+@query(f"WITH l AS (SELECT *, row({LINE_ORDER}) AS seq FROM lineitem) SELECT 'Supplier' AS label, CAST(l_suppkey AS VARCHAR) AS id, arg_max(l_returnflag, seq) AS flag, arg_max(l_quantity, seq) AS quantity FROM l GROUP BY 2 UNION ALL SELECT 'edge', l_suppkey || '>' || l_partkey, arg_min(l_returnflag, seq), NULL FROM l GROUP BY 2")
+def e14_rows_to_graph_full(g: Graph) -> DataFrame:
+    return e14_rows_to_graph(g, "true", f"struct({LINE_ORDER})")
+
+
 @query("""WITH a AS (SELECT p_type AS label, 'A' || p_partkey AS id, unnest([p_brand || ':' || p_size, 'name:' || p_name]) AS token FROM part WHERE p_partkey < 150), b AS (SELECT p_type AS label, 'B' || p_partkey AS id, unnest([p_brand || ':' || p_size, 'name:' || p_name]) AS token FROM part WHERE p_partkey BETWEEN 100 AND 300)
           SELECT a.label, a.id AS a_id, b.id AS b_id, string_agg(DISTINCT token, '|' ORDER BY token) AS shared FROM a JOIN b USING (label, token) WHERE a.id <> b.id GROUP BY 1, 2, 3""")
 def e16_same_as(g: Graph, old: str = "p_partkey < 150", new: str = "p_partkey BETWEEN 100 AND 300") -> DataFrame:
@@ -247,9 +253,14 @@ def i13_predicates(g: Graph) -> DataFrame:
 
 
 @query("SELECT l_suppkey, TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN 'NA' ELSE CAST(l_quantity AS VARCHAR) END AS DOUBLE) AS abundance FROM lineitem WHERE l_orderkey < 200")
-def i14_coercion(g: Graph) -> DataFrame:
+def i14_coercion(g: Graph, where: str = "l_orderkey < 200") -> DataFrame:
     value = F.when(F.col("l_linenumber") % 3 == 0, "NA").otherwise(F.col("l_quantity").cast("string"))
-    return g.table("lineitem").filter("l_orderkey < 200").select("l_suppkey", value.try_cast("double").alias("abundance"))
+    return g.table("lineitem").filter(where).select("l_suppkey", value.try_cast("double").alias("abundance"))
+
+
+@query("SELECT l_suppkey, TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN 'NA' ELSE CAST(l_quantity AS VARCHAR) END AS DOUBLE) AS abundance FROM lineitem")
+def i14_coercion_full(g: Graph) -> DataFrame:
+    return i14_coercion(g, "true")
 
 
 @query("SELECT p_partkey, 'S' || p_size AS site, CASE p_partkey % 3 WHEN 0 THEN 'phosphorylation' WHEN 1 THEN 'acetylation' END AS ptm FROM part WHERE p_partkey % 3 < 2")

@@ -17,12 +17,15 @@ def tables(spark, tmp_path_factory):
 
     part = [(1000, "red bolt", "Brand#1", "PROMO", 5, 900.0), (1002, "hot gear", "Brand#2", "PROMO", 7, 1900.0), (1003, "red bolt", "Brand#1", "ECONOMY", 5, 1900.0), (1004, "red bolt", "Brand#9", "PROMO", 9, 1900.0)]
     write("part", "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", part)
+    lineitem = [(9000, 1000, 50, 1, 5.0, "A", "F"), (9000, 1000, 50, 2, 6.0, "R", "O"), (9001, 1002, 51, 3, 7.0, "N", "O")]
+    write("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string", lineitem)
+    write("orders", "o_orderkey long, o_custkey long, o_orderstatus string", [(9000, 1, "F"), (9001, 2, "O")])
     return at
 
 
 @pytest.fixture(scope="module")
 def found(spark, tables):
-    return lambda name: sorted(tuple(r) for r in QUERIES[name](spark, tables).collect())
+    return lambda name: sorted((tuple(r) for r in QUERIES[name](spark, tables).collect()), key=str)
 
 
 def test_resolution_takes_all_parts(found):
@@ -33,3 +36,11 @@ def test_resolution_takes_all_parts(found):
     assert found("e22_confidence_report_full") == [("resolved", 2), ("unresolved", 2)]
     own = [("PROMO", f"A{k}", f"B{k}", f"{brand}|name:{name}") for k, brand, name in ((1000, "Brand#1:5", "red bolt"), (1002, "Brand#2:7", "hot gear"), (1004, "Brand#9:9", "red bolt"))]
     assert found("e16_same_as_full") == sorted([*own, ("ECONOMY", "A1003", "B1003", "Brand#1:5|name:red bolt"), ("PROMO", "A1000", "B1004", "name:red bolt"), ("PROMO", "A1004", "B1000", "name:red bolt")])
+
+
+def test_lineitem_and_orders_are_taken_whole(found):
+    assert found("w2_association_upsert_full") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:2", "N", 1, "O")]
+    assert found("w10_sample_composition_full") == [(9000, 1000, 5.0), (9001, 1002, 7.0)]
+    assert found("i14_coercion_full") == [(50, 5.0), (50, 6.0), (51, None)]
+    assert found("i15_nested_measurements_full") == [(9000, 1000, 1), (9000, 1000, 2), (9001, 1002, 3)]
+    assert found("e14_rows_to_graph_full") == [("Supplier", "50", "R", 6.0), ("Supplier", "51", "N", 7.0), ("edge", "50>1000", "A", None), ("edge", "51>1002", "N", None)]
