@@ -24,11 +24,16 @@ def d1_implicated_in(g: Graph) -> DataFrame:
 
 
 @query(f"SELECT DISTINCT p.pathway_id, l.disease_id FROM participates p JOIN linked l USING (compound_id) JOIN ({IMPLICATED}) i ON i.pathway_id = p.pathway_id AND i.disease_id = l.disease_id WHERE p.pathway_id IN ('P:1', 'P:2', 'P:3')")
-def d2_stale_cleanup(g: Graph) -> DataFrame:
-    stored = g.participates.filter(F.col("pathway_id").isin("P:1", "P:2", "P:3")).join(g.linked, "compound_id").select("pathway_id", "disease_id").distinct()
+def d2_stale_cleanup(g: Graph, where: str = "pathway_id IN ('P:1', 'P:2', 'P:3')") -> DataFrame:
+    stored = g.participates.filter(where).join(g.linked, "compound_id").select("pathway_id", "disease_id").distinct()
     return curate.without_stale(stored, curate.implicated(g.participates, g.linked, 14, 2), ["pathway_id", "disease_id"])
 
 
+@query(f"SELECT DISTINCT p.pathway_id, l.disease_id FROM participates p JOIN linked l USING (compound_id) JOIN ({IMPLICATED}) i ON i.pathway_id = p.pathway_id AND i.disease_id = l.disease_id")
+def d2_stale_cleanup_full(g: Graph) -> DataFrame:
+    return d2_stale_cleanup(g, "true")
+
+
 @query("SELECT gene_name AS gene, count(*) AS encoded, min(protein_id) AS first_protein FROM protein WHERE gene_name <> '' GROUP BY 1")
 def d3_genes_from_proteins(g: Graph) -> DataFrame:
     return g.protein.filter("gene_name != ''").groupBy(F.col("gene_name").alias("gene")).agg(F.count(F.lit(1)).alias("encoded"), F.min("protein_id").alias("first_protein"))
@@ -71,15 +76,21 @@ def d8_collapse_near_duplicates(g: Graph) -> DataFrame:
 
 @query("""WITH c AS (SELECT n_name, p.p_partkey, CASE WHEN p_size = n_nationkey + 1 THEN 0 WHEN p_brand = 'Brand#' || (n_nationkey + 1) THEN 1 ELSE 2 END AS tier FROM nation JOIN part p ON p_retailprice < 905 AND (p_size = n_nationkey + 1 OR p_brand = 'Brand#' || (n_nationkey + 1)))
           SELECT n_name, min(p_partkey) AS p_partkey, CAST(tier AS INTEGER) AS tier FROM c JOIN (SELECT n_name, min(tier) AS best FROM c GROUP BY 1) b USING (n_name) WHERE tier = best GROUP BY n_name, tier HAVING count(DISTINCT p_partkey) = 1""")
-def d9_curated_resolution(g: Graph) -> DataFrame:
+def d9_curated_resolution(g: Graph, where: str = "p_retailprice < 905") -> DataFrame:
     """The best tier of evidence decides, and only where it names one candidate."""
-    nation, part = g.table("nation"), g.table("part").filter("p_retailprice < 905")
+    nation, part = g.table("nation"), g.table("part").filter(where)
     pins = nation.join(part, F.col("p_size") == F.col("n_nationkey") + 1).withColumn("tier", F.lit(0))
     brands = nation.join(part, F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string"))).withColumn("tier", F.lit(1))
     rows = pins.select("n_name", "p_partkey", "tier").unionAll(brands.select("n_name", "p_partkey", "tier"))
     return curate.best_unique(rows, "n_name", "tier", "p_partkey")
 
 
+@query("""WITH c AS (SELECT n_name, p_partkey, 0 AS tier FROM nation JOIN part ON p_size = n_nationkey + 1 UNION ALL SELECT n_name, p_partkey, 1 FROM nation JOIN part ON p_brand = 'Brand#' || (n_nationkey + 1))
+          SELECT n_name, min(p_partkey) AS p_partkey, CAST(tier AS INTEGER) AS tier FROM c JOIN (SELECT n_name, min(tier) AS best FROM c GROUP BY 1) b USING (n_name) WHERE tier = best GROUP BY n_name, tier HAVING count(DISTINCT p_partkey) = 1""")
+def d9_curated_resolution_full(g: Graph) -> DataFrame:
+    return d9_curated_resolution(g, "true")
+
+
 @query("SELECT disease_id, coalesce(doid, CASE WHEN category = 'BUILDING' THEN 'curated' ELSE 'legacy' END) AS source FROM disease")
 def d10_backfill(g: Graph) -> DataFrame:
     return g.disease.select("disease_id", F.coalesce("doid", F.when(F.col("category") == "BUILDING", "curated").otherwise("legacy")).alias("source"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 
 from __spark_entry__ import QUERIES
+from quillgraph.operators.traverse import ancestors
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +22,12 @@ def tables(spark, tmp_path_factory):
     write("part", "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", part)
     lineitem = [(9000, 1000, 50, 1, 5.0, "A", "F"), (9000, 1000, 50, 2, 6.0, "R", "O"), (9001, 1002, 51, 3, 7.0, "N", "O")]
     write("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string", lineitem)
-    write("orders", "o_orderkey long, o_custkey long, o_orderstatus string", [(9000, 1, "F"), (9001, 2, "O")])
+    write("orders", "o_orderkey long, o_custkey long, o_orderstatus string", [(9000, 1, "F"), (9001, 1, "O")])
+    # Suppliers 1 to 5 form one cycle: 1 > 2 > 3 > 4 > 5 > 1; supplier 50 a self-loop.
+    write("supplier", "s_suppkey long, s_name string, s_nationkey int", [(k, f"s{k}", n) for k, n in ((1, 15), (2, 9), (3, 3), (4, 17), (5, 6), (50, 20), (51, 20))])
+    write("nation", "n_nationkey int, n_name string, n_regionkey int", [(k, f"n{k}", k % 5) for k in range(25)])
+    write("region", "r_regionkey int, r_name string", [(k, f"r{k}") for k in range(5)])
+    write("events", "event_id long, ts timestamp, user_id long, event_type string, value double, props string", [(k, datetime(2024, 1, 1, 0, k), 7, "view", 1.0, "{}") for k in range(40)])
     return at
 
 
@@ -39,8 +47,21 @@ def test_resolution_takes_all_parts(found):
 
 
 def test_lineitem_and_orders_are_taken_whole(found):
-    assert found("w2_association_upsert_full") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:2", "N", 1, "O")]
+    assert found("w2_association_upsert_full") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:1", "N", 1, "O")]
     assert found("w10_sample_composition_full") == [(9000, 1000, 5.0), (9001, 1002, 7.0)]
     assert found("i14_coercion_full") == [(50, 5.0), (50, 6.0), (51, None)]
     assert found("i15_nested_measurements_full") == [(9000, 1000, 1), (9000, 1000, 2), (9001, 1002, 3)]
     assert found("e14_rows_to_graph_full") == [("Supplier", "50", "R", 6.0), ("Supplier", "51", "N", 7.0), ("edge", "50>1000", "A", None), ("edge", "51>1002", "N", None)]
+
+
+def test_traversal_and_curation_take_all(found):
+    assert found("g5_artifact_ancestry_full") == sorted([(k, a, k - a, "view") for k in range(40) for a in range(k)], key=str)
+    assert found("g8_cycles_full") == [(1, 5), (10, 1), (2, 5), (3, 5), (4, 5), (5, 5)]
+    assert found("d2_stale_cleanup_full") == [("P:20", "D:1")]
+    assert found("d9_curated_resolution_full") == [("n1", 1002, 1), ("n6", 1002, 0), ("n8", 1004, 0)]
+
+
+def test_ancestors_without_a_depth(spark):
+    parents = spark.createDataFrame([(k, k - 1) for k in range(1, 40)] + [(100, 101), (101, 100)], "child long, parent long")
+    up = ancestors(parents, None)
+    assert up.filter("node = 39").count() == 40 and up.agg({"distance": "max"}).first()[0] == 39
