@@ -143,6 +143,22 @@ def e17_bundle_manifest(g: Graph) -> DataFrame:
     return rows.select("label", "rows", F.sha2("body", 256).alias("sha256"))
 
 
+def row_hash_sql(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+SUMS = " || ':' || ".join(["count(*)", *(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))])
+
+
+@query(f"SELECT part, count(*) AS rows, sha256({SUMS}) AS sha256 FROM (SELECT label AS part, {row_hash_sql('id', 'name', 'org')} AS h FROM nodes UNION ALL SELECT type, {row_hash_sql('src', 'dst')} FROM edges) GROUP BY 1")
+def e17_bundle_manifest_full(g: Graph) -> DataFrame:
+    """Rows and digest of every file of a bundle, one a label and type; the rows of a file have no order."""
+    from quillgraph.sources.sinks import digests, row_hash
+
+    nodes = g.nodes.select(F.col("label").alias("part"), row_hash("id", "name", "org").alias("h"))
+    return digests(nodes.unionAll(g.edges.select("type", row_hash("src", "dst"))))
+
+
 @query("SELECT id, CASE label WHEN 'Taxon' THEN 'OrganismTaxon' WHEN 'Compound' THEN 'ChemicalEntity' WHEN 'Drug' THEN 'ChemicalEntity' ELSE label END AS class FROM nodes")
 def e18_label_remap(g: Graph) -> DataFrame:
     remap = F.create_map(*(F.lit(x) for x in ("Taxon", "OrganismTaxon", "Compound", "ChemicalEntity", "Drug", "ChemicalEntity", "Disease", "Disease", "Pathway", "Pathway", "Protein", "Protein")))

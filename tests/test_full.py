@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from hashlib import sha256
 
 import pytest
 
@@ -26,7 +27,8 @@ def tables(spark, tmp_path_factory):
     # Suppliers 1 to 5 form one cycle: 1 > 2 > 3 > 4 > 5 > 1; supplier 50 a self-loop.
     write("supplier", "s_suppkey long, s_name string, s_nationkey int", [(k, f"s{k}", n) for k, n in ((1, 15), (2, 9), (3, 3), (4, 17), (5, 6), (50, 20), (51, 20))])
     write("nation", "n_nationkey int, n_name string, n_regionkey int", [(k, f"n{k}", k % 5) for k in range(25)])
-    write("region", "r_regionkey int, r_name string", [(k, f"r{k}") for k in range(5)])
+    write("region", "r_regionkey int, r_name string", [(k, f"r{k}" if k else "ASIA") for k in range(5)])
+    write("customer", "c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [(k, f"c{k}", 0, "BUILDING") for k in range(1, 21)])
     write("events", "event_id long, ts timestamp, user_id long, event_type string, value double, props string", [(k, datetime(2024, 1, 1, 0, k), 7, "view", 1.0, "{}") for k in range(40)])
     return at
 
@@ -65,3 +67,22 @@ def test_ancestors_without_a_depth(spark):
     parents = spark.createDataFrame([(k, k - 1) for k in range(1, 40)] + [(100, 101), (101, 100)], "child long, parent long")
     up = ancestors(parents, None)
     assert up.filter("node = 39").count() == 40 and up.agg({"distance": "max"}).first()[0] == 39
+
+
+def test_resolver_index_has_every_node_in_scope(found):
+    rows = found("e10_resolver_index_full")
+    assert [i for label, i in rows if label == "Disease"] == sorted((f"D:{k}" for k in range(1, 21) if k != 17))
+    assert [i for label, i in rows if label == "Taxon"] == ["N:0", "N:10", "N:15", "N:20", "N:5", "R:0", "S:1", "S:50"]
+
+
+def test_manifest_has_every_label_and_type(found):
+    rows = {part: (n, digest) for part, n, digest in found("e17_bundle_manifest_full")}
+    assert set(rows) == {"Taxon", "Disease", "Compound", "Pathway", "Protein", "HAS_PARENT", "ASSOCIATED_WITH_DISEASE", "PRODUCES", "PARTICIPATES_IN"}
+
+    def digest(lines):
+        hashes = [sha256("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in line).encode()).hexdigest() for line in lines]
+        return len(hashes), sha256(":".join(map(str, [len(hashes), *(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes) for i in range(8))])).encode()).hexdigest()
+
+    homes = [(1, 15), (2, 9), (3, 3), (4, 17), (5, 6), (50, 20), (51, 20)]
+    assert rows["HAS_PARENT"] == digest([(f"S:{s}", f"N:{n}") for s, n in homes] + [(f"N:{k}", f"R:{k % 5}") for k in range(25)])
+    assert rows["Disease"] == digest([(f"D:{k}", f"c{k}", None if k == 17 else "ASIA") for k in range(1, 21)])
