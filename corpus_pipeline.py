@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from quillgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, simhash
 from quillgraph.llm.common import table, written
 
 
@@ -29,6 +29,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_of_each(docs)
 
 
+def near_full(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No two documents with a Jaccard similarity of 0.8 or more over shingles of five words stay."""
+    return near_dedup.keep_no_near_copies(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, as often as their source's quota takes them."""
     return mixing.mix(docs)
@@ -40,12 +45,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixture), ("byte-level BPE", tokens)]
+#: The same with a near-dedup that misses no pair.
+FULL_STAGES = [(name, near_full if stage is near else stage) for name, stage in STAGES]
 #: The learned rules, SimHash linking and BPE are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
+
+
+def run_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, FULL_STAGES)

@@ -46,10 +46,10 @@ CHUNK, BUCKET = 300_000, 4_000_000
 POST = np.dtype([("p", "<i8"), ("dk", "<i8"), ("th", "<i4"), ("no", "<i4"), ("n", "<i4"), ("place", "<i4"), ("known", "u1")])
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart."""
+def rows_of(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart; and more columns of docs."""
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"), *more)
 
 
 class Lines:
