@@ -86,3 +86,7 @@ def test_manifest_has_every_label_and_type(found):
     homes = [(1, 15), (2, 9), (3, 3), (4, 17), (5, 6), (50, 20), (51, 20)]
     assert rows["HAS_PARENT"] == digest([(f"S:{s}", f"N:{n}") for s, n in homes] + [(f"N:{k}", f"R:{k % 5}") for k in range(25)])
     assert rows["Disease"] == digest([(f"D:{k}", f"c{k}", None if k == 17 else "ASIA") for k in range(1, 21)])
+
+
+def test_append_only_log_grows_with_the_table(found):
+    assert sorted(event_id for _, event_id in found("t11_append_only_full")) == [18, 21, 24]
