@@ -4,20 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quillgraph-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that is set.
+
+    Only with a local master a folder of this machine takes its place; on a cluster that would lose data.
+    """
+    context = spark.sparkContext
+    already = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (already.get() if already.isDefined() else None)
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_folder()
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; only where that is unset a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
-    return f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/quillgraph/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir; only where that is unset a local folder is taken."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df, computed once and written to the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
