@@ -15,30 +15,41 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.lineage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, one machine) a local folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_already.get() if set_already.isDefined() else tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends here."""
+    """df, written as Parquet to the shared folder and read again: lineage ends here, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """The column with just this name, also where others differ from it in case only."""
+    if sum(c.lower() == name.lower() for c in df.columns) < 2:
+        return df[name]
+    spark, key = df.sparkSession, "spark.sql.caseSensitive"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return df[name]
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote for df, once nothing will read it again."""
     jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc

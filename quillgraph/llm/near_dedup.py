@@ -16,7 +16,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.line_dedup import duplicate_lines, rows_of
+from quillgraph.llm.shingle_join import duplicate_lines, rows_of
 
 
 def keep_no_near_copies(docs: DataFrame) -> DataFrame:

@@ -76,10 +76,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
         v AS (SELECT doc_id, no, line, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS k, doc_id * 1000000 + no AS pos FROM l),
         c AS (SELECT k, min(pos) AS first_at FROM v WHERE k <> '' GROUP BY 1),
-        t AS (SELECT DISTINCT k, first_at, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [k] END) AS token FROM (SELECT *, string_split(k, ' ') AS w FROM c)),
-        size AS (SELECT k, count(*) AS n FROM t GROUP BY 1),
-        pairs AS (SELECT y.k, x.k AS x, count(*) AS common FROM t x JOIN t y ON x.token = y.token AND x.first_at < y.first_at GROUP BY 1, 2),
-        near AS (SELECT DISTINCT p.k FROM pairs p JOIN size a ON a.k = p.k JOIN size b ON b.k = p.x WHERE common * 100 >= (a.n + b.n - common) * 80),
+        t AS (SELECT k, first_at, n, unnest(w) AS token FROM (SELECT k, first_at, w, len(w) AS n FROM (SELECT k, first_at, list_distinct(string_split(k, ' ')) AS w FROM c))),
+        pairs AS (SELECT y.k, count(*) AS common, any_value(x.n) + any_value(y.n) AS total FROM t x JOIN t y ON x.token = y.token AND x.first_at < y.first_at AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4 GROUP BY y.k, x.k),
+        near AS (SELECT DISTINCT k FROM pairs WHERE common * 100 >= (total - common) * 80),
         fate AS (SELECT v.doc_id, v.no, v.line, v.k <> '' AND v.pos <> c.first_at AS copy, v.k <> '' AND v.pos = c.first_at AND near.k IS NOT NULL AS close FROM v LEFT JOIN c USING (k) LEFT JOIN near USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(copy, false)) AS n_equal, count(*) FILTER (coalesce(close, false)) AS n_near,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(copy, false) AND NOT coalesce(close, false)), '')) AS kept_sha256

@@ -110,11 +110,12 @@ def substrings(rows, window=20):
     return sorted(out)
 
 
-def lines(rows):
-    """(doc_id, n_lines, lines that go, sha) of each row: a line goes for an earlier one, by its doc_id and place."""
+def lines(rows, size=1):
+    """(doc_id, n_lines, lines that go, sha) of each row: a line goes for an earlier one, by its doc_id and place.
+    Tokens are runs of `size` words."""
     place = lambda r, k: (r[0] is None, r[0] or 0, k)
     split = lambda line: tuple(x for x in re.split(r"[\x20\x09-\x0D]+", line) if x)
-    tokens = lambda w: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([w])
+    tokens = lambda w: frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or frozenset([w])
     first = {}
     for at, w in sorted((place(r, k), split(line)) for r in rows for k, line in enumerate((r[1] or "").split("\n"))):
         if w:

@@ -13,8 +13,8 @@ def test_near_full_against_brute_force(spark):
     rows = [r[:5] for r in brute.documents(seed=9, n=150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     out = dict(corpus_pipeline.FULL_STAGES)["near dedup"](spark, docs, "")
-    gone = sorted((d, sha) for d, _, n, sha in brute.lines([(r[0], brute.lowered(r[1]).replace("\n", " ")) for r in rows]) if n == 0)
-    stay = sorted((d, sha) for d, _, n, sha in brute.lines([(r.doc_id, brute.lowered(r.text).replace("\n", " ")) for r in out.collect()]))
+    gone = sorted((d, sha) for d, _, n, sha in brute.lines([(r[0], brute.lowered(r[1]).replace("\n", " ")) for r in rows], 5) if n == 0)
+    stay = sorted((d, sha) for d, _, n, sha in brute.lines([(r.doc_id, brute.lowered(r.text).replace("\n", " ")) for r in out.collect()], 5))
     assert out.columns == docs.columns and len(stay) < len(rows) and stay == gone
 
 
