@@ -37,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As written(), in buckets by key, each sorted: joins by the key neither shuffle nor sort it again."""
+    spark = df.sparkSession
+    table, path = f"quillgraph_{name}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(table)
+    out._written_to, out._table = path, table
+    return out
+
+
 def own(df: DataFrame, name: str) -> Column:
     """The column with just this name, also where others differ from it in case only."""
     if sum(c.lower() == name.lower() for c in df.columns) < 2:
@@ -51,7 +66,9 @@ def own(df: DataFrame, name: str) -> Column:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what written() wrote for df, once nothing will read it again."""
+    """Deletes what written() or bucketed() wrote for df, once nothing will read it again."""
+    if hasattr(df, "_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
     path = jvm.org.apache.hadoop.fs.Path(df._written_to)
     path.getFileSystem(context.hadoopConfiguration()).delete(path, True)

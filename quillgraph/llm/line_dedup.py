@@ -30,15 +30,15 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, own, written
+from quillgraph.llm.common import bucketed, discard, own, written
 
 PERCENT = 80
 #: Buckets of token counts: a table of fixed size, which every task gets.
 BUCKETS = 1 << 16
 LAST = 2**63 - 1
 KEY = ("dk", "no", "th")
-POST = (*KEY, "i", "r", "bits", "bits_1", "bits_2", "bits_3")
-#: From so many tokens on a line has parities of 256 bits: the 64 of any two long lines may differ by chance as little.
+POST = (*KEY, "i", "r", "bits", "half")
+#: From so many tokens on a line has parities of 128 bits: the 64 of any two long lines may differ by chance as little.
 LONG = 64
 #: The low bits of a token are those of its hash; the bits above have its rarity.
 LOW = 56
@@ -81,16 +81,16 @@ def rarities(classes: DataFrame) -> Column:
 
 def posts_of(classes: DataFrame) -> DataFrame:
     """p and POST for each prefix token p of each class: its key; i tokens are before p and r from p on; parities of the
-    bits of its tokens: 64, and if it has LONG tokens three quarters of 256, whose fourth the 64 give."""
+    bits of its tokens: 64, and if it has LONG tokens half of 128, whose other half the 64 give."""
     ranks = rarities(classes)
     hashes = F.array_distinct(F.transform(words("line"), lambda w: F.xxhash64(w)))
     ordered = F.transform(hashes, lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1))).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1))))
     lines = classes.select(*KEY, F.sort_array(ordered).alias("t")).withColumn("n", F.size("t"))
     parity = F.expr("aggregate(t, 0L, (all, x) -> all ^ shiftleft(1L, cast(x & 63L as int)))").alias("bits")
-    quarters = (F.when(F.col("n") >= LONG, F.expr(f"aggregate(t, 0L, (all, x) -> all ^ if(x & 192L = {64 * k}L, shiftleft(1L, cast(x & 63L as int)), 0L))")).alias(f"bits_{k}") for k in (1, 2, 3))
+    half = F.expr("aggregate(filter(t, x -> x & 64L = 0L), 0L, (all, x) -> all ^ shiftleft(1L, cast(x & 63L as int)))")
     prefix = F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1).alias("prefix")
     # The parities come before the rows are multiplied; outer, as no filter on the prefix is to be made of the explode.
-    lines = lines.select(*KEY, "n", parity, *quarters, prefix)
+    lines = lines.select(*KEY, "n", parity, F.when(F.col("n") >= LONG, half).alias("half"), prefix)
     return lines.select("*", F.posexplode_outer("prefix").alias("i", "p")).withColumn("r", F.col("n") - F.col("i")).select("p", *POST)
 
 
@@ -108,10 +108,9 @@ def may_be_similar(a: str, b: str = "") -> Column:
     """
     both = F.col(f"{a}i") + F.col(f"{a}r") + F.col(f"{b}i") + F.col(f"{b}r")
     places = (F.least(F.col(f"{a}i"), F.col(f"{b}i")) + F.least(F.col(f"{a}r"), F.col(f"{b}r"))) * (100 + PERCENT) >= both * PERCENT
-    turned = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "bits_1", "bits_2", "bits_3")]
-    last = turned[0].bitwiseXOR(turned[1]).bitwiseXOR(turned[2]).bitwiseXOR(turned[3])
-    few, most = F.bit_count(turned[0]), F.bit_count(turned[1]) + F.bit_count(turned[2]) + F.bit_count(turned[3]) + F.bit_count(last)
-    return places & (F.coalesce(most, few) * (100 + PERCENT) <= both * (100 - PERCENT))
+    bits, half = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "half"))
+    turned = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(bits)), F.bit_count(bits))
+    return places & (turned * (100 + PERCENT) <= both * (100 - PERCENT))
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -141,7 +140,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     posts = posts_of(classes).repartition(partitions, "p")
     heads = posts.groupBy("p").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct(*POST)).alias("x")).filter("lines > 1").select("p", *(F.col(f"x.{c}").alias(f"x_{c}") for c in POST))
     to_head = before("x_") & may_be_similar("x_")
-    shared = written(posts.join(heads, "p").select("p", *POST, *(F.when(to_head, F.col(f"x_{c}")).alias(f"x_{c}") for c in KEY)), "posts")
+    shared = bucketed(posts.join(heads, "p").select("p", *POST, *(F.when(to_head, F.col(f"x_{c}")).alias(f"x_{c}") for c in KEY)), "posts", "p", partitions)
 
     settled = verified(shared.filter("x_dk IS NOT NULL"), classes)
     open_ = shared.join(settled, list(KEY), "left_anti").select("p", *POST)
