@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,8 +57,10 @@ def chained(events: DataFrame, chain: str, order: list[str], event: str) -> Data
 
 
 def broken(entries: DataFrame) -> DataFrame:
-    """chain, seq, reason of the first bad entry of each chain: links by lag, digests recomputed in parallel."""
-    before = F.lag("digest").over(Window.partitionBy("chain").orderBy("seq"))
+    """chain, seq, reason of the first bad entry of each chain: an entry meets the one before it by number, so that a
+    chain of any length is dealt out among tasks."""
+    earlier = entries.select("chain", (F.col("seq") + 1).alias("seq"), F.col("digest").alias("before"))
+    entries, before = entries.join(earlier, ["chain", "seq"], "left"), F.col("before")
     own = F.concat(F.lit("sha256:"), F.sha2(F.concat(F.coalesce("prev", F.lit("")), F.lit("\n"), F.col("event")), 256))
     reason = F.when(~before.eqNullSafe(F.col("prev")), "link").when(own != F.col("digest"), "digest")
     bad = entries.withColumn("reason", reason).filter("reason IS NOT NULL")

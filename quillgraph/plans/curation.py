@@ -23,15 +23,10 @@ def d1_implicated_in(g: Graph) -> DataFrame:
     return curate.implicated(g.participates, g.linked, 14, 2)
 
 
-@query(f"SELECT DISTINCT p.pathway_id, l.disease_id FROM participates p JOIN linked l USING (compound_id) JOIN ({IMPLICATED}) i ON i.pathway_id = p.pathway_id AND i.disease_id = l.disease_id WHERE p.pathway_id IN ('P:1', 'P:2', 'P:3')")
-def d2_stale_cleanup(g: Graph, where: str = "pathway_id IN ('P:1', 'P:2', 'P:3')") -> DataFrame:
-    stored = g.participates.filter(where).join(g.linked, "compound_id").select("pathway_id", "disease_id").distinct()
-    return curate.without_stale(stored, curate.implicated(g.participates, g.linked, 14, 2), ["pathway_id", "disease_id"])
-
-
 @query(f"SELECT DISTINCT p.pathway_id, l.disease_id FROM participates p JOIN linked l USING (compound_id) JOIN ({IMPLICATED}) i ON i.pathway_id = p.pathway_id AND i.disease_id = l.disease_id")
-def d2_stale_cleanup_full(g: Graph) -> DataFrame:
-    return d2_stale_cleanup(g, "true")
+def d2_stale_cleanup(g: Graph) -> DataFrame:
+    stored = g.participates.join(g.linked, "compound_id").select("pathway_id", "disease_id").distinct()
+    return curate.without_stale(stored, curate.implicated(g.participates, g.linked, 14, 2), ["pathway_id", "disease_id"])
 
 
 @query("SELECT gene_name AS gene, count(*) AS encoded, min(protein_id) AS first_protein FROM protein WHERE gene_name <> '' GROUP BY 1")
@@ -74,23 +69,17 @@ def d8_collapse_near_duplicates(g: Graph) -> DataFrame:
     return plan.select("key", F.concat_ws("|", "canonical", "duplicates").alias("members"))
 
 
-@query("""WITH c AS (SELECT n_name, p.p_partkey, CASE WHEN p_size = n_nationkey + 1 THEN 0 WHEN p_brand = 'Brand#' || (n_nationkey + 1) THEN 1 ELSE 2 END AS tier FROM nation JOIN part p ON p_retailprice < 905 AND (p_size = n_nationkey + 1 OR p_brand = 'Brand#' || (n_nationkey + 1)))
+@query("""WITH c AS (SELECT n_name, p_partkey, 0 AS tier FROM nation JOIN part ON p_size = n_nationkey + 1 UNION ALL SELECT n_name, p_partkey, 1 FROM nation JOIN part ON p_brand = 'Brand#' || (n_nationkey + 1))
           SELECT n_name, min(p_partkey) AS p_partkey, CAST(tier AS INTEGER) AS tier FROM c JOIN (SELECT n_name, min(tier) AS best FROM c GROUP BY 1) b USING (n_name) WHERE tier = best GROUP BY n_name, tier HAVING count(DISTINCT p_partkey) = 1""")
-def d9_curated_resolution(g: Graph, where: str = "p_retailprice < 905") -> DataFrame:
+def d9_curated_resolution(g: Graph) -> DataFrame:
     """The best tier of evidence decides, and only where it names one candidate."""
-    nation, part = g.table("nation"), g.table("part").filter(where)
+    nation, part = g.table("nation"), g.table("part")
     pins = nation.join(part, F.col("p_size") == F.col("n_nationkey") + 1).withColumn("tier", F.lit(0))
     brands = nation.join(part, F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string"))).withColumn("tier", F.lit(1))
     rows = pins.select("n_name", "p_partkey", "tier").unionAll(brands.select("n_name", "p_partkey", "tier"))
     return curate.best_unique(rows, "n_name", "tier", "p_partkey")
 
 
-@query("""WITH c AS (SELECT n_name, p_partkey, 0 AS tier FROM nation JOIN part ON p_size = n_nationkey + 1 UNION ALL SELECT n_name, p_partkey, 1 FROM nation JOIN part ON p_brand = 'Brand#' || (n_nationkey + 1))
-          SELECT n_name, min(p_partkey) AS p_partkey, CAST(tier AS INTEGER) AS tier FROM c JOIN (SELECT n_name, min(tier) AS best FROM c GROUP BY 1) b USING (n_name) WHERE tier = best GROUP BY n_name, tier HAVING count(DISTINCT p_partkey) = 1""")
-def d9_curated_resolution_full(g: Graph) -> DataFrame:
-    return d9_curated_resolution(g, "true")
-
-
 @query("SELECT disease_id, coalesce(doid, CASE WHEN category = 'BUILDING' THEN 'curated' ELSE 'legacy' END) AS source FROM disease")
 def d10_backfill(g: Graph) -> DataFrame:
     return g.disease.select("disease_id", F.coalesce("doid", F.when(F.col("category") == "BUILDING", "curated").otherwise("legacy")).alias("source"))
@@ -127,28 +116,22 @@ def w1_merge_nodes(g: Graph) -> DataFrame:
     return merged(*old_new(g), ["id"], {"name": "newest", "segment": "keep"})
 
 
-@query("""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
-          SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey < 20) GROUP BY 1, 2""")
-def w2_association_upsert(g: Graph, where: str = "l_suppkey < 20", seq: str = "l_orderkey * 100000 + l_partkey * 10 + l_linenumber") -> DataFrame:
+@query(f"""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
+          SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, row({LINE_ORDER}) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
+def w2_association_upsert(g: Graph) -> DataFrame:
     """Sources and papers gather, their number is the number of studies, the first direction stays."""
-    lines = g.table("lineitem").filter(where).join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = g.table("lineitem").join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.select(
         F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("taxon_id"),
         F.concat(F.lit("D:"), F.col("o_custkey").cast("string")).alias("disease_id"),
         "l_returnflag",
         "l_orderkey",
         "l_linestatus",
-        F.expr(seq).alias("seq"),
+        F.expr(f"struct({LINE_ORDER})").alias("seq"),
     )
     return rows.groupBy("taxon_id", "disease_id").agg(joined_set("l_returnflag").alias("sources"), F.countDistinct("l_orderkey").alias("n_studies"), F.min_by("l_linestatus", "seq").alias("direction"))
 
 
-@query(f"""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
-          SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, row({LINE_ORDER}) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
-def w2_association_upsert_full(g: Graph) -> DataFrame:
-    return w2_association_upsert(g, "true", f"struct({LINE_ORDER})")
-
-
 @query(f"SELECT coalesce(o.id, n.id) AS id, coalesce(o.segment, n.segment) AS segment, {STATE} FROM {OLD} o FULL JOIN {NEW} n ON o.id = n.id")
 def w3_fill_null(g: Graph) -> DataFrame:
     return merged(*old_new(g), ["id"], {"segment": "keep"})
@@ -185,19 +168,14 @@ def w9_org_delete(g: Graph) -> DataFrame:
     return g.nodes.groupBy("label").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"))
 
 
-@query("SELECT l_orderkey AS sample, l_partkey AS taxon, min_by(l_quantity, l_linenumber * 1000 + l_suppkey) AS abundance FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2")
-def w10_sample_composition(g: Graph, where: str = "l_orderkey < 500", seq: str = "l_linenumber * 1000 + l_suppkey") -> DataFrame:
+@query("SELECT l_orderkey AS sample, l_partkey AS taxon, min_by(l_quantity, row(l_linenumber, l_suppkey, l_quantity)) AS abundance FROM lineitem GROUP BY 1, 2")
+def w10_sample_composition(g: Graph) -> DataFrame:
     """Lists of (taxon, abundance) taken apart again: the first entry of each pair is written."""
-    rows = g.table("lineitem").filter(where).withColumn("seq", F.expr(seq))
+    rows = g.table("lineitem").withColumn("seq", F.struct("l_linenumber", "l_suppkey", "l_quantity"))
     lists = rows.groupBy(F.col("l_orderkey").alias("sample")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("taxon"), F.col("l_quantity").alias("abundance"), "seq")).alias("items"))
     return first_written(lists.select("sample", F.inline("items")), ["sample", "taxon"], "seq", ["abundance"])
 
 
-@query("SELECT l_orderkey AS sample, l_partkey AS taxon, min_by(l_quantity, row(l_linenumber, l_suppkey, l_quantity)) AS abundance FROM lineitem GROUP BY 1, 2")
-def w10_sample_composition_full(g: Graph) -> DataFrame:
-    return w10_sample_composition(g, "true", "struct(l_linenumber, l_suppkey, l_quantity)")
-
-
 @query("SELECT label, count(*) AS missing FROM nodes WHERE org IS NULL GROUP BY 1")
 def v1_missing_org(g: Graph) -> DataFrame:
     return g.nodes.filter("org IS NULL").groupBy("label").agg(F.count(F.lit(1)).alias("missing"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.lineage import scratch
@@ -32,11 +32,11 @@ def r8_name_index(g: Graph) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("postings"), F.min("id").alias("first_id"))
 
 
-@query("SELECT label AS part, count(*) AS rows FROM nodes WHERE label <> 'Protein' GROUP BY 1 UNION ALL SELECT type, count(*) FROM edges GROUP BY 1")
+@query("SELECT label AS part, count(*) AS rows FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*) FROM edges GROUP BY 1")
 def w6_bundle_submit(g: Graph) -> DataFrame:
     """A bundle written as one folder a label and type, read back and counted."""
     at = scratch(g.spark)
-    sinks.write_bundle(g.nodes.filter("label != 'Protein'"), g.edges, at)
+    sinks.write_bundle(g.nodes, g.edges, at)
     return sinks.manifest(g.spark, at)
 
 
@@ -61,15 +61,8 @@ def e4_prefixes(g: Graph) -> DataFrame:
     return g.spark.createDataFrame(sorted(found.items()), "prefix string, closest string")
 
 
-@query("SELECT label, string_agg(id, '|' ORDER BY id) AS ids FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM nodes WHERE org = 'ASIA' OR org IN ('EUROPE')) WHERE k <= 5 GROUP BY 1")
-def e10_resolver_index(g: Graph) -> DataFrame:
-    """What a label's resolver would load, in the caller's scope: here its first ids."""
-    ranked = g.nodes.filter(g.scope.node()).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("id")))
-    return ranked.filter("k <= 5").groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("ids"))
-
-
 @query("SELECT label, id FROM nodes WHERE org = 'ASIA' OR org IN ('EUROPE')")
-def e10_resolver_index_full(g: Graph) -> DataFrame:
+def e10_resolver_index(g: Graph) -> DataFrame:
     """Every node of every label that the caller may see, a row each."""
     return g.nodes.filter(g.scope.node()).select("label", "id")
 
@@ -127,16 +120,8 @@ def i12_subject_headings(g: Graph) -> DataFrame:
     return g.table("customer").groupBy(normal_disease(F.col("c_mktsegment")).alias("disease")).agg(F.count(F.lit(1)).alias("papers"))
 
 
-@query("SELECT o_orderkey AS sample, l_partkey AS measured, CAST(l_linenumber AS BIGINT) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 100")
-def i15_nested_measurements(g: Graph) -> DataFrame:
-    """Study, samples, measurements: nested arrays taken apart."""
-    lines = g.table("lineitem").filter("l_orderkey < 100").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("measured"), F.col("l_linenumber").cast("long").alias("place"))).alias("measurements"))
-    samples = g.table("orders").filter("o_orderkey < 100").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderstatus").alias("study")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("sample"), "measurements")).alias("samples"))
-    return samples.select(F.explode("samples").alias("s")).select("s.sample", F.inline("s.measurements"))
-
-
 @query("SELECT o_orderkey AS sample, l_partkey AS measured, CAST(l_linenumber AS BIGINT) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def i15_nested_measurements_full(g: Graph) -> DataFrame:
+def i15_nested_measurements(g: Graph) -> DataFrame:
     """All orders, a study for each customer, whose orders bound its nested arrays."""
     lines = g.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("measured"), F.col("l_linenumber").cast("long").alias("place"))).alias("measurements"))
     samples = g.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("study")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("sample"), "measurements")).alias("samples"))

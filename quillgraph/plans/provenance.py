@@ -97,17 +97,12 @@ def t10_chain_verify(g: Graph) -> DataFrame:
     return temporal.broken(rows.withColumn("event", changed).filter("NOT (seq = 9 AND chain % 10 = 4)"))
 
 
-@query("SELECT sha256(event_type || '|decision_log|' || (event_id // 3)) AS key, min(event_id) AS event_id FROM events WHERE event_id >= 300 AND sha256(event_type || '|decision_log|' || (event_id // 3)) NOT IN (SELECT sha256(event_type || '|decision_log|' || (event_id // 3)) FROM events WHERE event_id < 1000) GROUP BY 1")
-def t11_append_only(g: Graph, stored: str = "event_id < 1000", incoming: str = "event_id >= 300") -> DataFrame:
-    key = F.sha2(F.concat("event_type", F.lit("|decision_log|"), F.floor(F.col("event_id") / 3).cast("string")), 256)
-    rows = g.table("events").select(key.alias("key"), "event_id")
-    return temporal.inserted(rows.filter(stored), rows.filter(incoming), "key", "event_id")
-
-
 @query("WITH k AS (SELECT sha256(event_type || '|decision_log|' || (event_id // 3)) AS key, event_id, event_id // 9 % 3 AS third FROM events) SELECT key, min(event_id) AS event_id FROM k WHERE third > 0 AND key NOT IN (SELECT key FROM k WHERE third < 2) GROUP BY 1")
-def t11_append_only_full(g: Graph) -> DataFrame:
+def t11_append_only(g: Graph) -> DataFrame:
     """Log and intake are two thirds of the events each, and share one."""
-    return t11_append_only(g, "event_id div 9 % 3 < 2", "event_id div 9 % 3 > 0")
+    key = F.sha2(F.concat("event_type", F.lit("|decision_log|"), F.floor(F.col("event_id") / 3).cast("string")), 256)
+    rows = g.table("events").select(key.alias("key"), "event_id")
+    return temporal.inserted(rows.filter("event_id div 9 % 3 < 2"), rows.filter("event_id div 9 % 3 > 0"), "key", "event_id")
 
 
 @query("SELECT sha256(event_type) AS mapping_sha, sha256(props) AS source_sha, count(*) AS writes, min(event_id) AS first_id, max(user_id) AS last_actor FROM events GROUP BY 1, 2")

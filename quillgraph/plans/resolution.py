@@ -14,15 +14,14 @@ from quillgraph.plans.views import Graph
 
 NORMAL = """trim(regexp_replace(replace(regexp_replace(coalesce(m.full_, squeezed), '[''’]', '', 'g'), '-', ' '), '\\s+', ' ', 'g'))"""
 SHORT = "(VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in ABBREVIATIONS.items()) + ") m(short, full_)"
-TERMS = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'C:' || p_partkey WHEN 1 THEN 'C:9' || p_partkey WHEN 2 THEN upper(p_name) WHEN 3 THEN '' ELSE 'zz ' || p_name || ' qqqq' END AS term FROM part WHERE p_partkey < 400)"
-TERMS_FULL = TERMS.replace(" WHERE p_partkey < 400", "")
+TERMS = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'C:' || p_partkey WHEN 1 THEN 'C:9' || p_partkey WHEN 2 THEN upper(p_name) WHEN 3 THEN '' ELSE 'zz ' || p_name || ' qqqq' END AS term FROM part)"
 NAMES = "(SELECT p_name AS name, 'C:' || min(p_partkey) AS id FROM part GROUP BY 1)"
 
 
-def terms(g: Graph, where: str = "p_partkey < 400") -> DataFrame:
+def terms(g: Graph) -> DataFrame:
     n, name = F.col("p_partkey"), F.col("p_name")
     term = F.when(n % 5 == 0, F.concat(F.lit("C:"), n.cast("string"))).when(n % 5 == 1, F.concat(F.lit("C:9"), n.cast("string"))).when(n % 5 == 2, F.upper(name)).when(n % 5 == 3, "").otherwise(F.concat(F.lit("zz "), name, F.lit(" qqqq")))
-    return g.table("part").filter(where).select("p_partkey", term.alias("term"))
+    return g.table("part").select("p_partkey", term.alias("term"))
 
 
 def name_nodes(g: Graph) -> DataFrame:
@@ -30,23 +29,13 @@ def name_nodes(g: Graph) -> DataFrame:
 
 
 @query(f"SELECT DISTINCT t.term, n.id, 1.0::DOUBLE AS score FROM {TERMS} t JOIN {NAMES} n ON t.term = n.id".replace("1.0::DOUBLE", "CAST(1.0 AS DOUBLE)"))
-def e5_identifier_match(g: Graph, where: str = "p_partkey < 400") -> DataFrame:
-    return terms(g, where).select("term").distinct().join(name_nodes(g), F.col("term") == F.col("id")).select("term", "id", F.lit(1.0).alias("score"))
-
-
-@query(f"SELECT DISTINCT t.term, n.id, CAST(1.0 AS DOUBLE) AS score FROM {TERMS_FULL} t JOIN {NAMES} n ON t.term = n.id")
-def e5_identifier_match_full(g: Graph) -> DataFrame:
-    return e5_identifier_match(g, "true")
+def e5_identifier_match(g: Graph) -> DataFrame:
+    return terms(g).select("term").distinct().join(name_nodes(g), F.col("term") == F.col("id")).select("term", "id", F.lit(1.0).alias("score"))
 
 
 @query(f"SELECT DISTINCT t.term, n.id FROM {TERMS} t JOIN {NAMES} n ON lower(t.term) = lower(n.name)")
-def e6_exact_name_match(g: Graph, where: str = "p_partkey < 400") -> DataFrame:
-    return terms(g, where).select("term").distinct().join(name_nodes(g), F.lower("term") == F.lower("name")).select("term", "id")
-
-
-@query(f"SELECT DISTINCT t.term, n.id FROM {TERMS_FULL} t JOIN {NAMES} n ON lower(t.term) = lower(n.name)")
-def e6_exact_name_match_full(g: Graph) -> DataFrame:
-    return e6_exact_name_match(g, "true")
+def e6_exact_name_match(g: Graph) -> DataFrame:
+    return terms(g).select("term").distinct().join(name_nodes(g), F.lower("term") == F.lower("name")).select("term", "id")
 
 
 @query()
@@ -56,27 +45,16 @@ def e7_fuzzy_match(g: Graph) -> DataFrame:
     return resolve.fuzzy(asked, name_nodes(g)).select("term", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT lower(p_type) AS term, min('C:' || p_partkey) AS first_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' ELSE 'INFERRED' END AS tier FROM part WHERE p_partkey < 9 GROUP BY 1")
-def e8_ambiguity(g: Graph, where: str = "p_partkey < 9") -> DataFrame:
-    rows = g.table("part").filter(where).groupBy(F.lower("p_type").alias("term")).agg(F.min(F.concat(F.lit("C:"), F.col("p_partkey").cast("string"))).alias("first_id"), F.count(F.lit(1)).alias("n"))
+@query(f"SELECT lower(p_type) AS term, min('C:' || p_partkey) AS first_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' ELSE 'INFERRED' END AS tier FROM part GROUP BY 1")
+def e8_ambiguity(g: Graph) -> DataFrame:
+    rows = g.table("part").groupBy(F.lower("p_type").alias("term")).agg(F.min(F.concat(F.lit("C:"), F.col("p_partkey").cast("string"))).alias("first_id"), F.count(F.lit(1)).alias("n"))
     return rows.withColumn("tier", F.when(F.col("n") > 1, "AMBIGUOUS").otherwise("INFERRED"))
 
 
-@query("SELECT lower(p_type) AS term, min('C:' || p_partkey) AS first_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' ELSE 'INFERRED' END AS tier FROM part GROUP BY 1")
-def e8_ambiguity_full(g: Graph) -> DataFrame:
-    return e8_ambiguity(g, "true")
-
-
 @query(f"""SELECT t.term, coalesce(i.id, n.id) AS id, CASE WHEN i.id IS NOT NULL OR n.id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status
            FROM (SELECT DISTINCT term FROM {TERMS}) t LEFT JOIN {NAMES} i ON t.term LIKE 'C:%' AND t.term = i.id LEFT JOIN {NAMES} n ON NOT t.term LIKE 'C:%' AND lower(t.term) = n.name""")
-def e9_resolve_pipeline(g: Graph, where: str = "p_partkey < 400") -> DataFrame:
-    return resolve.resolved(terms(g, where), name_nodes(g), F.col("term").startswith("C:"), 0.93).select("term", "id", "status")
-
-
-@query(f"""SELECT t.term, coalesce(i.id, n.id) AS id, CASE WHEN i.id IS NOT NULL OR n.id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status
-           FROM (SELECT DISTINCT term FROM {TERMS_FULL}) t LEFT JOIN {NAMES} i ON t.term LIKE 'C:%' AND t.term = i.id LEFT JOIN {NAMES} n ON NOT t.term LIKE 'C:%' AND lower(t.term) = n.name""")
-def e9_resolve_pipeline_full(g: Graph) -> DataFrame:
-    return e9_resolve_pipeline(g, "true")
+def e9_resolve_pipeline(g: Graph) -> DataFrame:
+    return resolve.resolved(terms(g), name_nodes(g), F.col("term").startswith("C:"), 0.93).select("term", "id", "status")
 
 
 NAMED = "(SELECT c_custkey AS id, lower(trim(regexp_replace(CASE c_custkey % 6 WHEN 0 THEN 'IBD' WHEN 1 THEN ' T2D ' WHEN 2 THEN 'Crohn''s  Disease' WHEN 3 THEN 'Non-Alcoholic ' || c_mktsegment WHEN 4 THEN c_name ELSE '' END, '\\s+', ' ', 'g'))) AS squeezed FROM customer)"
@@ -107,40 +85,22 @@ def e13_compound_id(g: Graph) -> DataFrame:
     return g.table("part").select("p_partkey", first_filled(key, cid).alias("compound_id"))
 
 
-@query("SELECT 'Supplier' AS label, CAST(l_suppkey AS VARCHAR) AS id, arg_max(l_returnflag, seq) AS flag, arg_max(l_quantity, seq) AS quantity FROM (SELECT *, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem) GROUP BY 2 UNION ALL SELECT 'edge', l_suppkey || '>' || l_partkey, arg_min(l_returnflag, seq), NULL FROM (SELECT *, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_suppkey < 5) GROUP BY 2")
-def e14_rows_to_graph(g: Graph, edges_of: str = "l_suppkey < 5", seq: str = "l_orderkey * 100000 + l_partkey * 10 + l_linenumber") -> DataFrame:
+@query(f"WITH l AS (SELECT *, row({LINE_ORDER}) AS seq FROM lineitem) SELECT 'Supplier' AS label, CAST(l_suppkey AS VARCHAR) AS id, arg_max(l_returnflag, seq) AS flag, arg_max(l_quantity, seq) AS quantity FROM l GROUP BY 2 UNION ALL SELECT 'edge', l_suppkey || '>' || l_partkey, arg_min(l_returnflag, seq), NULL FROM l GROUP BY 2")
+def e14_rows_to_graph(g: Graph) -> DataFrame:
     """Later rows overwrite an entity's properties; the first row of an edge wins."""
-    rows = g.table("lineitem").withColumn("seq", F.expr(seq))
+    rows = g.table("lineitem").withColumn("seq", F.expr(f"struct({LINE_ORDER})"))
     nodes = resolve.entities(rows, F.lit("Supplier"), F.col("l_suppkey"), {"flag": F.col("l_returnflag"), "quantity": F.col("l_quantity")}, "seq")
-    edges = resolve.relations(rows.filter(edges_of), "SUPPLIES", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), "seq")
+    edges = resolve.relations(rows, "SUPPLIES", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), "seq")
     return nodes.unionAll(edges.select(F.lit("edge"), F.concat_ws(">", "src", "dst"), "value", F.lit(None).cast("double")))
 
 
-@query(f"WITH l AS (SELECT *, row({LINE_ORDER}) AS seq FROM lineitem) SELECT 'Supplier' AS label, CAST(l_suppkey AS VARCHAR) AS id, arg_max(l_returnflag, seq) AS flag, arg_max(l_quantity, seq) AS quantity FROM l GROUP BY 2 UNION ALL SELECT 'edge', l_suppkey || '>' || l_partkey, arg_min(l_returnflag, seq), NULL FROM l GROUP BY 2")
-def e14_rows_to_graph_full(g: Graph) -> DataFrame:
-    return e14_rows_to_graph(g, "true", f"struct({LINE_ORDER})")
-
-
-@query("""WITH a AS (SELECT p_type AS label, 'A' || p_partkey AS id, unnest([p_brand || ':' || p_size, 'name:' || p_name]) AS token FROM part WHERE p_partkey < 150), b AS (SELECT p_type AS label, 'B' || p_partkey AS id, unnest([p_brand || ':' || p_size, 'name:' || p_name]) AS token FROM part WHERE p_partkey BETWEEN 100 AND 300)
-          SELECT a.label, a.id AS a_id, b.id AS b_id, string_agg(DISTINCT token, '|' ORDER BY token) AS shared FROM a JOIN b USING (label, token) WHERE a.id <> b.id GROUP BY 1, 2, 3""")
-def e16_same_as(g: Graph, old: str = "p_partkey < 150", new: str = "p_partkey BETWEEN 100 AND 300") -> DataFrame:
-    tokens = F.array(F.concat_ws(":", "p_brand", F.col("p_size").cast("string")), F.concat(F.lit("name:"), F.col("p_name"))).alias("tokens")
-    of = lambda prefix, where: g.table("part").filter(where).select(F.col("p_type").alias("label"), F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("id"), tokens)
-    return resolve.same_as(of("A", old), of("B", new))
-
-
 @query("""WITH t AS (SELECT p_type AS label, p_partkey AS k, unnest([p_brand || ':' || p_size, 'name:' || p_name]) AS token FROM part)
           SELECT label, 'A' || a.k AS a_id, 'B' || b.k AS b_id, string_agg(DISTINCT token, '|' ORDER BY token) AS shared FROM t a JOIN t b USING (label, token) GROUP BY 1, 2, 3""")
-def e16_same_as_full(g: Graph) -> DataFrame:
+def e16_same_as(g: Graph) -> DataFrame:
     """Both snapshots hold the whole table."""
-    return e16_same_as(g, "true", "true")
-
-
-@query("SELECT label, count(*) AS rows, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha256 FROM nodes WHERE label = 'Pathway' GROUP BY 1")
-def e17_bundle_manifest(g: Graph) -> DataFrame:
-    """Rows and digest of a bundle's file of pathways: 25 ids, gathered in order."""
-    rows = g.nodes.filter("label = 'Pathway'").groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.sort_array(F.collect_list("id")), "\n").alias("body"))
-    return rows.select("label", "rows", F.sha2("body", 256).alias("sha256"))
+    tokens = F.array(F.concat_ws(":", "p_brand", F.col("p_size").cast("string")), F.concat(F.lit("name:"), F.col("p_name"))).alias("tokens")
+    of = lambda prefix: g.table("part").select(F.col("p_type").alias("label"), F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("id"), tokens)
+    return resolve.same_as(of("A"), of("B"))
 
 
 def row_hash_sql(*columns: str) -> str:
@@ -151,7 +111,7 @@ SUMS = " || ':' || ".join(["count(*)", *(f"sum(CAST('0x' || substr(h, {8 * i + 1
 
 
 @query(f"SELECT part, count(*) AS rows, sha256({SUMS}) AS sha256 FROM (SELECT label AS part, {row_hash_sql('id', 'name', 'org')} AS h FROM nodes UNION ALL SELECT type, {row_hash_sql('src', 'dst')} FROM edges) GROUP BY 1")
-def e17_bundle_manifest_full(g: Graph) -> DataFrame:
+def e17_bundle_manifest(g: Graph) -> DataFrame:
     """Rows and digest of every file of a bundle, one a label and type; the rows of a file have no order."""
     from quillgraph.sources.sinks import digests, row_hash
 
@@ -185,12 +145,6 @@ def e22_confidence_report(g: Graph) -> DataFrame:
     return e9_resolve_pipeline(g).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.id IS NOT NULL OR n.id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status FROM (SELECT DISTINCT term FROM {TERMS_FULL}) t
-           LEFT JOIN {NAMES} i ON t.term LIKE 'C:%' AND t.term = i.id LEFT JOIN {NAMES} n ON NOT t.term LIKE 'C:%' AND lower(t.term) = n.name) GROUP BY 1""")
-def e22_confidence_report_full(g: Graph) -> DataFrame:
-    return e9_resolve_pipeline_full(g).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def r7_hash_embedding(g: Graph) -> DataFrame:
     """Bags of words hashed to 64 places by SHA-256, of length one; sparse: doc_id, place, weight."""
@@ -268,15 +222,10 @@ def i13_predicates(g: Graph) -> DataFrame:
     return predications(rows).select("event_id", "direction")
 
 
-@query("SELECT l_suppkey, TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN 'NA' ELSE CAST(l_quantity AS VARCHAR) END AS DOUBLE) AS abundance FROM lineitem WHERE l_orderkey < 200")
-def i14_coercion(g: Graph, where: str = "l_orderkey < 200") -> DataFrame:
-    value = F.when(F.col("l_linenumber") % 3 == 0, "NA").otherwise(F.col("l_quantity").cast("string"))
-    return g.table("lineitem").filter(where).select("l_suppkey", value.try_cast("double").alias("abundance"))
-
-
 @query("SELECT l_suppkey, TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN 'NA' ELSE CAST(l_quantity AS VARCHAR) END AS DOUBLE) AS abundance FROM lineitem")
-def i14_coercion_full(g: Graph) -> DataFrame:
-    return i14_coercion(g, "true")
+def i14_coercion(g: Graph) -> DataFrame:
+    value = F.when(F.col("l_linenumber") % 3 == 0, "NA").otherwise(F.col("l_quantity").cast("string"))
+    return g.table("lineitem").select("l_suppkey", value.try_cast("double").alias("abundance"))
 
 
 @query("SELECT p_partkey, 'S' || p_size AS site, CASE p_partkey % 3 WHEN 0 THEN 'phosphorylation' WHEN 1 THEN 'acetylation' END AS ptm FROM part WHERE p_partkey % 3 < 2")

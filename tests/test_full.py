@@ -1,4 +1,4 @@
-"""The full forms leave no row of their tables out, where the forms beside them stop at a fixed key."""
+"""No row of the tables is left out, whatever its key."""
 
 from __future__ import annotations
 
@@ -39,28 +39,28 @@ def found(spark, tables):
 
 
 def test_resolution_takes_all_parts(found):
-    assert found("e5_identifier_match_full") == [("C:1000", "C:1000", 1.0)]
-    assert found("e6_exact_name_match_full") == [("HOT GEAR", "C:1002")]
-    assert found("e8_ambiguity_full") == [("economy", "C:1003", 1, "INFERRED"), ("promo", "C:1000", 3, "AMBIGUOUS")]
-    assert found("e9_resolve_pipeline_full") == [("", None, "unresolved"), ("C:1000", "C:1000", "resolved"), ("HOT GEAR", "C:1002", "resolved"), ("zz red bolt qqqq", None, "unresolved")]
-    assert found("e22_confidence_report_full") == [("resolved", 2), ("unresolved", 2)]
+    assert found("e5_identifier_match") == [("C:1000", "C:1000", 1.0)]
+    assert found("e6_exact_name_match") == [("HOT GEAR", "C:1002")]
+    assert found("e8_ambiguity") == [("economy", "C:1003", 1, "INFERRED"), ("promo", "C:1000", 3, "AMBIGUOUS")]
+    assert found("e9_resolve_pipeline") == [("", None, "unresolved"), ("C:1000", "C:1000", "resolved"), ("HOT GEAR", "C:1002", "resolved"), ("zz red bolt qqqq", None, "unresolved")]
+    assert found("e22_confidence_report") == [("resolved", 2), ("unresolved", 2)]
     own = [("PROMO", f"A{k}", f"B{k}", f"{brand}|name:{name}") for k, brand, name in ((1000, "Brand#1:5", "red bolt"), (1002, "Brand#2:7", "hot gear"), (1004, "Brand#9:9", "red bolt"))]
-    assert found("e16_same_as_full") == sorted([*own, ("ECONOMY", "A1003", "B1003", "Brand#1:5|name:red bolt"), ("PROMO", "A1000", "B1004", "name:red bolt"), ("PROMO", "A1004", "B1000", "name:red bolt")])
+    assert found("e16_same_as") == sorted([*own, ("ECONOMY", "A1003", "B1003", "Brand#1:5|name:red bolt"), ("PROMO", "A1000", "B1004", "name:red bolt"), ("PROMO", "A1004", "B1000", "name:red bolt")])
 
 
 def test_lineitem_and_orders_are_taken_whole(found):
-    assert found("w2_association_upsert_full") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:1", "N", 1, "O")]
-    assert found("w10_sample_composition_full") == [(9000, 1000, 5.0), (9001, 1002, 7.0)]
-    assert found("i14_coercion_full") == [(50, 5.0), (50, 6.0), (51, None)]
-    assert found("i15_nested_measurements_full") == [(9000, 1000, 1), (9000, 1000, 2), (9001, 1002, 3)]
-    assert found("e14_rows_to_graph_full") == [("Supplier", "50", "R", 6.0), ("Supplier", "51", "N", 7.0), ("edge", "50>1000", "A", None), ("edge", "51>1002", "N", None)]
+    assert found("w2_association_upsert") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:1", "N", 1, "O")]
+    assert found("w10_sample_composition") == [(9000, 1000, 5.0), (9001, 1002, 7.0)]
+    assert found("i14_coercion") == [(50, 5.0), (50, 6.0), (51, None)]
+    assert found("i15_nested_measurements") == [(9000, 1000, 1), (9000, 1000, 2), (9001, 1002, 3)]
+    assert found("e14_rows_to_graph") == [("Supplier", "50", "R", 6.0), ("Supplier", "51", "N", 7.0), ("edge", "50>1000", "A", None), ("edge", "51>1002", "N", None)]
 
 
 def test_traversal_and_curation_take_all(found):
-    assert found("g5_artifact_ancestry_full") == sorted([(k, a, k - a, "view") for k in range(40) for a in range(k)], key=str)
-    assert found("g8_cycles_full") == [(1, 5), (10, 1), (2, 5), (3, 5), (4, 5), (5, 5)]
-    assert found("d2_stale_cleanup_full") == [("P:20", "D:1")]
-    assert found("d9_curated_resolution_full") == [("n1", 1002, 1), ("n6", 1002, 0), ("n8", 1004, 0)]
+    assert found("g5_artifact_ancestry") == sorted([(k, a, k - a, "view") for k in range(40) for a in range(k)], key=str)
+    assert found("g8_cycles") == [(1, 5), (10, 1), (2, 5), (3, 5), (4, 5), (5, 5)]
+    assert found("d2_stale_cleanup") == [("P:20", "D:1")]
+    assert found("d9_curated_resolution") == [("n1", 1002, 1), ("n6", 1002, 0), ("n8", 1004, 0)]
 
 
 def test_ancestors_without_a_depth(spark):
@@ -70,13 +70,13 @@ def test_ancestors_without_a_depth(spark):
 
 
 def test_resolver_index_has_every_node_in_scope(found):
-    rows = found("e10_resolver_index_full")
+    rows = found("e10_resolver_index")
     assert [i for label, i in rows if label == "Disease"] == sorted((f"D:{k}" for k in range(1, 21) if k != 17))
     assert [i for label, i in rows if label == "Taxon"] == ["N:0", "N:10", "N:15", "N:20", "N:5", "R:0", "S:1", "S:50"]
 
 
 def test_manifest_has_every_label_and_type(found):
-    rows = {part: (n, digest) for part, n, digest in found("e17_bundle_manifest_full")}
+    rows = {part: (n, digest) for part, n, digest in found("e17_bundle_manifest")}
     assert set(rows) == {"Taxon", "Disease", "Compound", "Pathway", "Protein", "HAS_PARENT", "ASSOCIATED_WITH_DISEASE", "PRODUCES", "PARTICIPATES_IN"}
 
     def digest(lines):
@@ -89,4 +89,4 @@ def test_manifest_has_every_label_and_type(found):
 
 
 def test_append_only_log_grows_with_the_table(found):
-    assert sorted(event_id for _, event_id in found("t11_append_only_full")) == [18, 21, 24]
+    assert sorted(event_id for _, event_id in found("t11_append_only")) == [18, 21, 24]
