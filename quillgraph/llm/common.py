@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -74,17 +71,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver collects their plans.
-
-    Python lets go of its handles first, and the gateway passes that on a moment later; hence the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

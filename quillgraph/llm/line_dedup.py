@@ -143,7 +143,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     shared = bucketed(posts.join(heads, "p").select("p", *POST, *(F.when(to_head, F.col(f"x_{c}")).alias(f"x_{c}") for c in KEY)), "posts", "p", partitions)
 
     settled = verified(shared.filter("x_dk IS NOT NULL"), classes)
-    open_ = shared.join(settled, list(KEY), "left_anti").select("p", *POST)
+    # Few settled lines go to every task, so that the buckets stay as they are.
+    few = F.broadcast(settled) if settled.count() <= LOOKED_UP else settled
+    open_ = shared.join(few, list(KEY), "left_anti").select("p", *POST)
     others = shared.select("p", *(F.col(c).alias(f"x_{c}") for c in POST))
     later = verified(open_.join(others, "p").filter(may_be_similar("x_") & before("x_")), classes)
 

@@ -1,9 +1,9 @@
-"""Line dedup: an exact set-similarity join of lines.
+"""An exact set-similarity join on shingles of five words, for lines or whole texts (near_dedup).
 
-A line's tokens are its shingles of five words (of a shorter line the whole line); a line without words
-has none, is never matched and stays. A line goes if an earlier one (by doc_id, null last, then place in
-the text) has the same words or a Jaccard similarity of at least 0.8. Equal lines are joined first, by
-128-bit hashes of their words. Of the different lines that are left:
+A line's tokens are its shingles of five words (of a shorter line the whole line); a line without words has
+none, is never matched and stays. A line goes if an earlier one (by doc_id, null last, then place in the
+text) has the same words or a Jaccard similarity of at least 0.8. Equal lines are joined first, by 128-bit
+hashes of their words. Of the different lines that are left:
 
 - tokens are ordered by rarity: how often their hash bucket (of BUCKETS) occurs in all lines, then by hash;
 - two similar lines share a token in the first n - ceil(0.8 n) + 1 of each (prefix filter), so tokens that
@@ -13,11 +13,12 @@ the text) has the same words or a Jaccard similarity of at least 0.8. Equal line
 
 Existence of an earlier similar line is what decides, so pairs need not all be made: every line first
 meets the earliest line of each of its prefix tokens, which settles groups of near copies; only lines
-that this leaves meet all earlier ones. Token hashes have 43 bits.
+that this leaves meet all earlier ones. Token hashes have 43 bits: unlike line_dedup, which verifies words,
+two lines of fewer than five words could be taken as one where their hashes agree; whole texts of that
+length are taken as equal only if 128 bits agree, as equal ones are joined first.
 
 Words are cut and hashed in numpy, and posts (a token in the prefix of a line) travel packed; joins, filters
-and verification are DataFrame operations. A form without any Python was built first; the README has its
-figures.
+and verification are DataFrame operations.
 
 Cases: null texts count as empty (one line without words); lines of rows that share a doc_id at the same
 place don't remove each other, so repeated rows are treated alike. An empty table gives an empty result.
@@ -34,7 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, map_arrow, release, slices, text_buffers, written
+from quillgraph.llm.common import discard, map_arrow, slices, text_buffers, written
 from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 80
@@ -43,6 +44,8 @@ MOST = (1 << (63 - HASH_BITS)) - 1
 LAST = 2**63 - 1
 #: Posts that a task packs at a time; bytes of text for each bucket of tokens, about.
 CHUNK, BUCKET = 300_000, 4_000_000
+#: Texts whose keys may be broadcast to look them up, at most.
+LOOKED_UP = 500_000
 POST = np.dtype([("p", "<i8"), ("dk", "<i8"), ("th", "<i4"), ("no", "<i4"), ("n", "<i4"), ("place", "<i4"), ("known", "u1")])
 
 
@@ -227,21 +230,26 @@ def fitting_in_all(met: DataFrame) -> DataFrame:
 KEY = ("dk", "no", "th")
 
 
-def token_sets(posts: DataFrame, rows: DataFrame, frequency: Broadcast) -> DataFrame:
-    """dk, no, th, t: the whole token set of every line with a shared post. Only these lines are cut again."""
-    wanted = posts.groupBy("dk", "th").agg(F.collect_set("no").alias("nos"))  # a document's lines at most
-    met = rows.join(wanted.hint("shuffle_hash"), ["dk", "th"])
+def token_sets(wanted: DataFrame, rows: DataFrame, frequency: Broadcast) -> DataFrame:
+    """dk, no, th, t: the whole token set of every line that is wanted (dk, no, th). Only these lines are cut again."""
+    wanted = wanted.groupBy("dk", "th").agg(F.collect_set("no").alias("nos"))  # a document's lines at most
+    # Few go to every task; many are dealt by key.
+    met = rows.join(F.broadcast(wanted) if wanted.count() <= LOOKED_UP else wanted.hint("shuffle_hash"), ["dk", "th"])
     cut = F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(F.col("lines"), no).alias("text")))
     lines = met.select("dk", "th", "nos", F.explode(F.array(F.split("text", "\n"))).alias("lines")).select("dk", "th", F.inline(cut))
     return lines_of(lines, frequency, whole=True).select(*KEY, "t")  # repeated rows give sets twice, which does no harm
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, frequency: Broadcast) -> DataFrame:
     """dk, no, th of the later lines of pairs (x_dk, x_no, x_th, dk, no, th) that are similar on their whole token sets."""
-    pairs = pairs.select(*(f"x_{c}" for c in KEY), *KEY).distinct()
+    pairs = written(pairs.select(*(f"x_{c}" for c in KEY), *KEY).distinct(), "pairs")
+    sets = written(token_sets(pairs.select(*KEY).union(pairs.select(*(f"x_{c}" for c in KEY))).distinct(), rows, frequency), "sets")
     both = pairs.join(sets.withColumnRenamed("t", "y_t"), list(KEY)).join(sets.select(*(F.col(c).alias(f"x_{c}") for c in KEY), F.col("t").alias("x_t")), [f"x_{c}" for c in KEY])
-    common = F.size(F.array_intersect("x_t", "y_t"))
-    return both.filter(common * 100 >= (F.size("x_t") + F.size("y_t") - common) * PERCENT).select(*KEY).distinct()
+    similar = F.size(F.array_intersect("x_t", "y_t")) * (100 + PERCENT) >= (F.size("x_t") + F.size("y_t")) * PERCENT
+    out = written(both.filter(similar).select(*KEY).distinct(), "settled")
+    for done in (pairs, sets):
+        discard(done)
+    return out
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -249,7 +257,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = rows_of(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = int(max(16, size // 8_000_000))
+    partitions = int(min(100_000, max(16, size // 8_000_000)))
     frequency = spark.sparkContext.broadcast(frequencies(rows))
     lines = written(lines_of(rows, frequency), "lines")
     classes = lines.groupBy("a", "b").agg(F.min(F.struct(*KEY)).alias("at")).select("a", "b", *(F.col(f"at.{c}").alias(f"f_{c}") for c in KEY))
@@ -259,31 +267,25 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         same &= F.col(c) == F.col(f"f_{c}")
     firsts = lines.join(classes, ["a", "b"]).filter(same)
     shared = written(shared_posts(firsts, int(max(64, size // BUCKET)), partitions), "posts")
-    release(spark)
-    sets = written(token_sets(shared, rows, frequency), "sets")
-    release(spark)
 
     columns = ["dk", "no", "th", "n", "place"]
     heads = shared.groupBy("p").agg(F.min(F.struct(*columns)).alias("x")).select("p", *(F.col(f"x.{c}").alias(f"x_{c}") for c in columns))
     to_head = shared.join(heads, "p").filter(before("x_"))
-    settled = written(verified(fitting(to_head), sets), "settled")
+    settled = verified(fitting(to_head), rows, frequency)
     # What is left meets every earlier line that shares one of its tokens.
     open_ = shared.join(settled, list(KEY), "left_anti")
     others = shared.select("p", *(F.col(c).alias(f"x_{c}") for c in columns))
     met = to_head.select(*(f"x_{c}" for c in KEY), *KEY)
     more = fitting_in_all(open_.join(others, "p").filter(before("x_"))).join(met, [*(f"x_{c}" for c in KEY), *KEY], "left_anti")
-    release(spark)
-    settled_later = written(verified(more, sets), "settled")
-    release(spark)
+    settled_later = verified(more, rows, frequency)
     near = settled.unionByName(settled_later).distinct().withColumn("near", F.lit(True))
 
     # A copy of a line goes by the earliest of its equals; that one only if it is near an earlier line.
     fate = classes.join(near.select(*(F.col(c).alias(f"f_{c}") for c in KEY), "near"), [f"f_{c}" for c in KEY], "left")
     found = lines.select(*KEY, "a", "b").join(fate, ["a", "b"])
     out = written(found.filter(before("f_") | F.col("near")).select("dk", "th", "no", (~before("f_")).alias("near")).distinct(), "gone")
-    for done in (lines, shared, sets):
+    for done in (lines, classes, shared, settled, settled_later):
         discard(done)
-    release(spark)
     return out
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, map_arrow, release, slices, text_buffers, texts, written
+from quillgraph.llm.common import discard, map_arrow, slices, text_buffers, texts, written
 from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 WINDOW, GRAM, SHARD = 20, 6, 400
@@ -323,14 +323,12 @@ def marked_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = int(max(16, size // 8_000_000))
+    partitions = int(min(100_000, max(16, size // 8_000_000)))
     found = written(repeated_segments(packed_segments(rows, int(max(64, size // BUCKET))), partitions), "found")
-    release(spark)
     # Equal segments are one entry of the reference: the earliest. A document has as many as words at most.
     entries = found.groupBy("h", "dg").agg(F.min(F.struct("dk", "start", "th", "n")).alias("at")).select("h", "dg", "at.*")
     wanted = entries.groupBy("dk", "th").agg(F.collect_set(F.struct("h", "dg", "start", "n")).alias("found"))
     refs = written(cut_out(rows.join(wanted.hint("shuffle_hash"), ["dk", "th"])), "reference")  # repeated rows give entries twice, which does no harm
-    release(spark)
     runs = written(earliest_runs(refs, partitions), "runs")
     each = found.join(runs, ["h", "dg"]).select("dk", "th", F.col("start").alias("own"), F.explode("runs").alias("run"))
     later = (F.col("run.dk") < F.col("dk")) | ((F.col("run.dk") == F.col("dk")) & (F.col("run.start") < F.col("own") + F.col("run.from")))
@@ -338,7 +336,6 @@ def marked_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = written(ranges.groupBy("dk", "th").agg(F.collect_set("range").alias("ranges")), "marks")
     for done in (found, refs, runs):
         discard(done)
-    release(spark)
     return rows, marks
 
 

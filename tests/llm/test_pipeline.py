@@ -52,7 +52,10 @@ def test_stages_against_plain_ones(spark, folder):
     out = steps["near dedup"](spark, spark.createDataFrame(rows, docs.schema), folder)
     component = {d: c for d, _, c in brute.components([tuple(r) for r in rows])}
     rows = [r for r in rows if r.doc_id is None or component[str(r.doc_id)] == str(r.doc_id)]
-    assert texts(out) == sorted((str(r.doc_id), str(r.text)) for r in rows) and out.columns == columns
+    like = brute.lines([(r.doc_id, brute.lowered(r.text).replace("\n", " ")) for r in rows], 5)
+    gone = {d for d, _, n, _ in like if n}
+    rows = [r for r in rows if str(r.doc_id) not in gone]
+    assert gone and texts(out) == sorted((str(r.doc_id), str(r.text)) for r in rows) and out.columns == columns
 
     source = spark.createDataFrame(rows, docs.schema)
     out = steps["mixing"](spark, source, folder)
