@@ -2,16 +2,19 @@
 
 A document's size is its number of words. Each source has a weight and, from it, a target share of all
 words, capped at a multiple of what the source has; the excess goes to the others by weight. The total is
-cut into equal blocks of words, and the highest quotients weight / (2 k + 1) allot them to the sources, as
-whole numbers. A source's documents are dealt to shards by a hash, and its blocks are allotted to its
-shards by the same rule on the shards' sizes. In a shard the documents stand one after the other in seeded
-order and are cut into blocks; every block is taken as often as the quota covers the shard, and of the
-rest a seeded run of blocks, wrapping at the end, once more. A document's words count as often as their
-blocks are taken.
+cut into equal blocks of words (about BLOCKS, more if a small source needs finer ones), and the highest
+quotients weight / (2 k + 1) allot them to the sources, as whole numbers. A source's documents are dealt by
+a hash to shards, whose number grows with the input, and its blocks are allotted to its shards by the same
+rule on the shards' sizes. In a shard the documents stand one after the other in seeded order and are cut
+into blocks; every block is taken as often as the quota covers the shard, and the rest of the quota is a
+seeded choice of blocks, once more: block k is chosen if the fraction of k times the golden ratio, from a
+seeded start, is below the share that the rest has. Such fractions are spread so evenly that the words
+chosen are within a few blocks of the quota. A document's words count as often as their blocks are taken.
 
 Cases: null texts have size 0; null sources form a source, ordered last; documents of size 0 are taken 0
-times; repeated rows are separate documents; an empty table gives an empty result. A source without words
-has target 0. Reruns agree, as all orders come from hashes of doc_id and text.
+times; repeated rows are separate documents; a text of any length is cut at the blocks' borders; an empty
+table gives an empty result. A source without words has target 0. Reruns agree, as all orders come from
+hashes of doc_id, source and text. Other columns are carried along by mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import written
+from quillgraph.llm.common import own, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Shards of a source; blocks that the whole is cut into, about; the most that a document is repeated.
-SHARDS, BLOCKS, REPEATS = 64, 1 << 22, 3
+#: Least shards of a source, and words that a shard has at most, about; blocks that the whole is cut into, about;
+#: the least blocks of a source for each of its shards; the most that a document is repeated.
+SHARDS, SHARD, BLOCKS, FINEST, REPEATS = 8, 50_000_000, 1 << 14, 256, 3
+GOLDEN = 0.6180339887498949
 
 
 def size_of(text: Column) -> Column:
@@ -73,10 +78,10 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
 
 def row_key(docs: DataFrame, seed: int) -> Column:
     """A seeded hash of a document's content, the same for repeated rows."""
-    return F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"])
+    return F.xxhash64(F.lit(seed), own(docs, "doc_id").cast("long"), own(docs, "source").cast("string"), own(docs, "text"))
 
 
-def quotas(cells: DataFrame, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
+def quotas(cells: DataFrame, shards: int = SHARDS, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
     """For each source and shard with words: source_size, target, block and quota (words to take).
 
     cells: source, shard, size. The first step sees one row a source, the second the shards of one source.
@@ -89,7 +94,8 @@ def quotas(cells: DataFrame, repeats: int = REPEATS, blocks: int = BLOCKS) -> Da
         rows = rows.assign(_null=null, _key=key).sort_values(["_null", "_key"]).reset_index(drop=True)
         sizes, weights = rows["source_size"].to_numpy(np.int64), np.arange(len(rows)) % 3 + 1
         target = capped_targets(sizes, weights, repeats) if len(rows) else np.zeros(0)
-        block = max(1, int(sizes.sum()) // blocks)
+        least = target[target > 0].min(initial=np.inf) / (FINEST * shards)
+        block = max(1, int(min(sizes.sum() // blocks, least)))
         n = sainte_lague(target, int(round(target.sum() / block)) if len(rows) else 0)
         yield pd.DataFrame({"source": rows["source"], "source_size": sizes, "target": target, "block": np.int64(block), "blocks": n})
 
@@ -104,59 +110,75 @@ def quotas(cells: DataFrame, repeats: int = REPEATS, blocks: int = BLOCKS) -> Da
     # One row a source: sums only, whatever the number of documents.
     allotted = sources.coalesce(1).mapInPandas(by_source, "source string, source_size long, target double, block long, blocks long")
     named = cells.join(allotted, cells["source"].eqNullSafe(allotted["source"])).select(cells["source"], "shard", "size", "source_size", "target", "block", "blocks")
-    shards = named.groupBy("source").applyInPandas(by_shard, "source string, shard int, shard_size long, quota long")
+    dealt = named.groupBy("source").applyInPandas(by_shard, "source string, shard int, shard_size long, quota long")
     return named.join(
-        shards.withColumnsRenamed({"source": "source_", "shard": "shard_"}), F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_"))
+        dealt.withColumnsRenamed({"source": "source_", "shard": "shard_"}), F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_"))
     ).select("source", "shard", "source_size", "target", "block", "shard_size", "quota")
 
 
-def mixed(docs: DataFrame, seed: int = 20, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, source_size, target, taken; and whole (times that the whole text is taken), and the ranges
-    of words (from 0) taken once more: from_1 to to_1, from_2 to to_2 (ends excluded), key (a hash of the row)."""
-    row = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"), row_key(docs, seed).alias("key"))
-    row = row.withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(SHARDS)).cast("int"))
+def chosen(block: Column) -> Column:
+    """Whether a block of a shard, by number, is among those taken once more; of columns start and share."""
+    place = block * GOLDEN + F.col("start")
+    return place - F.floor(place) < F.col("share")
+
+
+def placed(docs: DataFrame, seed: int, repeats: int, blocks: int) -> DataFrame:
+    """doc_id, key, size, source_size, target, taken, whole (times that all blocks are taken), at (words of its shard
+    before it), block (words of one), start and share (for chosen) of each row of docs."""
+    row = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "source").cast("string").alias("source"), size_of(own(docs, "text")).alias("size"), row_key(docs, seed).alias("key"))
     rows = written(row, "sizes")
-    cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("size"))
-    quota = written(quotas(cells, repeats, blocks), "quotas").withColumnsRenamed({"source": "source_", "shard": "shard_"})
+    shards = int(max(SHARDS, (rows.agg(F.sum("size")).first()[0] or 0) // SHARD))
+    rows = rows.withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int"))
+    quota = quotas(rows.groupBy("source", "shard").agg(F.sum("size").alias("size")), shards, repeats, blocks)
+    quota = written(quota, "quotas").withColumnsRenamed({"source": "source_", "shard": "shard_"})
     order = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    # Sources times SHARDS rows.
-    found = placed.join(quota, F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_")), "left")
-    whole = F.floor(F.col("quota") / F.greatest("shard_size", F.lit(1)))
-    found = found.withColumn("whole", F.when(F.col("shard_size") > 0, whole).otherwise(0).cast("long")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("shard_size"))
-    # The seeded run starts at a block's border.
-    n_blocks = F.ceil(F.col("shard_size") / F.col("block"))
-    found = found.withColumn("run", F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), n_blocks) * F.col("block")).otherwise(0).cast("long"))
-    stop = F.col("run") + F.col("rest")
-
-    def clip(a: Column, b: Column) -> tuple[Column, Column]:
-        """The words of the document in [a, b) of its shard, counted from its own start."""
-        low = F.least(F.greatest(a - F.col("at"), F.lit(0)), F.col("size"))
-        return low, F.greatest(F.least(b - F.col("at"), F.col("size")), low)
-
-    (a, b), (c, d) = clip(F.lit(0), stop - F.col("shard_size")), clip(F.col("run"), F.least(stop, F.col("shard_size")))
-    found = found.withColumns({"from_1": a, "to_1": b, "from_2": c, "to_2": d})
-    taken = F.col("whole") * F.col("size") + F.col("to_1") - F.col("from_1") + F.col("to_2") - F.col("from_2")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "whole", "from_1", "to_1", "from_2", "to_2", "key")
-
-
-def mix(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The documents of the mix, with the columns of docs: whole texts as often as they are taken, and where a run
-    of blocks begins or ends inside a document one row with the words taken, joined by spaces."""
+    found = rows.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    found = found.join(quota, F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_")), "left")
+    full = F.col("shard_size") > 0
+    whole = F.when(full, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
+    found = found.withColumn("whole", whole).withColumn("share", F.when(full, F.col("quota") / F.col("shard_size") - F.col("whole")).otherwise(0.0))
+    found = found.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(1 << 32)) / float(1 << 32))
+    end = F.col("at") + F.col("size")
+    words = lambda k: F.least((k + 1) * F.col("block"), end) - F.greatest(k * F.col("block"), F.col("at"))
+    more = F.aggregate(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((end - 1) / F.col("block"))), F.lit(0).cast("long"), lambda n, k: n + F.when(chosen(k), words(k)).otherwise(0))
+    taken = F.col("whole") * F.col("size") + F.when((F.col("size") > 0) & (F.col("share") > 0), more).otherwise(0)
+    return found.select("doc_id", "key", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "whole", "at", "block", "start", "share")
+
+
+def mixed(docs: DataFrame, seed: int = 20, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row of docs."""
+    return placed(docs, seed, repeats, blocks).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, seed: int = 20, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
+    """The documents of the mix, with the columns of docs: whole texts as often as all their blocks are taken, and where
+    only some are taken once more one row with the words of these, joined by spaces."""
     names = docs.columns
-    # Repeated rows have one key; they are numbered, so that each gets one row of the plan.
-    plan = mixed(docs, seed).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("taken", "from_1", "from_2")))
-    plan = plan.filter("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in ("key", "n", "size", "whole", "from_1", "to_1", "from_2", "to_2")))
-    tagged = docs.withColumn("__k", row_key(docs, seed))
-    tagged = tagged.withColumn("__i", F.row_number().over(Window.partitionBy("__k").orderBy("__k")))
-    both = tagged.join(plan, (F.col("__k") == F.col("__key")) & (F.col("__i") == F.col("__n")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    part = F.concat(*(F.slice(words, F.col(f"__from_{i}").cast("int") + 1, (F.col(f"__to_{i}") - F.col(f"__from_{i}")).cast("int")) for i in (1, 2)))
-    n_more = F.col("__to_1") - F.col("__from_1") + F.col("__to_2") - F.col("__from_2")
-    full = n_more == F.col("__size")
-    times = F.col("__whole") + F.when(full, 1).otherwise(0)
-    copies = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*(F.col(f"`{n}`") for n in names))
-    partial = both.filter((n_more > 0) & ~full).withColumn("text", F.array_join(part, " "))
-    if "n_chars" in names:
-        partial = partial.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return copies.unionByName(partial.select(*(F.col(f"`{n}`") for n in names)))
+    # Fields by number, as names may differ in case only.
+    row = F.struct(*(own(docs, c).alias(f"c{i}") for i, c in enumerate(names)))
+    keyed = docs.select(row_key(docs, seed).alias("key"), own(docs, "text").cast("string").alias("text"), row.alias("row"))
+    plan = written(placed(docs, seed, repeats, blocks).drop("doc_id", "source_size", "target"), "plan")
+    counts = plan.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    again = written(counts.filter("rows > 1").select("key"), "repeated")
+    if again.isEmpty():
+        both = keyed.join(plan.filter("taken > 0"), "key")
+    else:  # repeated rows are numbered, so that each gets one row of the plan
+        one = Window.partitionBy("key")
+        single = keyed.join(again, "key", "left_anti").join(plan.filter("taken > 0"), "key")
+        numbered = keyed.join(again, "key", "left_semi").withColumn("i", F.row_number().over(one.orderBy("text")))
+        places = plan.join(again, "key", "left_semi").withColumn("i", F.row_number().over(one.orderBy("at"))).filter("taken > 0")
+        both = single.unionByName(numbered.join(places, ["key", "i"]).drop("i"))
+    more = F.col("taken") - F.col("whole") * F.col("size")
+    times = F.col("whole") + F.when(more == F.col("size"), 1).otherwise(0)
+    pieces = F.concat(F.array_repeat(F.lit(False), times.cast("int")), F.when((more > 0) & (more < F.col("size")), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda _, i: chosen(F.floor((F.col("at") + i) / F.col("block"))))
+    out = both.select("*", F.explode(pieces).alias("part")).withColumn("text", F.when(F.col("part"), F.array_join(words, " ")).otherwise(F.col("text")))
+    columns = []
+    for i, name in enumerate(names):
+        own_, kind = F.col(f"row.c{i}"), docs.schema.fields[i].dataType
+        if name == "text" or (name.lower() == "text" and "text" not in names):
+            own_ = F.col("text").cast(kind)
+        elif name == "n_chars":
+            own_ = F.when(F.col("part"), F.length("text").cast(kind)).otherwise(own_)
+        columns.append(own_.alias(name))
+    return out.select(*columns)

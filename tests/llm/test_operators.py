@@ -150,6 +150,40 @@ def test_mix_takes_the_words_that_it_says(docs):
     assert out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == want
 
 
+def test_mixing_by_blocks_of_many_words(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 400))), r.choice("aab")) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    total, blocks = sum(size.values()), 4000
+    want = {"a": total / 3, "b": min(3 * size["b"], total * 2 / 3)}
+    want["a"] = total - want["b"]
+    out = mixing.mixed(docs, blocks=blocks).collect()
+    assert len({x.taken / x["size"] for x in out}) > 3  # some documents are taken in part
+    assert all(x.taken <= 3 * x["size"] for x in out)
+    for s in "ab":
+        own = [x for x in out if x.source_size == size[s]]
+        assert abs(own[0].target - want[s]) < 1e-6 and abs(sum(x.taken for x in own) - want[s]) <= 4 * mixing.SHARDS * (total // blocks)
+    texts = mixing.mix(docs, blocks=blocks).groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+    assert {x.doc_id: x.n for x in texts} == {x.doc_id: x.taken for x in out if x.taken}
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed(docs.repartition(7), blocks=blocks).collect()))
+
+
+def test_other_columns_survive(spark):
+    """Names that operators use themselves, and names that differ in case only."""
+    names = ["doc_id", "text", "source", "lang", "key", "__k", "__key", "row", "part", "at", "sha", "taken"]
+    docs = spark.createDataFrame([(i, f"some words number {i % 3} " * 30, "s", "en", *range(8)) for i in range(9)], names)
+    for out in (mixing.mix(docs), exact_dedup.keep_one_of_each(docs), simhash.keep_one_of_each(docs)):
+        assert out.columns == names and {tuple(r)[4:] for r in out.collect()} == {tuple(range(8))}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    assert quality_rules.keep_good(docs, quality_rules.learn(docs, labels)).columns == names
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    docs = docs.withColumn("TEXT", F.lit("other")).withColumn("Doc_Id", F.lit(1))
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    assert exact_dedup.exact_dedup(docs).select("text_sha256").distinct().count() == 3
+    assert line_dedup.line_dedup(docs).count() == mixing.mixed(docs).count() == 9
+
+
 def test_mix_with_extreme_shares(spark):
     rows = [(i, "w " * (i % 7 + 1), "only" if i % 50 else f"rare{i}") for i in range(300)]
     out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -268,6 +302,27 @@ def test_html_extraction(spark):
     assert out[2] == (2, "v", "", 0) and out[3] == (3, None, "", 0)
 
 
+HAND_LABELLED = [
+    ("<p>Short note.</p>", "Short note."),
+    ("just words", "just words"),
+    ("<body><div>First long part of a story that goes on and on for a while.</div><div>Second part of it, about as long as the first one.</div></body>", "First long part of a story that goes on and on for a while. Second part of it, about as long as the first one."),
+    ("<article><p>The sum <math><mi>x</mi>+1</math> is known.</p></article>", "The sum x+1 is known."),
+    ("<article><p>A long text about things that matter to all of us.</p></article><div id='user-feedback'><p>Great read!</p><p>Me too.</p></div>", "A long text about things that matter to all of us."),
+    ("<nav><a href=/>Home</a></nav><main><h2>Head</h2><p>Body &lt;b&gt; of the text, with an end.</p></main><footer>&copy; Firm</footer>", "Head Body <b> of the text, with an end."),
+]
+
+
+@pytest.mark.parametrize("page, want", HAND_LABELLED)
+def test_html_of_hand_labelled_pages(page, want):
+    assert html_extraction.main_text(page, html_extraction.trained_field()) == want
+
+
+def test_html_takes_time_in_proportion():
+    for piece in ("<div>x", "<button>x", "<b>x", "<li><b>x", "<script", "<a '"):
+        blocks = html_extraction.blocks_of(piece * 20_000)
+        assert sum(b.text.count("x") for b in blocks) == 20_000 * piece.endswith("x")
+
+
 def test_html_field_on_new_layouts():
     field, wrong, total = html_extraction.trained_field(), 0, 0
     for page, labels in html_extraction.composed_pages(150, seed=99):
