@@ -29,7 +29,7 @@ from quillgraph.llm.common import own, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Least shards of a source, and words that a shard has at most, about; blocks that the whole is cut into, about;
 #: the least blocks of a source for each of its shards; the most that a document is repeated.
-SHARDS, SHARD, BLOCKS, FINEST, REPEATS = 8, 50_000_000, 1 << 14, 256, 3
+SHARDS, SHARD, BLOCKS, FINEST, REPEATS = 64, 50_000_000, 1 << 14, 64, 3
 GOLDEN = 0.6180339887498949
 
 
