@@ -66,10 +66,11 @@ def residues(rows: DataFrame, column: str) -> DataFrame:
 
 def taxa(nodes: DataFrame, names: DataFrame, roots: list[int]) -> DataFrame:
     """tax_id, parent_id, rank, name of the taxa under given roots, from taxonomy nodes and names."""
-    from quillgraph.operators.traverse import ancestors
+    from quillgraph.operators.traverse import under
 
-    up = ancestors(nodes.filter("tax_id != parent_id").select(F.col("tax_id").alias("child"), F.col("parent_id").alias("parent")), 64)
-    kept = up.filter(F.col("ancestor").isin(*roots)).select(F.col("node").alias("tax_id")).distinct()
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    below = under(nodes.filter("tax_id != parent_id").select(text("tax_id", "child"), text("parent_id", "parent")), [str(r) for r in roots])
+    kept = below.select(F.col("node").cast("long").alias("tax_id"))
     scientific = names.filter("name_class = 'scientific name'").groupBy("tax_id").agg(F.min("name").alias("name"))
     return nodes.join(kept, "tax_id", "left_semi").join(scientific, "tax_id", "left").select("tax_id", "parent_id", "rank", "name")
 
