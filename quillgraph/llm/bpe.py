@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.common import texts
+from quillgraph.llm.common import own, texts
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
@@ -223,4 +223,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import held_out, map_arrow, may_learn, text_buffers
+from quillgraph.llm.common import held_out, map_arrow, may_learn, own, text_buffers
 
 #: Rows that fitting uses, at most, about; hashed n-grams; lengths of n-grams.
 SAMPLE, DIM, LENGTHS = 3000, 2048, (1, 2, 3)
@@ -124,7 +124,7 @@ def fit(x: np.ndarray, languages: list[str], label: np.ndarray, steps: int = 150
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most about `sample` labelled rows that are not held out, the same number a language."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    rows = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text"), own(docs, "lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
@@ -168,6 +168,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             score[own] = np.where(known[own], share, 0.0)
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "ambiguous": pa.array(score < AMBIGUOUS)})
 
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    source = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text"))
     found = map_arrow(source, run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -16,13 +16,14 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import own
 from quillgraph.llm.shingle_join import duplicate_lines, rows_of
 
 
 def keep_no_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that an earlier document makes go."""
-    text = F.translate(docs["text"].cast("string"), "\n" + ascii_uppercase, " " + ascii_lowercase)
-    plain = docs.select("doc_id", text.alias("text"), F.struct(*docs.columns).alias("whole"))
+    text = F.translate(own(docs, "text").cast("string"), "\n" + ascii_uppercase, " " + ascii_lowercase)
+    plain = docs.select(own(docs, "doc_id").alias("doc_id"), text.alias("text"), F.struct(*(own(docs, c) for c in docs.columns)).alias("whole"))
     gone = duplicate_lines(plain).select("dk", "th").distinct()
     keyed = rows_of(plain, "whole")
     return keyed.join(gone, ["dk", "th"], "left_anti").select("whole.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_arrow, may_learn, text_buffers
+from quillgraph.llm.common import map_arrow, may_learn, own, text_buffers
 from quillgraph.llm.words import SPACE, rolling, word_hashes, words_of
 
 #: Labelled rows that learning uses, at most, chosen by a hash of doc_id: a bounded sample for fitting only.
@@ -100,7 +100,7 @@ def statistics(docs: DataFrame, keep: str = "") -> DataFrame:
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ["doc_id", *kept]} | measured(batch.column("text")))
 
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *kept, docs["text"].cast("string").alias("text"))
+    source = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), *kept, own(docs, "text").cast("string").alias("text"))
     return map_arrow(source, measure, "doc_id long, " + (keep + ", " if keep else "") + STATISTICS)
 
 
@@ -226,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     n = marked.count()
     part = min(1.0, sample / max(n, 1))
     marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(part * (1 << 20)))
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(marked), "doc_id")  # sample rows at most, about
+    taught = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").alias("text")).join(F.broadcast(marked), "doc_id")  # sample rows at most, about
     rows = statistics(taught, "quality int").filter(~base_failed()).orderBy("doc_id").limit(2 * sample).toPandas()
     x = {k: np.where(rows[b] > 0, rows[a] / np.maximum(rows[b], 1), 0.0) for k, (a, b) in FEATURES.items()}
     return learn_list(x, (rows["quality"] == 0).to_numpy())
@@ -242,20 +242,13 @@ def quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs without the rows that the rules reject, all columns as they were, in one pass."""
-    names = docs.columns
-    schema = docs.schema
-    added = [x.split() for x in STATISTICS.split(", ")]
-    own = {n: f"__{n}" for n, _ in added}
-    while any(v in names for v in own.values()):
-        own = {n: v + "_" for n, v in own.items()}
-    text_at, wide = names.index("text"), docs.select("*", *(F.lit(0).cast(kind).alias(own[n]) for n, kind in added)).schema
+    names, text_at = docs.columns, docs.columns.index("text")
+    # Columns go by place, so that no name of theirs can clash.
+    plain, added = docs.toDF(*(f"c{i}" for i in range(len(names)))), [x.split() for x in STATISTICS.split(", ")]
+    wide = plain.select("*", *(F.lit(0).cast(kind).alias(n) for n, kind in added)).schema
 
     def tag(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = measured(batch.column(text_at))
-        return pa.RecordBatch.from_arrays([*batch.columns, *(found[n] for n, _ in added)], names=[*names, *own.values()])
+        return pa.RecordBatch.from_arrays([*batch.columns, *(found[n] for n, _ in added)], names=wide.names)
 
-    def of(statistic: str) -> Column:
-        return F.col(own[statistic])
-
-    good = map_arrow(docs, tag, wide).filter(~base_failed(of) & verdict(rules, of))
-    return good.select(*(F.col(f"`{n}`") for n in schema.names))
+    return map_arrow(plain, tag, wide).filter(~base_failed() & verdict(rules)).select(*plain.columns).toDF(*names)

@@ -35,7 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, map_arrow, slices, text_buffers, written
+from quillgraph.llm.common import discard, map_arrow, own, slices, text_buffers, written
 from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 80
@@ -51,7 +51,7 @@ POST = np.dtype([("p", "<i8"), ("dk", "<i8"), ("th", "<i4"), ("no", "<i4"), ("n"
 
 def rows_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart; and more columns of docs."""
-    doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    doc_id, text = own(docs, "doc_id").cast("long"), F.coalesce(own(docs, "text").cast("string"), F.lit(""))
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"), *more)
 
 

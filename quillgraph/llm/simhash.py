@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import written
+from quillgraph.llm.common import own, written
 
 RADIUS = 2
 SHARD = 2048
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(b.as_py()) for b in bodies], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(prints, pa.int64())})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -202,4 +202,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = simhash_components(docs)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    return docs.join(gone, own(docs, "doc_id").cast("long") == gone["gone_id"], "left_anti")

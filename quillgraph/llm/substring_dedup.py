@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import discard, map_arrow, slices, text_buffers, texts, written
+from quillgraph.llm.common import discard, map_arrow, own, slices, text_buffers, texts, written
 from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 WINDOW, GRAM, SHARD = 20, 6, 400
@@ -320,7 +320,7 @@ def marked_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dk orders documents; th, a hash of the text, tells rows that share a doc_id apart.
     """
     spark = docs.sparkSession
-    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    doc_id, text = own(docs, "doc_id").cast("long"), own(docs, "text").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(100_000, max(16, size // 8_000_000)))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity
+from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, simhash, substring_dedup, toxicity
 from quillgraph.llm.common import slices, text_buffers
 from quillgraph.llm.words import word_hashes, words_of
 from tests.llm import brute
@@ -182,6 +182,14 @@ def test_other_columns_survive(spark):
     spark.conf.set("spark.sql.caseSensitive", "false")
     assert exact_dedup.exact_dedup(docs).select("text_sha256").distinct().count() == 3
     assert line_dedup.line_dedup(docs).count() == mixing.mixed(docs).count() == 9
+    reports = (simhash.simhash_components(docs), substring_dedup.substring_dedup(docs), language_id.predict(docs, language_id.learn(docs)), toxicity.score(docs, toxicity.learn(docs, labels)), bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN))
+    assert [out.count() for out in reports] == [9] * len(reports)
+    rules = quality_rules.learn(docs, labels)
+    assert quality_rules.quality_rules(docs, rules).count() == 9
+    kept = (quality_rules.keep_good(docs, rules), near_dedup.keep_no_near_copies(docs), simhash.keep_one_of_each(docs))
+    for out in kept:
+        assert out.columns == docs.columns
+    assert kept[1].count() == kept[2].count() == 3
 
 
 def test_mix_with_extreme_shares(spark):
