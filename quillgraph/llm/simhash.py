@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import own, written
+from quillgraph.llm.common import discard, own, written
 
 RADIUS = 2
 SHARD = 2048
@@ -162,10 +162,17 @@ def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     return shards.mapInArrow(search, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root of every node of edges (src, dst): alternating large-star and small-star, each round written."""
-    edges = written(edges, "edges")
-    for _ in range(rounds):
+def all_stars(edges: DataFrame) -> bool:
+    """Each src has one dst, and no dst is a src: the edges name every node's root."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root of every node of edges (src, dst): alternating large-star and small-star, each round written, until
+    all edges are stars."""
+    edges = written(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    while not all_stars(edges):
         both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
@@ -174,13 +181,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).filter("src != dst").unionByName(lowest.select(F.col("u").alias("src"), F.col("m").alias("dst")))
         after = written(small.distinct(), "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
+        discard(edges)
         edges = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root"))
-    return roots.unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
 
 
 def simhash_components(docs: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -87,6 +87,9 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "src long, dst long").filter("src != dst")
     out = {r.node: r.root for r in simhash.components(edges).collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    # A star around its largest node, and one that is as it should be.
+    edges = spark.createDataFrame([(1, 9), (2, 9), (5, 4), (6, 4)], "src long, dst long")
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {1: 1, 2: 1, 9: 1, 4: 4, 5: 4, 6: 4}
 
 
 def test_substring_dedup(docs, rows):
