@@ -39,7 +39,8 @@ from quillgraph.llm.common import discard, map_arrow, own, slices, text_buffers,
 from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 80
-BUCKETS, HASH_BITS = 1 << 16, 43
+#: So many buckets that a shingle in hundreds of texts stands out from all the rare ones that share its bucket.
+BUCKETS, HASH_BITS = 1 << 20, 43
 MOST = (1 << (63 - HASH_BITS)) - 1
 LAST = 2**63 - 1
 #: Posts that a task packs at a time; bytes of text for each bucket of tokens, about.
@@ -101,9 +102,10 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen.astype(np.int32)), "n": pa.array(total[seen])})
 
+    # BUCKETS rows at most come to the driver, whatever the corpus.
+    sums = rows.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    for r in rows.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = min(r["n"], MOST)
+    out[sums.column("id").to_numpy()] = sums.column("n").to_numpy()
     return out
 
 
