@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity
+from quillgraph.llm import bpe, clustering, exact_dedup, html_extraction, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity, whitening
 from quillgraph.llm.common import table
 
 
@@ -52,9 +52,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op8_line_dedup, op9_bpe, op10_quality_rules)}
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", found["deviation"].cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op8_line_dedup, op9_bpe, op10_quality_rules, op11_clustering, op13_whitening)}
+
+
+
+def clustering_sql(k: int = 16, rounds: int = 3, size: int = 64, factor: int = 64) -> str:
+    """Lloyd's rounds without bounds: every distance of every round, one common table a step."""
+    near = """a{r} AS (SELECT id, x, c, d FROM (SELECT id, x, c, d, row_number() OVER (PARTITION BY id ORDER BY d, c) AS place FROM (
+            SELECT v.id, v.x, m.c, list_sum(list_transform(range(1, {size} + 1), lambda i: (v.x[i] - m.y[i]) * (v.x[i] - m.y[i]))) AS d FROM v CROSS JOIN m{r} AS m)) WHERE place = 1)"""
+    move = """s{r} AS (SELECT c, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM (SELECT c, x, unnest(range(1, {size} + 1)) AS i FROM a{p}) GROUP BY c, i),
+        m{r} AS (SELECT c, coalesce(n.y, o.y) AS y FROM m{p} AS o LEFT JOIN (SELECT c, list(y ORDER BY i) AS y FROM s{r} GROUP BY c) AS n USING (c))"""
+    steps = [near.format(r=0, size=size)]
+    for r in range(1, rounds + 1):
+        steps += [move.format(r=r, p=r - 1, size=size), near.format(r=r, size=size)]
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({factor} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {size}
+        ),
+        v AS (SELECT vec_id, x, row_number() OVER () AS id FROM kept),
+        m0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, x LIMIT {k})),
+        {", ".join(steps)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m.y, ',')) AS centroid_sha256
+        FROM a{rounds} AS a JOIN v USING (id) JOIN m{rounds} AS m ON m.c = a.c
+    """
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_clustering": clustering_sql(),
     "op1_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
