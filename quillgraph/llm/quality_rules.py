@@ -48,18 +48,32 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
 
-def repeated_words(hashes: np.ndarray, first: np.ndarray, size: int = WINDOW) -> np.ndarray:
+def windows_twice(own: np.ndarray, text: Callable[[], bytes], size: int) -> np.ndarray | None:
+    """Which windows of a text it has twice or more, None if none. own: their hashes; what these take as equal is
+    compared word for word."""
+    order = np.argsort(own, kind="stable")
+    same = own[order[1:]] == own[order[:-1]]
+    if not same.any():
+        return None
+    ids: dict[bytes, int] = {}
+    words = np.lib.stride_tricks.sliding_window_view(np.array([ids.setdefault(w, len(ids)) for w in text().split()]), size)
+    a, b = order[1:][same], order[:-1][same]
+    if (words[a] == words[b]).all():
+        twice = np.zeros(len(own), bool)
+        twice[a] = twice[b] = True
+        return twice
+    _, group, total = np.unique(words, axis=0, return_inverse=True, return_counts=True)
+    return total[group.ravel()] > 1
+
+
+def repeated_words(hashes: np.ndarray, first: np.ndarray, text: Callable[[int], bytes], size: int = WINDOW) -> np.ndarray:
     """For each text, its words in windows of `size` words that the text has twice or more."""
     out = np.zeros(len(first) - 1, np.int64)
     windows = rolling(hashes, size)
     for i in np.flatnonzero(np.diff(first) > size):
         own = windows[first[i] : first[i + 1] - size + 1]
-        order = np.argsort(own, kind="stable")
-        same = own[order[1:]] == own[order[:-1]]
-        if same.any():
-            twice = np.zeros(len(own), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+        twice = windows_twice(own, lambda i=i: text(i), size)
+        if twice is not None:
             change = np.zeros(len(own) + size, np.int64)
             at = np.flatnonzero(twice)
             change[at] += 1
@@ -85,7 +99,7 @@ def measured(column: pa.Array) -> dict[str, pa.Array]:
         "word_chars": per_text(NOT_CONTINUED[data] & ~SPACE[data], offsets),
         "n_symbols": per_text(SYMBOLS[data], offsets),
         "n_dup_lines": dup,
-        "n_repeat_words": repeated_words(word_hashes(words, data), words.first),
+        "n_repeat_words": repeated_words(word_hashes(words, data), words.first, lambda i: data[offsets[i] : offsets[i + 1]].tobytes()),
         "n_upper": per_text(UPPER[data], offsets),
         "n_marks": per_text(MARKS[data], offsets),
         "n_lines": n_lines,

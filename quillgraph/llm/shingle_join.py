@@ -62,7 +62,7 @@ class Lines:
     def __init__(self, column: pa.Array):
         offsets, data = text_buffers(column)
         words = words_of(offsets, data)
-        self.hashes = word_hashes(words, data)
+        self.hashes, self.others = word_hashes(words, data), word_hashes(words, data, 1)
         row = np.repeat(np.arange(len(offsets) - 1), words.counts)
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         no = breaks[words.start] - breaks[offsets[row]] if len(row) else row
@@ -74,8 +74,7 @@ class Lines:
 
     def identity(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each line's words."""
-        other = self.hashes ^ (self.hashes >> np.uint64(29)) ^ np.uint64(0x5851F42D4C957F2D)
-        return range_hashes(self.hashes, self.first, self.last), range_hashes(other * np.uint64(0x14057B7EF767814F), self.first, self.last)
+        return range_hashes(self.hashes, self.first, self.last), range_hashes(self.others, self.first, self.last)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(number of the line, 43-bit hash) of every shingle, repeats included."""

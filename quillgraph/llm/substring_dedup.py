@@ -4,7 +4,7 @@
    have equal minimizers, so only windows whose minimizer occurs twice can repeat. Runs of neighbouring
    windows with one minimizer form a segment, about one for eight words; segments travel packed and without
    their words, and minimizers that are frequent in one task are settled there.
-2. Of equal segments (by minimizer and a 64-bit digest of the words) the earliest is fetched with its words:
+2. Of equal segments (by minimizer and a digest of the words, two 64-bit hashes with independent keys) the earliest is fetched with its words:
    these are the reference. It is sharded by minimizer, which keeps equal windows in one shard.
 3. Each shard's suffix automaton is built in order of place, so that a state knows its first end. The
    shard's segments stream through it: while the matched length is at least WINDOW, the state of the last
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import discard, map_arrow, own, slices, text_buffers, texts, written
-from quillgraph.llm.words import range_hashes, rolling, word_hashes, words_of
+from quillgraph.llm.words import joined, rolling, word_hashes, words_of
 
 WINDOW, GRAM, SHARD = 20, 6, 400
 REACH = WINDOW - GRAM + 1
@@ -74,7 +74,9 @@ def segments_of(column: pa.Array) -> np.ndarray:
     at = np.flatnonzero(since % REACH == 0)
     out, n = np.zeros(len(at), PACKED), np.diff(np.append(at, len(row)))
     out["h"], out["dk"], out["start"], out["n"] = value[at], row[at], place[at], n
-    out["dg"] = range_hashes(hashes, at_word[at], at_word[at] + n + WINDOW - 1)
+    # The first and the last window cover the words of a segment; their hashes have another key than the minimizer's.
+    whole = rolling(word_hashes(words, data, 1), WINDOW)
+    out["dg"] = joined(whole[at_word[at]], whole[at_word[at] + n - 1]) + n.astype(np.uint64)
     segment = np.repeat(np.arange(len(at)), n)
     for shift in range(1, REACH):  # equal windows of one segment begin with equal sequences
         same = np.flatnonzero(gram[shift:] == gram[:-shift])

@@ -41,6 +41,8 @@ def documents(seed=1, n=120):
             t = (r.choice(texts) or "").upper()
         texts.append(t)
     texts += [None, "", " \t\n\x0b", "a", "a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a", "x y z 日本語 🙂", "\n\n", sentence(4000), passage, passage]
+    patterned = "".join("ab"[i.bit_count() % 2] for i in range(1024))  # words of over 1000 bytes
+    texts += [f"{passage[:60]} {patterned} {line}", f"{passage[:60]} {patterned.translate({97: 98, 98: 97})} {line}"]
     rows = [(i, t, r.choice(["en", "fr", None]), r.choice(["s1", "s2", "é", None]), None if t is None else len(t), "k", 1, 2, "q") for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, texts[4], None, None, 1, "k", 1, 2, "q"), (None, None, None, None, None, None, None, None, None)]
     r.shuffle(rows)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, exact_dedup, html_extraction, language_id, line_dedup, mixing, near_dedup, quality_rules, simhash, substring_dedup, toxicity
 from quillgraph.llm.common import slices, text_buffers
-from quillgraph.llm.words import word_hashes, words_of
+from quillgraph.llm.words import range_hashes, rolling, word_codes, word_hashes, words_of
 from tests.llm import brute
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -363,11 +363,64 @@ def test_words_across_batches():
     offsets, data = text_buffers(batch.column("text"))
     words = words_of(offsets, data)
     assert words.counts.tolist() == [len((t or "").encode().split()) for t in texts]
-    one = word_hashes(words, data)
-    assert (one == word_hashes(words, data, size=3)).all() and len(set(one.tolist())) == 7
+    one = word_codes(words, data)
+    assert (one == word_codes(words, data, size=3)).all() and len(set(one.tolist())) == 7
+    for key in (0, 1):
+        own = word_hashes(words, data, key)
+        assert len(set(own.tolist())) == 7 and own[1] != word_hashes(words, data, 1 - key)[1]
     assert sum(p.num_rows for p in slices(batch, 3)) == len(texts)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_hashes_tell_patterned_words_apart():
+    """Words and sequences of two letters or words in the order that polynomial hashes cannot tell from its complement."""
+    words = [thue_morse(n, *ab) for n in (1, 7, 8, 9, 15, 16, 17, 1024, 2048, 4096) for ab in ("ab", "ba")] + ["a" * n for n in range(2, 40)]
+    offsets, data = text_buffers(pa.array([" ".join(words)]))
+    at = words_of(offsets, data)
+    assert len(set(word_hashes(at, data).tolist())) == len(words)
+    h = np.array([3, 5], np.uint64)
+    order = np.array([i.bit_count() % 2 for i in range(4096)])
+    long = np.concatenate([h[order], h[1 - order]])
+    ends = np.array([4096, 8192])
+    assert len(set(range_hashes(long, ends - 4096, ends).tolist())) == 2
+    assert rolling(long, 4096)[0] != rolling(long, 4096)[4096]
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 22))
+@settings(max_examples=60, deadline=None)
+def test_sequence_hashes_equal_just_for_equal_sequences(values, size):
+    hashes = np.array(values, np.uint64)
+    own, n = rolling(hashes, size).tolist(), max(0, len(values) - size + 1)
+    assert len(own) == n
+    assert all((own[i] == own[j]) == (values[i : i + size] == values[j : j + size]) for i in range(n) for j in range(i))
+    spans = [(i, min(len(values), i + size + i % 3)) for i in range(len(values))]
+    ranges = range_hashes(hashes, *np.array(spans).T).tolist()
+    assert all((ranges[i] == ranges[j]) == (values[slice(*spans[i])] == values[slice(*spans[j])]) for i in range(len(spans)) for j in range(i))
+
+
+def test_long_patterned_words(spark):
+    """Windows that differ in one long word only do not repeat: op6 removes nothing, op10 counts nothing."""
+    rest = " ".join(f"w{i}" for i in range(19))
+    for n in (1024, 2048):
+        one, two = thue_morse(n), thue_morse(n, "b", "a")
+        rows = [(1, f"{rest} {one}", "en", "x"), (2, f"{rest} {two}", "en", "x"), (3, f"{rest} {one}", "en", "x")]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table).collect()} == {1: 0, 2: 0, 3: 20}
+        text = " ".join([*(f"v{i}" for i in range(7)), one, *(f"x{i}" for i in range(20)), *(f"v{i}" for i in range(7)), two])
+        assert quality_rules.measured(pa.array([text, text + " " + text]))["n_repeat_words"].to_pylist() == [0, 72]
+
+
+def test_repeated_windows_are_compared_word_for_word():
+    text = b"a b c d e f g h a b c d e f g i"
+    made_up = np.zeros(9, np.uint64)  # hashes that cannot tell windows apart
+    assert quality_rules.windows_twice(made_up, lambda: text, 8).sum() == 0
+    twice = quality_rules.windows_twice(np.zeros(9, np.uint64), lambda: b"a b c d e f g h a b c d e f g h", 8)
+    assert np.flatnonzero(twice).tolist() == [0, 8]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert exact_dedup.exact_dedup(empty).count() == exact_dedup.keep_one_of_each(empty).count() == 0
