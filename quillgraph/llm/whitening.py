@@ -52,7 +52,8 @@ def covariance(fit: DataFrame, n: int, sums: list[int]) -> tuple[np.ndarray, np.
     d = len(sums)
     centre = [s // n for s in sums]
     rest = [s - n * m for s, m in zip(sums, centre, strict=True)]
-    centred = fit.selectExpr(*(f"CAST(x[{i}] - {m}L AS DOUBLE) AS z{i}" for i, m in enumerate(centre)))
+    # No entry is null; said so, the sums need no null checks.
+    centred = fit.selectExpr(*(f"nvl(CAST(x[{i}] - {m}L AS DOUBLE), 0D) AS z{i}" for i, m in enumerate(centre)))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     row = centred.selectExpr(*(f"sum(z{i} * z{j}) AS p{i}_{j}" for i, j in pairs)).first()
     v = np.zeros((d, d))
