@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, clustering, exact_dedup, html_extraction, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity, whitening
+from quillgraph.llm import bpe, clustering, exact_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join, quality_rules, simhash, substring_dedup, toxicity, whitening
 from quillgraph.llm.common import table
 
 
@@ -56,12 +56,16 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whitened(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", found["deviation"].cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op8_line_dedup, op9_bpe, op10_quality_rules, op11_clustering, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_language_id, op4_toxicity, op5_html_extraction, op6_substring_dedup, op7_simhash, op8_line_dedup, op9_bpe, op10_quality_rules, op11_clustering, op12_ngram_join, op13_whitening)}
 
 
 
@@ -89,6 +93,22 @@ def clustering_sql(k: int = 16, rounds: int = 3, size: int = 64, factor: int = 6
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+        g AS (SELECT list_sort(s) AS s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+        t AS (SELECT id, n, unnest(s) AS t FROM g),
+        few AS (SELECT t.id, t.n, t.t, row_number() OVER (PARTITION BY t.id ORDER BY f.f, t.t) AS place FROM t JOIN (SELECT t, count(*) AS f FROM t GROUP BY t) AS f USING (t)),
+        short AS (SELECT id, n, t FROM few WHERE place <= n - (90 * n + 99) // 100 + 1),
+        pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM short AS x JOIN short AS y ON x.t = y.t AND x.id < y.id AND x.n * 100 >= y.n * 90 AND y.n * 100 >= x.n * 90),
+        links AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS c, x.n + y.n AS n FROM pairs JOIN g AS x ON x.id = a JOIN g AS y ON y.id = b) WHERE 190 * c >= 90 * n),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT id AS a, id AS b FROM g UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+        low AS (SELECT a AS id, min(b) AS low FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(low.low, s.doc_id) AS component_id
+        FROM s LEFT JOIN g ON list_sort(s.s) = g.s LEFT JOIN low ON low.id = g.id
+    """,
     "op11_clustering": clustering_sql(),
     "op1_exact_dedup": """
         WITH n AS (
