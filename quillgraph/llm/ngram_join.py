@@ -13,8 +13,8 @@ classes are searched for each other:
    settles groups of near copies, as most lists then hold one component; only lists that span several stay open,
    and of these a class gets only the entries of other components (`open_lists`).
 3. The open lists of a class are merged by a heap (`merged`): what occurs in them must have, with the places where
-   it occurs, enough tokens left to reach the overlap that both sizes ask for. The lists set aside are not
-   scanned but probed for these candidates (`probed`): by binary search of their tokens in the candidate's set.
+   it occurs, enough tokens left to reach the overlap that both sizes ask for, and parities of tokens that differ
+   in no more bits than similar sets may differ in tokens. The lists set aside are not scanned but probed for these candidates (`probed`): by binary search of their tokens in the candidate's set.
 
 Rounds of components join the links. A list is dealt in blocks of about BLOCK entries, so no list fills a row or
 a task; its cost is the square of how many different components it holds after step 2. Sets are compared as
@@ -49,6 +49,8 @@ HASH = np.uint64((1 << HASH_BITS) - 1)
 CHUNK, BUCKET, PARTITION = 300_000, 4_000_000, 8_000_000
 #: Entries of a block of an open list, about; classes whose keys may be broadcast to look up their texts, at most.
 BLOCK, LOOKED_UP = 512, 500_000
+#: Parities of a set; bytes of text that one task counts tokens of, at least, as each sends up to BUCKETS counts.
+BITS, COUNTED = 1024, 64_000_000
 LAST = 2**63 - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -77,7 +79,7 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row, value
 
 
-def rarities(rows: DataFrame, size: int) -> np.ndarray:
+def rarities(rows: DataFrame, size: int, tasks: int) -> np.ndarray:
     """Twice the logarithm of how many shingles fall into each of BUCKETS buckets: a table of 1 MB for any corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def rarities(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen.astype(np.int32)), "n": pa.array(total[seen])})
 
     # BUCKETS rows at most come to the driver, whatever the corpus.
-    sums = rows.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.select("text").coalesce(tasks).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.uint8)
     out[sums.column("id").to_numpy()] = np.minimum(2 * np.log2(sums.column("n").to_numpy()), 62).astype(np.uint8)
     return out
@@ -106,6 +108,14 @@ def token_sets(column: pa.Array, size: int, rarity: np.ndarray) -> tuple[np.ndar
     return token[new], np.bincount(row[new], minlength=len(column))
 
 
+def parities(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set BITS bits, each the parity of how many of its tokens name it: sets differ in as many tokens at least
+    as their bits differ."""
+    out = np.zeros(len(n) * BITS // 64, np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(n)) * (BITS // 64), n) + (token >> 6 & (BITS // 64 - 1)), np.uint64(1) << (token & 63).astype(np.uint64))
+    return out.reshape(len(n), -1)
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """The fewest tokens that a set of n shares with any similar set."""
     return -(-n * percent // 100)
@@ -116,7 +126,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def prefixes(rows: DataFrame, size: int, percent: int, rarity: Broadcast) -> DataFrame:
-    """doc_id, dk, th, n, a, b (two digests of the set) and t, the tokens of short lists, of every row."""
+    """doc_id, dk, th, n, a, b (two digests of the set), t (the tokens of short lists) and bits (parities) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         token, n = token_sets(batch.column("text"), size, rarity.value)
@@ -125,10 +135,11 @@ def prefixes(rows: DataFrame, size: int, percent: int, rarity: Broadcast) -> Dat
         kept = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
         place = np.arange(len(token)) - np.repeat(end - n, n)
         t = lists(token[place < np.repeat(kept, n)], kept)
+        bits = pa.array([x.tobytes() for x in parities(token, n)], pa.binary())
         own_columns = {c: batch.column(c) for c in ("doc_id", "dk", "th")}
-        return pa.RecordBatch.from_pydict(own_columns | {"n": pa.array(n.astype(np.int32)), "a": pa.array(digests[0]), "b": pa.array(digests[1]), "t": t})
+        return pa.RecordBatch.from_pydict(own_columns | {"n": pa.array(n.astype(np.int32)), "a": pa.array(digests[0]), "b": pa.array(digests[1]), "t": t, "bits": bits})
 
-    return map_arrow(rows, run, "doc_id long, dk long, th int, n int, a long, b long, t array<long>")
+    return map_arrow(rows, run, "doc_id long, dk long, th int, n int, a long, b long, t array<long>, bits binary")
 
 
 def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame:
@@ -279,7 +290,20 @@ def sets_of(ids: DataFrame, classes: DataFrame, rows: DataFrame, size: int, rari
 
 
 def probed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, rarity: Broadcast) -> DataFrame:
-    """src, dst of the pairs (id, other) that are similar: the tokens of one are looked up in the other's by binary search."""
+    """src, dst of the pairs (id, other) that are similar: the tokens of one are looked up in the other's by binary search.
+
+    Pairs whose parities differ in more bits than similar sets may differ in tokens go before any set is made.
+    """
+    sides = classes.select("id", "n", "bits")
+    near = pairs.join(sides, "id").join(sides.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("bits").alias("bits2")), "other")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits", "bits2"))
+        both = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+        keep = pa.array(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) * (100 + percent) <= both * (100 - percent))
+        return pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("id", "other")})
+
+    pairs = written(map_arrow(near.select("id", "other", "n", "m", "bits", "bits2"), compare, "id long, other long"), "alike")
     ids = written(pairs.select("id").union(pairs.select("other")).distinct(), "ids")
     # Repeated rows give sets twice; their links are made one below.
     sets = written(sets_of(ids, classes, rows, size, rarity), "sets")
@@ -296,7 +320,7 @@ def probed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
         return pa.RecordBatch.from_pydict({"src": batch.column("id").filter(pa.array(keep)), "dst": batch.column("other").filter(pa.array(keep))})
 
     out = written(map_arrow(both, run, "src long, dst long").distinct(), "links")
-    for done in (ids, sets):
+    for done in (pairs, ids, sets):
         discard(done)
     return out
 
@@ -306,11 +330,11 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     rows = rows_of(docs)
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(100_000, max(16, amount // PARTITION)))
-    rarity = rows.sparkSession.sparkContext.broadcast(rarities(rows, size))
+    rarity = rows.sparkSession.sparkContext.broadcast(rarities(rows, size, max(1, amount // COUNTED)))
     every = written(prefixes(rows, size, percent, rarity), "prefixes")
-    first = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("t").alias("t"))
+    first = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("bits").alias("bits"))
     # Written, so that the numbers stay as they are.
-    classes = written(first.select(F.monotonically_increasing_id().alias("id"), "a", "b", "at.dk", "at.th", "n", "t"), "classes")
+    classes = written(first.select(F.monotonically_increasing_id().alias("id"), "a", "b", "at.dk", "at.th", "n", "t", "bits"), "classes")
     posts = written(shared_posts(classes, int(max(64, amount // BUCKET)), partitions), "posts")
 
     tried = written(pivot_pairs(posts, percent), "pivots")
