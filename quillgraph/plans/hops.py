@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import joined_set
 from quillgraph.operators.hops import co_occurring, majority, shared_by_all, undirected
+from quillgraph.operators.mentions import mentions
 from quillgraph.plans.reads import s1, s2
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
@@ -161,13 +162,24 @@ def j19_anti_join(g: Graph) -> DataFrame:
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part) SELECT w.word, count(*) AS papers FROM documents d JOIN w ON contains(lower(d.text), w.word) WHERE length(w.word) > 3 GROUP BY 1""")
 def j20_text_contains(g: Graph) -> DataFrame:
-    """Names in texts: all names in one scan of each text, as alternatives of one pattern with look-ahead,
-    where the names are few; a nested loop of texts and names is never planned."""
-    words = [r[0] for r in g.table("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().filter("length(w) > 3").orderBy("w").limit(1001).collect()]
-    if len(words) > 1000:
-        raise ValueError("more than 1000 names: use entity n-grams instead")
-    hits = F.array_compact(F.array(*(F.when(F.lower("text").contains(w), F.lit(w)) for w in words)))
-    return g.table("documents").select(F.explode(hits).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("papers"))
+    """How many texts hold each word of a part's name, as a substring."""
+    names = g.table("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct().withColumn("name_id", F.col("name"))
+    texts = g.table("documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    return mentions(texts, names).groupBy(F.col("name_id").alias("word")).agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query(r"""WITH b AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+          n AS (SELECT item_id * 10 AS name_id, w[2] AS name FROM b UNION ALL SELECT item_id * 10 + 1, array_to_string(w[1:2], ' ') FROM b UNION ALL SELECT item_id * 10 + 2, substr(array_to_string(w[3:7], ' '), 2) FROM b
+                UNION ALL SELECT p_partkey * 10 + 3, lower(p_name) FROM part)
+          SELECT DISTINCT 'PMID:' || d.doc_id AS paper_id, n.name_id FROM documents d JOIN n ON contains(lower(d.text), n.name) WHERE length(n.name) > 3""")
+def j20_name_mentions(g: Graph) -> DataFrame:
+    """MENTIONED_IN by text: names of one, two and several words, some cut within a word, against every text."""
+    words = g.table("benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
+    cuts = [F.get("w", F.lit(1)), F.array_join(F.slice("w", 1, 2), " "), F.expr("substring(array_join(slice(w, 3, 5), ' '), 2)")]
+    names = words.select(F.posexplode(F.array(*cuts)).alias("k", "name"), "item_id").select((F.col("item_id") * 10 + F.col("k")).alias("name_id"), "name")
+    names = names.unionByName(g.table("part").select((F.col("p_partkey") * 10 + 3).alias("name_id"), F.lower("p_name").alias("name")))
+    texts = g.table("documents").select(F.concat(F.lit("PMID:"), F.col("doc_id").cast("string")).alias("text_id"), F.lower("text").alias("text"))
+    return mentions(texts, names).select(F.col("text_id").alias("paper_id"), "name_id")
 
 
 @query("""SELECT a.p_partkey AS a_id, b.p_partkey AS b_id FROM part a JOIN part b ON (a.p_name = b.p_name AND a.p_brand = b.p_brand) OR a.p_retailprice = b.p_retailprice WHERE a.p_partkey < b.p_partkey""")
