@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.lineage import scratch
 from quillgraph.functions.text import collapse_key, full_match, joined_set
 from quillgraph.operators import curate
-from quillgraph.operators.upsert import first_written, merged
+from quillgraph.operators.upsert import association_rules, first_written, folded_associations, merged
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
+from quillgraph.sources.store import Store
 
 #: A total order of lines, whatever the size of their keys.
 LINE_ORDER = "l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus"
@@ -116,20 +118,39 @@ def w1_merge_nodes(g: Graph) -> DataFrame:
     return merged(*old_new(g), ["id"], {"name": "newest", "segment": "keep"})
 
 
-@query(f"""SELECT taxon_id, disease_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT pmid) AS n_studies, min_by(direction, seq) AS direction FROM (
-          SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, l_returnflag AS source, l_orderkey AS pmid, l_linestatus AS direction, row({LINE_ORDER}) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
-def w2_association_upsert(g: Graph) -> DataFrame:
-    """Sources and papers gather, their number is the number of studies, the first direction stays."""
+#: What a line says of a taxon and a disease; chunk 1 comes to the store when chunk 0 is in it.
+CLAIM = """SELECT 'S:' || l_suppkey AS taxon_id, 'D:' || o_custkey AS disease_id, 'src' || (l_linenumber % 4) AS source, CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END AS pmid,
+    CASE l_returnflag WHEN 'A' THEN 'enriched' WHEN 'R' THEN 'depleted' ELSE 'altered' END AS direction, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity <= 25 THEN 0 ELSE 1 END AS chunk
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+PAIR = ["taxon_id", "disease_id"]
+
+
+def claims(g: Graph) -> DataFrame:
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     lines = g.table("lineitem").join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = lines.select(
-        F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("taxon_id"),
-        F.concat(F.lit("D:"), F.col("o_custkey").cast("string")).alias("disease_id"),
-        "l_returnflag",
-        "l_orderkey",
-        "l_linestatus",
-        F.expr(f"struct({LINE_ORDER})").alias("seq"),
+    return lines.select(
+        text("S:", "l_suppkey").alias("taxon_id"),
+        text("D:", "o_custkey").alias("disease_id"),
+        F.concat(F.lit("src"), (F.col("l_linenumber") % 4).cast("string")).alias("source"),
+        F.when(F.col("l_partkey") % 10 != 0, F.col("l_orderkey").cast("string")).otherwise("").alias("pmid"),
+        F.when(F.col("l_returnflag") == "A", "enriched").when(F.col("l_returnflag") == "R", "depleted").otherwise("altered").alias("direction"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.when(F.col("l_quantity") <= 25, 0).otherwise(1).alias("chunk"),
     )
-    return rows.groupBy("taxon_id", "disease_id").agg(joined_set("l_returnflag").alias("sources"), F.countDistinct("l_orderkey").alias("n_studies"), F.min_by("l_linestatus", "seq").alias("direction"))
+
+
+@query(f"""WITH c AS ({CLAIM}), s AS (SELECT taxon_id, disease_id, string_agg(source, '|' ORDER BY chunk, seq) AS sources FROM (SELECT taxon_id, disease_id, source, min((chunk, seq))[1] AS chunk, min((chunk, seq))[2] AS seq FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
+          SELECT taxon_id, disease_id, sources, CAST(count(DISTINCT nullif(pmid, '')) AS BIGINT) AS n_pmids, CAST(CASE WHEN count(*) = 1 THEN 1 ELSE count(DISTINCT nullif(pmid, '')) END AS BIGINT) AS n_studies, arg_min(direction, (chunk, seq, direction)) AS direction,
+                 CASE WHEN min(chunk) = max(chunk) THEN CASE WHEN min(chunk) = 0 THEN 'kept' ELSE 'created' END ELSE 'matched' END AS state FROM c JOIN s USING (taxon_id, disease_id) GROUP BY 1, 2, 3""")
+def w2_association_upsert(g: Graph) -> DataFrame:
+    """Claims merged into a stored frame in two chunks, the first of them sent again: sources and papers are appended
+    if absent, studies counted by papers, the first direction stays."""
+    schema = "taxon_id string, disease_id string, direction string, sources array<string>, pmids array<string>, n_studies long"
+    store = Store(g.spark, scratch(g.spark), schema, PAIR, association_rules())
+    for chunk in (0, 1, 0):
+        store.merge(folded_associations(claims(g).filter(F.col("chunk") == chunk), PAIR, "seq"), f"lines-{chunk}")
+    rows = store.read_states()
+    return rows.select(*PAIR, F.concat_ws("|", "sources").alias("sources"), F.size("pmids").cast("long").alias("n_pmids"), "n_studies", "direction", "state")
 
 
 @query(f"SELECT coalesce(o.id, n.id) AS id, coalesce(o.segment, n.segment) AS segment, {STATE} FROM {OLD} o FULL JOIN {NEW} n ON o.id = n.id")

@@ -10,7 +10,8 @@ from quillgraph.functions.text import normal_disease
 from quillgraph.plans.provenance import CHAIN, chains
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
-from quillgraph.sources import loaders, mapping, sinks
+from quillgraph.sources import loaders, mapping
+from quillgraph.sources.store import Store
 
 
 @query("SELECT gene_name AS gene, count(*) AS proteins, (SELECT count(DISTINCT pathway_id) FROM gene_pathway x WHERE x.gene = 'Brand#7') AS pathways FROM protein WHERE gene_name = 'Brand#7' GROUP BY 1")
@@ -34,10 +35,15 @@ def r8_name_index(g: Graph) -> DataFrame:
 
 @query("SELECT label AS part, count(*) AS rows FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*) FROM edges GROUP BY 1")
 def w6_bundle_submit(g: Graph) -> DataFrame:
-    """A bundle written as one folder a label and type, read back and counted."""
-    at = scratch(g.spark)
-    sinks.write_bundle(g.nodes, g.edges, at)
-    return sinks.manifest(g.spark, at)
+    """A bundle sent to stored frames in chunks, one of them twice, and counted by label and type."""
+    nodes = Store(g.spark, scratch(g.spark), "label string, id string, name string, org string", ["label", "id"], {"name": "newest", "org": "newest"})
+    edges = Store(g.spark, scratch(g.spark), "type string, src string, dst string, times long", ["type", "src", "dst"], {"times": "newest"})
+    pairs = g.edges.groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    for k in (0, 1, 0):
+        nodes.merge(g.nodes.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k), f"nodes-{k}")
+        edges.merge(pairs.filter(F.pmod(F.xxhash64("src"), F.lit(2)) == k), f"edges-{k}")
+    counted = nodes.read().groupBy(F.col("label").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(edges.read().groupBy(F.col("type").alias("part")).agg(F.sum("times").alias("rows")))
 
 
 HINTS = {"Part": {"part_id": ["p_partkey"], "name": ["p_name"]}, "Brand": {"brand": ["brand"]}, "Price": {"amount": ["retailprice"]}, "Gene": {"symbol": ["gene"]}}
