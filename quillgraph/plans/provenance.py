@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.lineage import scratch
 from quillgraph.functions.text import joined_set
 from quillgraph.operators import temporal
 from quillgraph.operators.lookup import cursor_of, keyset_page
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
+from quillgraph.streaming.decisions import Ledger, run
 
 ABOUT = "about AS (SELECT event_id, 'user' || user_id AS entity FROM events UNION ALL SELECT event_id, 'k' || regexp_extract(props, '\\d+') FROM events)"
 
@@ -19,12 +21,22 @@ def about(g: Graph) -> DataFrame:
     return g.table("events").select("event_id", F.explode(F.array(F.concat(F.lit("user"), F.col("user_id").cast("string")), F.concat(F.lit("k"), k))).alias("entity"))
 
 
-@query(f"WITH {ABOUT} SELECT 'ABOUT' AS type, count(*) AS n FROM about UNION ALL SELECT 'SUPERSEDED_BY', count(superseded_by) FROM decision UNION ALL SELECT 'RECORDED', count(*) FROM decision")
+def streamed(g: Graph, batches: int = 3) -> Ledger:
+    """The events as a stream of decisions in some batches, out of order, a third of them sent twice."""
+    at = scratch(g.spark)
+    own, k = g.table("events"), F.get_json_object("props", "$.k")
+    about_ = F.array(F.concat(F.lit("user"), F.col("user_id").cast("string")), F.concat(F.lit("k"), k))
+    rows = own.select(F.col("user_id").alias("actor"), F.col("event_type").alias("tool"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("occurred_at"), "event_id", "value", about_.alias("about"))
+    rows.unionAll(rows.filter("event_id % 3 = 0")).withColumn("part", F.rand(5)).repartitionByRange(batches, "part").drop("part").write.parquet(f"{at}/in")
+    ledger = Ledger.at(g.spark, f"{at}/ledger")
+    run(g.spark.readStream.schema(g.spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), ledger, f"{at}/state")
+    return ledger
+
+
+@query(f"WITH {ABOUT} SELECT 'ABOUT' AS type, CAST(event_id AS VARCHAR) AS src, entity AS dst FROM about UNION ALL SELECT 'SUPERSEDED_BY', CAST(event_id AS VARCHAR), CAST(superseded_by AS VARCHAR) FROM decision WHERE superseded_by IS NOT NULL")
 def t1_decision_ingest(g: Graph) -> DataFrame:
-    """The edges that taking in the decisions makes, by type."""
-    rows = about(g).select(F.lit("ABOUT").alias("type"))
-    rows = rows.unionAll(g.decision.filter("superseded_by IS NOT NULL").select(F.lit("SUPERSEDED_BY"))).unionAll(g.decision.select(F.lit("RECORDED")))
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """The edges that taking in the decisions makes, whatever batches they come in."""
+    return streamed(g).edges()
 
 
 @query(f"WITH {ABOUT} SELECT d.event_id, d.occurred_at, string_agg(DISTINCT a.entity, '|' ORDER BY a.entity) AS about FROM decision d JOIN about a USING (event_id) WHERE a.entity LIKE '%k1%' GROUP BY 1, 2 ORDER BY d.occurred_at DESC, d.event_id DESC LIMIT 21")
@@ -62,8 +74,8 @@ def t6_assertion_lineage(g: Graph) -> DataFrame:
 
 @query("SELECT actor, tool, max_by(value, (occurred_at, event_id)) AS value, count(*) AS versions FROM decision GROUP BY 1, 2".replace("max_by(value, (occurred_at, event_id))", "arg_max(value, occurred_at || lpad(CAST(event_id AS VARCHAR), 12, '0'))"))
 def t7_projection(g: Graph) -> DataFrame:
-    """The latest finding of each pair, and how many there were."""
-    return g.decision.groupBy("actor", "tool").agg(F.max_by("value", F.struct("occurred_at", "event_id")).alias("value"), F.count(F.lit(1)).alias("versions"))
+    """The latest finding of each pair, and how many there were, as a stream of decisions leaves them stored."""
+    return streamed(g).findings.read().select(F.col("actor").cast("long").alias("actor"), "tool", "value", "versions")
 
 
 @query("SELECT o.event_id AS output, i.event_id AS input FROM events o JOIN events i ON i.user_id = o.user_id AND CAST(i.ts AS DATE) = CAST(o.ts AS DATE) WHERE o.event_type = 'purchase' AND i.event_type = 'view'")

@@ -116,10 +116,21 @@ class Store:
         files = self.version(number).files
         return self._rows_of([f for f in files if (low is None or f["high"] >= low) and (high is None or f["low"] <= high)])
 
-    def read_prefixes(self, prefixes: list[str], number: int | None = None) -> DataFrame:
-        """The rows of the files that may hold keys with one of the prefixes."""
-        files = self.version(number).files
-        return self._rows_of([f for f in files if any(f["high"] >= p and f["low"] <= p + "\U0010ffff" for p in prefixes)])
+    def read_groups(self, groups: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows whose first keys (of self.keys, in order) are in groups, from the files that may hold them."""
+        files = self.version().files
+        if not files:
+            return self._rows_of([])
+        lows = np.array([f["low"] for f in files], dtype=object)
+
+        def span(first: pd.Series) -> pd.Series:
+            begin = np.maximum(np.searchsorted(lows, (first + "\x00").to_numpy(object), "right") - 1, 0)
+            end = np.searchsorted(lows, (first + "\x01").to_numpy(object), "left")
+            return pd.Series(begin * len(lows) + np.maximum(end, begin + 1) - 1)
+
+        spans = groups.select(F.pandas_udf(span, "long")(key_of(keys)).alias("span")).distinct().collect()  # two a file at most
+        wanted = {i for r in spans for i in range(r["span"] // len(lows), r["span"] % len(lows) + 1)}
+        return self._rows_of([f for i, f in enumerate(files) if i in wanted]).join(groups.select(*keys).distinct(), keys, "left_semi")
 
     def read_states(self) -> DataFrame:
         """The rows of the latest version, each with what its last merge made of it: matched, created or kept."""

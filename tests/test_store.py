@@ -48,7 +48,16 @@ def test_untouched_files_keep_their_names(spark, tmp_path):
     assert all(a["high"] < b["low"] for a, b in zip(held, held[1:], strict=False)) and sum(f["rows"] for f in held) == 201
     part = s.read(low="0050", high="0060")
     assert len(part.inputFiles()) <= 4 and rows(part.filter("id BETWEEN '0050' AND '0060'")) == rows(s.read().filter("id BETWEEN '0050' AND '0060'"))
-    assert rows(s.read_prefixes(["015"]).filter("id LIKE '015%'")) == rows(s.read().filter("id LIKE '015%'"))
+
+
+def test_groups_read_their_files_only(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), "a string, b long, c long", ["a", "b"], {"c": "newest"}, 10)
+    data = [(f"{'x' * (i % 3)}{i % 40}", i, i * i) for i in range(400)]
+    s.merge(spark.createDataFrame(data, "a string, b long, c long"), "all")
+    groups = spark.createDataFrame([("x4",), ("x4",), ("xx38",), ("none",)], "a string")
+    found = s.read_groups(groups, ["a"])
+    assert rows(found) == sorted(d for d in data if d[0] in ("x4", "xx38"))
+    assert len(found.inputFiles()) < len(s.version().files) / 3
 
 
 def test_many_random_merges_equal_a_dictionary(spark, tmp_path):
