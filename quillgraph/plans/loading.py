@@ -90,14 +90,20 @@ def t10_chain_head(g: Graph) -> DataFrame:
     return chains(g).groupBy("chain").agg(F.max("seq").alias("length"), F.max_by("digest", "seq").alias("head"))
 
 
-@query("WITH k AS (SELECT n_nationkey AS id, n_regionkey AS up FROM nation) SELECT id + 100 AS tax_id, up AS parent_id, 'genus' AS rank, n_name AS name FROM k JOIN nation ON n_nationkey = id WHERE up IN (1, 3) UNION ALL SELECT r_regionkey, 1000, 'phylum', r_name FROM region WHERE r_regionkey IN (1, 3)")
+@query("""WITH RECURSIVE n AS (SELECT r_regionkey AS id, NULL AS up, 'superkingdom' AS rank, CASE r_regionkey WHEN 1 THEN 'Bacteria' WHEN 3 THEN 'Fungi' ELSE r_name END AS name FROM region
+              UNION ALL SELECT n_nationkey + 100, n_regionkey, 'phylum', n_name FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100, 'genus', c_name FROM customer),
+          w AS (SELECT id, name AS kingdom, CAST(NULL AS VARCHAR) AS phylum FROM n WHERE up IS NULL AND id IN (1, 3) UNION ALL SELECT n.id, w.kingdom, coalesce(w.phylum, n.name) FROM w JOIN n ON n.up = w.id)
+          SELECT n.id AS tax_id, n.up AS parent_id, n.rank, n.name, w.kingdom, CASE WHEN n.rank <> 'superkingdom' THEN w.phylum END AS phylum, CASE WHEN n.rank = 'genus' THEN n.name END AS genus FROM w JOIN n USING (id)""")
 def i1_taxonomy(g: Graph) -> DataFrame:
-    """Taxa under two roots only, with their scientific names."""
-    genus = g.table("nation").select((F.col("n_nationkey") + 100).alias("tax_id"), F.col("n_regionkey").alias("parent_id"), F.lit("genus").alias("rank"), F.col("n_name").alias("name"))
-    phylum = g.table("region").select(F.col("r_regionkey").alias("tax_id"), F.lit(1000).alias("parent_id"), F.lit("phylum").alias("rank"), F.col("r_name").alias("name"))
-    rows = genus.unionAll(phylum)
-    names = rows.select("tax_id", "name", F.lit("scientific name").alias("name_class")).unionAll(rows.select("tax_id", F.upper("name"), F.lit("synonym")))
-    return loaders.taxa(rows.drop("name"), names, [1, 3])
+    """Taxa below the microbiome's groups, found by scientific name, with the names above them."""
+    tax = lambda frame, id_, up, rank, name: frame.select(id_.cast("long").alias("tax_id"), up.cast("long").alias("parent_id"), F.lit(rank).alias("rank"), name.alias("name"))
+    none, key = F.lit(None), F.col("r_regionkey")
+    rows = tax(g.table("region"), key, none, "superkingdom", F.when(key == 1, "Bacteria").when(key == 3, "Fungi").otherwise(F.col("r_name")))
+    rows = rows.unionAll(tax(g.table("nation"), F.col("n_nationkey") + 100, F.col("n_regionkey"), "phylum", F.col("n_name")))
+    rows = rows.unionAll(tax(g.table("customer"), F.col("c_custkey") + 1000, F.col("c_nationkey") + 100, "genus", F.col("c_name")))
+    names = rows.select("tax_id", "name", F.lit("scientific name").alias("name_class")).unionAll(rows.select("tax_id", F.lit("Viruses"), F.lit("synonym")))
+    found = loaders.taxa(rows.drop("name"), names)
+    return found.select("tax_id", "parent_id", "rank", "name", "kingdom", "phylum", "genus")
 
 
 @query("SELECT l_suppkey AS taxon_id, l_returnflag AS phenotype, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, count(v) AS n FROM (SELECT l_suppkey, l_returnflag, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS v FROM lineitem) GROUP BY 1, 2")

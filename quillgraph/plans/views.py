@@ -167,6 +167,28 @@ class Graph:
         each = F.explode(F.array(*(F.concat(F.lit(p), (F.col("doc_id") % n).cast("string")) for p, n in ends)))
         return docs.select(each.alias("entity_id"), key("PMID:", "doc_id").alias("paper_id"))
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """A taxonomy of ten ranks, (id, parent, rank, name): regions, nations, segments of customers cut by their keys,
+        customers, their priorities and orders; a region counts as a superkingdom."""
+        people = self.table("customer").join(self.place, F.col("c_nationkey") == F.col("n_nationkey"))
+        orders = self.table("orders").join(people.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        text = lambda *parts: F.concat(*(F.lit(p[1:]) if p[0] == "'" else F.col(p).cast("string") for p in parts))
+        cell = lambda rank, *parts: text(f"'{rank}:", "c_nationkey", "'-", "c_mktsegment", *parts)
+        third = lambda n: [f"k{i}" for i in range(1, n + 1)]
+        cut = people.select("c_custkey", "c_name", "c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment", *(F.concat(F.lit("-"), (F.col("c_custkey") % 3**i).cast("string")).alias(f"k{i}") for i in range(1, 5)))
+        levels = [(text("'K:", "n_regionkey"), F.lit(None).cast("string"), "superkingdom", F.col("r_name")), (text("'N:", "c_nationkey"), text("'K:", "n_regionkey"), "kingdom", F.col("n_name"))]
+        levels += [(cell("M"), text("'N:", "c_nationkey"), "phylum", F.col("c_mktsegment"))]
+        for i, rank in enumerate(("class", "order", "family", "genus"), 1):
+            levels.append((cell(rank[0].upper() + str(i), *third(i)), cell("M") if i == 1 else cell(("class", "order", "family")[i - 2][0].upper() + str(i - 1), *third(i - 1)), rank, text(f"'{rank} ", f"k{i}")))
+        levels.append((text("'S:", "c_custkey"), cell("G4", *third(4)), "species", F.col("c_name")))
+        out = None
+        for id_, parent, rank, name in levels:
+            frame = cut.select(id_.alias("id"), parent.alias("parent"), F.lit(rank).alias("rank"), name.alias("name")).distinct()
+            out = frame if out is None else out.unionAll(frame)
+        below = orders.select(text("'P:", "o_custkey", "'-", "o_orderpriority"), text("'S:", "o_custkey"), F.lit("subspecies"), F.col("o_orderpriority")).distinct()
+        return out.unionAll(below).unionAll(orders.select(text("'O:", "o_orderkey"), text("'P:", "o_custkey", "'-", "o_orderpriority"), F.lit("strain"), text("'order ", "o_orderkey")))
+
     @cached_property
     def edges(self) -> DataFrame:
         """All edges as (src, dst, type), for untyped traversal."""
@@ -234,6 +256,14 @@ VIEWS = {
     "nodes": """
         SELECT taxon_id AS id, 'Taxon' AS label, name, org FROM taxon UNION ALL SELECT disease_id, 'Disease', name, org FROM disease UNION ALL SELECT compound_id, 'Compound', name, org FROM compound
         UNION ALL SELECT drug_id, 'Drug', name, org FROM drug UNION ALL SELECT pathway_id, 'Pathway', name, org FROM pathway UNION ALL SELECT protein_id, 'Protein', name, org FROM protein""",
+    "people": "SELECT c_custkey, c_name, c_nationkey, n_name, n_regionkey, r_name, c_mktsegment, c_nationkey || '-' || c_mktsegment AS cell, '-' || (c_custkey % 3) AS k1, '-' || (c_custkey % 9) AS k2, '-' || (c_custkey % 27) AS k3, '-' || (c_custkey % 81) AS k4 FROM customer JOIN place ON c_nationkey = n_nationkey",
+    "tree": """
+        SELECT DISTINCT 'K:' || n_regionkey AS id, NULL AS parent, 'superkingdom' AS rank, r_name AS name FROM people UNION ALL SELECT DISTINCT 'N:' || c_nationkey, 'K:' || n_regionkey, 'kingdom', n_name FROM people
+        UNION ALL SELECT DISTINCT 'M:' || cell, 'N:' || c_nationkey, 'phylum', c_mktsegment FROM people UNION ALL SELECT DISTINCT 'C1:' || cell || k1, 'M:' || cell, 'class', 'class ' || k1 FROM people
+        UNION ALL SELECT DISTINCT 'O2:' || cell || k1 || k2, 'C1:' || cell || k1, 'order', 'order ' || k2 FROM people UNION ALL SELECT DISTINCT 'F3:' || cell || k1 || k2 || k3, 'O2:' || cell || k1 || k2, 'family', 'family ' || k3 FROM people
+        UNION ALL SELECT DISTINCT 'G4:' || cell || k1 || k2 || k3 || k4, 'F3:' || cell || k1 || k2 || k3, 'genus', 'genus ' || k4 FROM people UNION ALL SELECT 'S:' || c_custkey, 'G4:' || cell || k1 || k2 || k3 || k4, 'species', c_name FROM people
+        UNION ALL SELECT DISTINCT 'P:' || o_custkey || '-' || o_orderpriority, 'S:' || o_custkey, 'subspecies', o_orderpriority FROM orders JOIN people ON o_custkey = c_custkey
+        UNION ALL SELECT 'O:' || o_orderkey, 'P:' || o_custkey || '-' || o_orderpriority, 'strain', 'order ' || o_orderkey FROM orders JOIN people ON o_custkey = c_custkey""",
     "decision": """
         SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS occurred_at, event_type AS tool, user_id AS actor, value, props,
                lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS superseded_by, CAST(user_id % 5 AS BIGINT) AS org FROM events""",

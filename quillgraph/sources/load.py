@@ -21,8 +21,7 @@ Frames = dict[str, DataFrame]
 
 def taxonomy(spark: SparkSession, at: str) -> Frames:
     nodes, names = readers.taxdump(spark, f"{at}/nodes.dmp", f"{at}/names.dmp")
-    roots = [r["tax_id"] for r in nodes.filter("rank IN ('superkingdom', 'domain')").select("tax_id").distinct().collect()]  # a handful by nature
-    return {"Taxon": loaders.taxa(nodes, names, roots)}
+    return {"Taxon": loaders.taxa(nodes, names)}
 
 
 def disbiome(spark: SparkSession, at: str) -> Frames:

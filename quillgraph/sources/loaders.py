@@ -64,15 +64,23 @@ def residues(rows: DataFrame, column: str) -> DataFrame:
     return found.withColumn("site", F.regexp_extract(value, form, 1)).withColumn("ptm", F.element_at(names, F.regexp_extract(value, form, 2)))
 
 
-def taxa(nodes: DataFrame, names: DataFrame, roots: list[int]) -> DataFrame:
-    """tax_id, parent_id, rank, name of the taxa under given roots, from taxonomy nodes and names."""
-    from quillgraph.operators.traverse import under
+#: The scientific names of the groups that a microbiome load keeps.
+GROUPS = ["Bacteria", "Archaea", "Fungi", "Viruses"]
+
+
+def taxa(nodes: DataFrame, names: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """tax_id, parent_id, rank, name and the names at each rank above, of the taxa below the groups (by scientific
+    name; default GROUPS), from taxonomy nodes and names. A group that names no taxon has none."""
+    from quillgraph.functions.lineage import scratch
+    from quillgraph.operators import intervals
 
-    text = lambda c, n: F.col(c).cast("string").alias(n)
-    below = under(nodes.filter("tax_id != parent_id").select(text("tax_id", "child"), text("parent_id", "parent")), [str(r) for r in roots])
-    kept = below.select(F.col("node").cast("long").alias("tax_id"))
     scientific = names.filter("name_class = 'scientific name'").groupBy("tax_id").agg(F.min("name").alias("name"))
-    return nodes.join(kept, "tax_id", "left_semi").join(scientific, "tax_id", "left").select("tax_id", "parent_id", "rank", "name")
+    labels = intervals.labelled(nodes.select(F.col("tax_id").alias("id"), F.col("parent_id").alias("parent")))
+    known = nodes.groupBy(F.col("tax_id").cast("string").alias("id")).agg(F.first("tax_id").alias("tax_id"), F.min("parent_id").alias("parent_id"), F.min("rank").alias("rank"))
+    table = intervals.write_sorted(labels.drop("parent").join(known, "id").join(scientific, "tax_id", "left"), scratch(nodes.sparkSession))
+    roots = [r["id"] for r in table.filter(F.col("name").isin(groups or GROUPS)).select("id").collect()]  # a few taxa have these names
+    columns = intervals.rank_columns(table)
+    return intervals.below(table, roots).join(columns, "id").select("tax_id", "parent_id", "rank", "name", *intervals.RANKS)
 
 
 def abundances(rows: DataFrame) -> DataFrame:

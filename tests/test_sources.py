@@ -32,9 +32,11 @@ def test_json(spark, tmp_path):
 
 
 def test_taxonomy_keeps_the_roots_branches(spark, tmp_path):
-    nodes = put(tmp_path, "nodes.dmp", "".join(f"{a}\t|\t{b}\t|\t{r}\t|\n" for a, b, r in [(1, 1, "no rank"), (2, 1, "superkingdom"), (9, 2, "genus"), (33090, 1, "kingdom"), (50, 33090, "genus")]))
-    names = put(tmp_path, "names.dmp", "2\t|\tBacteria\t|\t\t|\tscientific name\t|\n9\t|\tG\t|\t\t|\tscientific name\t|\n9\t|\tg2\t|\t\t|\tsynonym\t|\n")
-    assert rows(loaders.taxa(*readers.taxdump(spark, nodes, names), [2])) == [(2, 1, "superkingdom", "Bacteria"), (9, 2, "genus", "G")]
+    nodes = put(tmp_path, "nodes.dmp", "".join(f"{a}\t|\t{b}\t|\t{r}\t|\n" for a, b, r in [(1, 1, "no rank"), (2, 1, "superkingdom"), (9, 2, "genus"), (4751, 2759, "kingdom"), (2759, 1, "superkingdom"), (7, 4751, "species"), (33090, 2759, "kingdom"), (50, 33090, "genus")]))
+    names = put(tmp_path, "names.dmp", "2\t|\tBacteria\t|\t\t|\tscientific name\t|\n4751\t|\tFungi\t|\t\t|\tscientific name\t|\n33090\t|\tViridiplantae\t|\t\t|\tscientific name\t|\n33090\t|\tFungi\t|\t\t|\tsynonym\t|\n9\t|\tG\t|\t\t|\tscientific name\t|\n9\t|\tg2\t|\t\t|\tsynonym\t|\n")
+    found = loaders.taxa(*readers.taxdump(spark, nodes, names))
+    # The plant branch drops out; fungi stay, without the domain above them, which is no group.
+    assert {tuple(r) for r in found.select("tax_id", "parent_id", "rank", "name", "kingdom", "genus").na.fill("-").collect()} == {(2, 1, "superkingdom", "Bacteria", "Bacteria", "-"), (7, 4751, "species", "-", "Fungi", "-"), (9, 2, "genus", "G", "Bacteria", "G"), (4751, 2759, "kingdom", "Fungi", "Fungi", "-")}
 
 
 def test_xml_and_flat_files(spark, tmp_path):
