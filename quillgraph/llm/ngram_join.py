@@ -29,7 +29,8 @@ result. Only doc_id and text are read; columns with other names, whatever these
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from heapq import merge
 
 import numpy as np
@@ -57,10 +58,10 @@ LOWER[65:91] += 32
 POST = np.dtype([("p", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4"), ("known", "u1")])
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and dk and th: the place in the order of documents, and a hash that tells rows of one doc_id apart."""
+def rows_of(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, dk and th (the place in the order of documents, and a hash that tells rows of one doc_id apart), and more columns of docs."""
     doc_id, text = own(docs, "doc_id").cast("long"), F.coalesce(own(docs, "text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"), *more)
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,23 +217,29 @@ def pivot_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return met.filter(enough_follow(percent, F.col("n"), F.col("place"), F.col("m"), F.col("there"))).select("id", "other").distinct()
 
 
+def entries_for(queries: DataFrame, entries: DataFrame, fits: Callable[[Column], Column], block: int = BLOCK) -> DataFrame:
+    """id, n, place, found: for each post of queries (p, id, n, place and more) the entries (p, id, n, place, entries and
+    more) of its list that fit, dealt in blocks of about `block`. entries: how many the list has."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("entries") / block))
+    columns = [c for c in entries.columns if c not in ("p", "entries")]
+    blocks = entries.groupBy("p", part.alias("block")).agg(F.collect_list(F.struct(*columns)).alias("entry")).select("p", "entry")
+    found = F.transform(F.filter("entry", fits), lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"), x["place"].alias("place")))
+    return queries.join(blocks, "p").select("id", "n", "place", found.alias("found")).filter(F.size("found") > 0)
+
+
 def open_lists(posts: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """id, n, place, found: for a class and a list of its that spans components, the entries of others that are as
     large or larger (of the same size: with a larger id) and may be similar."""
     named = posts.join(roots, posts["id"] == roots["node"], "left").select("p", "id", "n", "place", F.coalesce("root", "id").alias("root"))
     spread = named.groupBy("p").agg(F.count(F.lit(1)).alias("entries"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("p", "entries")
     named = written(named.join(spread, "p"), "open")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("entries") / block))
-    blocks = named.groupBy("p", part.alias("block")).agg(F.collect_list(F.struct("id", "n", "place", "root")).alias("entry")).select("p", "entry")
     fits = lambda x: (
         (x["root"] != F.col("root"))
         & ((x["n"] > F.col("n")) | ((x["n"] == F.col("n")) & (x["id"] > F.col("id"))))
         & (F.col("n") * 100 >= x["n"] * percent)
         & enough_follow(percent, F.col("n"), F.col("place"), x["n"], x["place"])
     )
-    found = F.transform(F.filter("entry", fits), lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"), x["place"].alias("place")))
-    met = named.join(blocks, "p").select("id", "n", "place", found.alias("found"))
-    return met.filter(F.size("found") > 0)
+    return entries_for(named, named, fits, block)
 
 
 def occurring(n: int, lists_: list[tuple[int, list[tuple[int, int, int]]]], percent: int) -> list[int]:
@@ -325,8 +332,24 @@ def probed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     return out
 
 
-def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs."""
+@dataclass
+class Index:
+    """The prefixes of all rows, the classes of equal sets in the order of their first document, and the short lists."""
+
+    every: DataFrame
+    classes: DataFrame
+    posts: DataFrame
+    rows: DataFrame
+    rarity: Broadcast
+    partitions: int
+    size: int
+    percent: int
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        return probed(pairs, self.classes, self.rows, self.size, self.percent, self.rarity)
+
+
+def indexed(docs: DataFrame, size: int, percent: int) -> Index:
     rows = rows_of(docs)
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(100_000, max(16, amount // PARTITION)))
@@ -334,16 +357,22 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     every = written(prefixes(rows, size, percent, rarity), "prefixes")
     first = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("bits").alias("bits"))
     # Written, so that the numbers stay as they are.
-    classes = written(first.select(F.monotonically_increasing_id().alias("id"), "a", "b", "at.dk", "at.th", "n", "t", "bits"), "classes")
+    classes = written(first.select("a", "b", "at.dk", "at.th", "n", "t", "bits").select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     posts = written(shared_posts(classes, int(max(64, amount // BUCKET)), partitions), "posts")
+    return Index(every, classes, posts, rows, rarity, partitions, size, percent)
 
+
+def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs."""
+    index = indexed(docs, size, percent)
+    every, classes, posts = index.every, index.classes, index.posts
     tried = written(pivot_pairs(posts, percent), "pivots")
-    near = probed(tried, classes, rows, size, percent, rarity)
+    near = index.similar(tried)
     roots = written(components(near), "roots")
-    found = merged(open_lists(posts, roots, percent), percent, partitions)
+    found = merged(open_lists(posts, roots, percent), percent, index.partitions)
     both_ways = tried.union(tried.select("other", "id"))
     more = written(found.join(both_ways, ["id", "other"], "left_anti"), "candidates")
-    far = probed(more, classes, rows, size, percent, rarity)
+    far = index.similar(more)
     all_roots = components(near.union(far))
 
     named = classes.select("id", "a", "b", "dk").join(all_roots, F.col("id") == F.col("node"), "left").select("a", "b", "dk", F.coalesce("root", "id").alias("root"))
