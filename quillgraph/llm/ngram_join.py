@@ -160,7 +160,17 @@ def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame
         bucket[rest] = np.flatnonzero(rest) % buckets
         order = np.argsort(bucket, kind="stable")
         ids, cut = np.unique(bucket[order], return_index=True)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([x.tobytes() for x in np.split(posts[order], cut[1:])], pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([b"".join(x[c].tobytes() for c in POST.names) for x in np.split(posts[order], cut[1:])], pa.binary())})
+
+    def unpack(packs: list[bytes]) -> dict[str, np.ndarray]:
+        """The fields of packs, each of which has one field after the other, as they compress better so."""
+        out: dict[str, list[np.ndarray]] = {c: [] for c in POST.names}
+        for x in packs:
+            n, at = len(x) // POST.itemsize, 0
+            for c in POST.names:
+                out[c].append(np.frombuffer(x, POST[c], n, at))
+                at += n * POST[c].itemsize
+        return {c: np.concatenate(v) for c, v in out.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -180,10 +190,10 @@ def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame
             yield pack(parts)
 
     def settle(packs: list[bytes]) -> pa.RecordBatch:
-        posts = np.frombuffer(b"".join(packs), POST)
+        posts = unpack(packs)
         _, inverse, total = np.unique(posts["p"], return_inverse=True, return_counts=True)
-        kept = posts[(posts["known"] > 0) | (total[inverse] > 1)]
-        return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(kept[c])) for c in ("p", "id", "n", "place")})
+        kept = (posts["known"] > 0) | (total[inverse] > 1)
+        return pa.RecordBatch.from_pydict({c: pa.array(posts[c][kept]) for c in ("p", "id", "n", "place")})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -354,10 +364,12 @@ def indexed(docs: DataFrame, size: int, percent: int) -> Index:
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(100_000, max(16, amount // PARTITION)))
     rarity = rows.sparkSession.sparkContext.broadcast(rarities(rows, size, max(1, amount // COUNTED)))
-    every = written(prefixes(rows, size, percent, rarity), "prefixes")
-    first = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("bits").alias("bits"))
-    # Written, so that the numbers stay as they are.
+    wide = written(prefixes(rows, size, percent, rarity), "prefixes")
+    first = wide.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("bits").alias("bits"))
+    # Written, so that the numbers stay as they are. The short lists are kept once, with the classes.
     classes = written(first.select("a", "b", "at.dk", "at.th", "n", "t", "bits").select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
+    every = written(wide.select("doc_id", "dk", "th", "n", "a", "b"), "sets")
+    discard(wide)
     posts = written(shared_posts(classes, int(max(64, amount // BUCKET)), partitions), "posts")
     return Index(every, classes, posts, rows, rarity, partitions, size, percent)
 

@@ -30,6 +30,8 @@ from quillgraph.llm.common import discard, own, written
 
 RADIUS = 2
 SHARD = 2048
+#: Ids of documents that may be broadcast, at most.
+LOOKED_UP = 500_000
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -204,5 +206,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Rows without doc_id cannot be named and stay; rows that share the smallest doc_id all stay.
     """
     found = simhash_components(docs)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    # Few ids go to every task, so that the texts stay where they are each time they are read.
+    gone = F.broadcast(gone) if gone.count() <= LOOKED_UP else gone
     return docs.join(gone, own(docs, "doc_id").cast("long") == gone["gone_id"], "left_anti")
