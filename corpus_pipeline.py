@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of texts with a Jaccard similarity of 0.8 most fingerprints differ in more bits than any such search can bear, so
     of what is left those go that an earlier one is as similar to over shingles of five words.
     """
-    return near_dedup.keep_no_near_copies(written(simhash.keep_one_of_each(docs), "simhash"))
+    return near_dedup.keep_no_near_copies(simhash.keep_one_of_each(docs))
 
 
 def near_full(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
