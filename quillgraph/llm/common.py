@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -93,13 +94,23 @@ def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]
         at = end
 
 
+def trimmed() -> None:
+    """Gives memory that earlier tasks of this Python worker have used back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function from batch to batch, for slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             for part in slices(batch):
                 yield fn(part)
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
