@@ -49,7 +49,7 @@ def test_resolution_takes_all_parts(found):
 
 
 def test_lineitem_and_orders_are_taken_whole(found):
-    assert found("w2_association_upsert") == [("S:50", "D:1", "A|R", 1, "F"), ("S:51", "D:1", "N", 1, "O")]
+    assert found("w2_association_upsert") == [("S:50", "D:1", "src1|src2", 0, 0, "enriched", "kept"), ("S:51", "D:1", "src3", 1, 1, "altered", "kept")]
     assert found("w10_sample_composition") == [(9000, 1000, 5.0), (9001, 1002, 7.0)]
     assert found("i14_coercion") == [(50, 5.0), (50, 6.0), (51, None)]
     assert found("i15_nested_measurements") == [(9000, 1000, 1), (9000, 1000, 2), (9001, 1002, 3)]
