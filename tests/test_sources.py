@@ -81,7 +81,7 @@ def test_loaders(spark):
     p = spark.createDataFrame([("bact", "dsyn", "CAUSES"), ("bact", "dsyn", "ISA"), ("humn", "dsyn", "CAUSES")], "subject_type string, object_type string, predicate string")
     assert rows(loaders.predications(p).select("direction")) == [("enriched",)]
     m = spark.createDataFrame([("S15-p",), ("K7-m2",), ("bad",)], "r string")
-    assert rows(loaders.residues(m, "r").select("site", "ptm")) == [("K7", "dimethylation"), ("S15", "phosphorylation")]
+    assert rows(loaders.residues(m, "r").select("site", "ptm")) == [("K7", "methylation"), ("S15", "phosphorylation")]
     a = spark.createDataFrame([("t", "p", "1"), ("t", "p", "3"), ("t", "p", "NA")], "taxon_id string, phenotype string, abundance string")
     assert rows(loaders.abundances(a)) == [("t", "p", 2.0, 1.0, 2)]
     k = spark.createDataFrame([("K1", 5), ("", 6), (None, None)], "inchi_key string, pubchem_cid long")
