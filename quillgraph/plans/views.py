@@ -198,6 +198,20 @@ class Graph:
             parents = parents.unionAll(frame.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("type")))
         return parents
 
+    @cached_property
+    def typed_edges(self) -> DataFrame:
+        """The edges, with drugs and their targets, papers, compounds and their diseases and classes, what taxa process, and equal names."""
+        said = lambda frame, a, b, kind: frame.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("type"))
+        classes = self.compound.select("compound_id", key("X:", "category").alias("class_id")).filter("class_id IS NOT NULL")
+        processes = self.table("lineitem").filter("l_returnflag = 'R'").select(key("S:", "l_suppkey").alias("src"), key("C:", "l_partkey").alias("dst"), F.lit("PROCESSES").alias("type")).distinct()
+        least = self.compound.groupBy("name").agg(F.min("compound_id").alias("keeper"))
+        same = self.compound.join(least, "name").filter("compound_id != keeper")  # a star a name, not all pairs
+        more = [said(self.targets, "drug_id", "protein_id", "TARGETS"), said(self.mention, "entity_id", "paper_id", "MENTIONED_IN"), said(self.linked, "compound_id", "disease_id", "LINKED_TO_DISEASE"), said(classes, "compound_id", "class_id", "BELONGS_TO_CLASS"), processes, said(same, "compound_id", "keeper", "SAME_AS")]
+        out = self.edges
+        for frame in more:
+            out = out.unionAll(frame)
+        return out
+
     @cached_property
     def nodes(self) -> DataFrame:
         """All nodes as (id, label, name, org)."""
@@ -253,6 +267,10 @@ VIEWS = {
     "edges": """
         SELECT taxon_id AS src, parent_id AS dst, 'HAS_PARENT' AS type FROM taxon WHERE parent_id IS NOT NULL UNION ALL SELECT taxon_id, disease_id, 'ASSOCIATED_WITH_DISEASE' FROM assoc
         UNION ALL SELECT taxon_id, compound_id, 'PRODUCES' FROM produces UNION ALL SELECT compound_id, pathway_id, 'PARTICIPATES_IN' FROM participates UNION ALL SELECT drug_id, taxon_id, 'EFFECTIVE_AGAINST' FROM effective""",
+    "typed_edges": """
+        SELECT * FROM edges UNION ALL SELECT drug_id, protein_id, 'TARGETS' FROM targets UNION ALL SELECT entity_id, paper_id, 'MENTIONED_IN' FROM mention UNION ALL SELECT compound_id, disease_id, 'LINKED_TO_DISEASE' FROM linked
+        UNION ALL SELECT compound_id, 'X:' || category, 'BELONGS_TO_CLASS' FROM compound WHERE category IS NOT NULL UNION ALL SELECT DISTINCT 'S:' || l_suppkey, 'C:' || l_partkey, 'PROCESSES' FROM lineitem WHERE l_returnflag = 'R'
+        UNION ALL SELECT compound_id, keeper, 'SAME_AS' FROM compound c JOIN (SELECT name AS shared, min(compound_id) AS keeper FROM compound GROUP BY 1) ON name = shared WHERE compound_id <> keeper""",
     "nodes": """
         SELECT taxon_id AS id, 'Taxon' AS label, name, org FROM taxon UNION ALL SELECT disease_id, 'Disease', name, org FROM disease UNION ALL SELECT compound_id, 'Compound', name, org FROM compound
         UNION ALL SELECT drug_id, 'Drug', name, org FROM drug UNION ALL SELECT pathway_id, 'Pathway', name, org FROM pathway UNION ALL SELECT protein_id, 'Protein', name, org FROM protein""",
