@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.fuzzy import fuzzy
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows of the dynamic programme."""
@@ -29,25 +31,6 @@ def indel_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(score, "double")(a, b)
 
 
-def bigrams(value: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: value.substr(i, F.lit(2))))
-
-
-def fuzzy(terms: DataFrame, names: DataFrame, least: float = 0.85) -> DataFrame:
-    """term, name, id, score of the best-scoring names, ties included.
-
-    Strings this alike share a pair of neighbouring letters and lie in a band of lengths, so pairs come from an
-    equi-join on letter pairs; only these are scored.
-    """
-    band = (2 - least) / least
-    t = terms.select("term").distinct().withColumn("pair", F.explode(bigrams(F.col("term"))))
-    n = names.select("name", "id").distinct().withColumn("pair", F.explode(bigrams(F.col("name"))))
-    near = t.join(n, "pair").filter((F.length("term") <= F.length("name") * band) & (F.length("name") <= F.length("term") * band)).select("term", "name", "id").distinct()
-    scored = near.withColumn("score", indel_ratio("term", "name")).filter(F.col("score") >= least)
-    best = Window.partitionBy("term").orderBy(F.col("score").desc())
-    return scored.withColumn("rank", F.rank().over(best)).filter("rank = 1").drop("rank")
-
-
 def resolved(terms: DataFrame, nodes: DataFrame, is_id: Column, least: float = 0.85) -> DataFrame:
     """term, id, score, tier, status: id terms match ids only; names match case-folded, else fuzzily; several best
     matches make a term ambiguous, none unresolved."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ABBREVIATIONS, direction_of, disease_id, first_filled, normal_disease
 from quillgraph.operators import resolve
+from quillgraph.operators.fuzzy import fuzzy
 from quillgraph.operators.profile import delimited, profile, tag_of
 from quillgraph.plans.curation import LINE_ORDER
 from quillgraph.plans.registry import query
@@ -42,7 +43,7 @@ def e6_exact_name_match(g: Graph) -> DataFrame:
 def e7_fuzzy_match(g: Graph) -> DataFrame:
     """Names with a doubled letter find their way back; the ratio is beyond SQL, so tests hold it to brute force."""
     asked = g.table("part").select(F.concat(F.col("p_name").substr(1, 3), F.col("p_name").substr(F.lit(3), F.length("p_name"))).alias("term")).distinct()
-    return resolve.fuzzy(asked, name_nodes(g)).select("term", "id", F.round("score", 6).alias("score"))
+    return fuzzy(asked, name_nodes(g)).select("term", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT lower(p_type) AS term, min('C:' || p_partkey) AS first_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' ELSE 'INFERRED' END AS tier FROM part GROUP BY 1")
@@ -51,10 +52,34 @@ def e8_ambiguity(g: Graph) -> DataFrame:
     return rows.withColumn("tier", F.when(F.col("n") > 1, "AMBIGUOUS").otherwise("INFERRED"))
 
 
-@query(f"""SELECT t.term, coalesce(i.id, n.id) AS id, CASE WHEN i.id IS NOT NULL OR n.id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status
-           FROM (SELECT DISTINCT term FROM {TERMS}) t LEFT JOIN {NAMES} i ON t.term LIKE 'C:%' AND t.term = i.id LEFT JOIN {NAMES} n ON NOT t.term LIKE 'C:%' AND lower(t.term) = n.name""")
+BRANDED = "(SELECT 'C:' || p_partkey AS id, lower(p_name || ' ' || p_brand) AS name FROM part)"
+ASKED = """(SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'C:' || p_partkey WHEN 1 THEN 'C:x' || p_partkey WHEN 2 THEN upper(p_name) || ' ' || p_brand WHEN 3 THEN '' WHEN 4 THEN substr(p_name, 1, 3) || substr(p_name, 3) || ' ' || p_brand ELSE '~~~~~~~~' || p_partkey END AS term FROM part)"""
+#: Terms that are a name with one letter doubled: their best names are those a single letter away, and of these the longest.
+MATCHED = f"""a AS {ASKED}, n AS (SELECT DISTINCT id, name FROM {BRANDED}), hit AS (SELECT term, id, CAST(1.0 AS DOUBLE) AS score, 'EXTRACTED' AS tier FROM a JOIN n ON term LIKE 'C:%' AND term = id
+           UNION ALL SELECT term, id, 0.95, 'INFERRED' FROM a JOIN n ON NOT term LIKE 'C:%' AND lower(term) = name), fuzz AS (SELECT term, id, length(term) + length(name) AS s FROM a JOIN n ON NOT term LIKE 'C:%' AND abs(length(term) - length(name)) = 1 AND levenshtein(lower(term), name) = 1 WHERE term NOT IN (SELECT term FROM hit)),
+           alike AS (SELECT * FROM hit UNION ALL SELECT term, id, (s - 1) * 1.0 / s, 'INFERRED' FROM fuzz f WHERE s = (SELECT max(s) FROM fuzz WHERE term = f.term)), best AS (SELECT term, min(id) AS id, max(score) AS score, min(tier) AS tier, count(*) AS n FROM alike GROUP BY 1),
+           told AS (SELECT a.term, id, round(score, 6) AS score, CASE WHEN n > 1 THEN 'AMBIGUOUS' ELSE tier END AS tier, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM a LEFT JOIN best ON a.term = best.term)"""
+
+
+def asked(g: Graph) -> DataFrame:
+    """Ids that exist and that do not, names in capitals, with a doubled letter, empty ones, and what is like no name."""
+    n, name, brand = F.col("p_partkey"), F.col("p_name"), F.concat(F.lit(" "), F.col("p_brand"))
+    doubled = F.concat(name.substr(1, 3), name.substr(F.lit(3), F.length(name)), brand)
+    kinds = [F.concat(F.lit("C:"), n.cast("string")), F.concat(F.lit("C:x"), n.cast("string")), F.concat(F.upper(name), brand), F.lit(""), doubled]
+    term = F.when(n % 6 == 5, F.concat(F.lit("~~~~~~~~"), n.cast("string")))
+    for i, kind in enumerate(kinds):
+        term = term.when(n % 6 == i, kind)
+    return g.table("part").select(term.alias("term"))
+
+
+def branded(g: Graph) -> DataFrame:
+    return g.table("part").select(F.concat(F.lit("C:"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+
+
+@query(f"WITH {MATCHED} SELECT * FROM told")
 def e9_resolve_pipeline(g: Graph) -> DataFrame:
-    return resolve.resolved(terms(g), name_nodes(g), F.col("term").startswith("C:"), 0.93).select("term", "id", "status")
+    """Identifiers, names, fuzzy names at 0.85: resolved, ambiguous and unresolved terms, with tiers."""
+    return resolve.resolved(asked(g), branded(g), F.col("term").startswith("C:")).withColumn("score", F.round("score", 6))
 
 
 NAMED = "(SELECT c_custkey AS id, lower(trim(regexp_replace(CASE c_custkey % 6 WHEN 0 THEN 'IBD' WHEN 1 THEN ' T2D ' WHEN 2 THEN 'Crohn''s  Disease' WHEN 3 THEN 'Non-Alcoholic ' || c_mktsegment WHEN 4 THEN c_name ELSE '' END, '\\s+', ' ', 'g'))) AS squeezed FROM customer)"
@@ -139,13 +164,13 @@ def e20_license(g: Graph) -> DataFrame:
     return g.table("part").select("p_partkey", resolve.licensed(F.col("p_brand"), F.col("p_type"), use, ["Brand#1", "Brand#2"], ["PROMO"], True, False, True).alias("allowed"))
 
 
-@query(f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.id IS NOT NULL OR n.id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status FROM (SELECT DISTINCT term FROM {TERMS}) t
-           LEFT JOIN {NAMES} i ON t.term LIKE 'C:%' AND t.term = i.id LEFT JOIN {NAMES} n ON NOT t.term LIKE 'C:%' AND lower(t.term) = n.name) GROUP BY 1""")
+@query(f"WITH {MATCHED} SELECT status, count(*) AS n FROM told GROUP BY 1")
 def e22_confidence_report(g: Graph) -> DataFrame:
     return e9_resolve_pipeline(g).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(trim(text)), '\s+')) AS w FROM documents), c AS (SELECT doc_id, CAST(('0x' || substr(sha256(w), 63, 2))::INTEGER & 63 AS INTEGER) AS place, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
+           SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight FROM c""")
 def r7_hash_embedding(g: Graph) -> DataFrame:
     """Bags of words hashed to 64 places by SHA-256, of length one; sparse: doc_id, place, weight."""
     words = g.table("documents").select("doc_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("w")).filter("w != ''")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scope import Scope, public_orgs
 from quillgraph.functions.text import collapse_key, full_match, normal_disease
 from quillgraph.operators import curate, resolve, temporal
+from quillgraph.operators.fuzzy import fuzzy
 from quillgraph.operators.lookup import cursor_of, cursor_parts, keyset_page
 from quillgraph.operators.profile import delimited, profile
 from quillgraph.operators.quality import invariants
@@ -114,7 +115,7 @@ def ratio(a, b):
 def test_fuzzy_equals_brute_force(spark):
     names = ["red bolt", "red bolts", "small ring", "smal ring", "hot gear", "blue widget"]
     asked = ["redd bolt", "small rng", "hot  gear", "nothing like it", "blue wdiget"]
-    found = values(resolve.fuzzy(spark.createDataFrame([(t,) for t in asked], "term string"), spark.createDataFrame([(n, n) for n in names], "name string, id string")), "term", "id")
+    found = values(fuzzy(spark.createDataFrame([(t,) for t in asked], "term string"), spark.createDataFrame([(n, n) for n in names], "name string, id string")), "term", "id")
     want = []
     for t in asked:
         best = max(ratio(t, n) for n in names)
