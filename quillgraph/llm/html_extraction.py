@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import map_arrow, own, texts
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: The end of a self-closing tag's attributes; the slash of an unquoted value is none.
 CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+#: Characters of scripts that put no spaces between words, of which two stand for a word; ends of sentences in any script.
+UNSPACED = re.compile(r"[\u0e00-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+STOPS = ".!?。．｡！？؟۔।॥"
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Fixed values of HTML: elements whose content is never text of the page; void elements; inline elements.
 RAW = frozenset("script style noscript template iframe head title textarea select option button annotation".split())
@@ -161,12 +164,13 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     out, n = [], len(blocks)
     longest = max((len(b.text) for b in blocks), default=1)
     for i, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
+        unspaced = 0 if b.text.isascii() else sum(map(len, UNSPACED.findall(b.text)))
+        words = b.text.count(" ") + 1 + unspaced // 2
         f = ["bias", f"own={b.tag}", *b.path]
         f.append(f"words={min(9, int(math.log2(words + 1)))}")
         f.append(f"share={min(5, 6 * len(b.text) // (longest + 1))}")
         f.append(f"links={min(4, 5 * b.linked // (len(b.text) + 1))}")
-        stops = sum(map(b.text.count, ".!?"))
+        stops = sum(map(b.text.count, ".!?" if b.text.isascii() else STOPS))
         f.append("stops=" + ("0" if not stops else "few" if stops < 3 else "many"))
         f.append(f"place={4 * i // n}")
         if b.text[0] in "©|»«•" or b.text.startswith("Copyright"):
@@ -393,12 +397,14 @@ def composed_pages(n: int, seed: int = 17) -> list[tuple[str, list[int]]]:
             text = f"<main>{text}</main>"
         elif kind < 0.92:
             text = f"<div{named(MAIN)}>{text}</div>"
+        elif kind > 0.95:
+            text = f"<section>{text}</section>"
         if r.random() < 0.3:
             text = f"<main>{text}</main>" if "<main" not in text else text
         if r.random() < 0.2:
             text = f'<div class="{r.choice(["wrapper", "container", "page", "layout"])}">{text}</div>'
-        head = f"<head><meta charset=utf-8><title>{sentence()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        body = "".join(b for b, _ in before) + "<!-- x -->" * (r.random() < 0.3) + text + "".join(a for a, _ in after)
+        head = f"<head><meta charset=utf-8><title>{sentence()}</title><style>main>p{{line-height:1.5}}</style><script>if (1<2) document.title+='<b>';</script></head>"
+        body = "".join(b for b, _ in before) + "<!-- <p>left out</p> -->" * (r.random() < 0.3) + text + "".join(a for a, _ in after)
         end = "</body></html>" if r.random() < 0.9 else ""
         pages.append((f"<!DOCTYPE html><html>{head}<body>{body}{end}", [x for _, ls in before for x in ls] + labels + [x for _, ls in after for x in ls]))
     return pages
