@@ -26,7 +26,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     """
     spark, folder = edges.sparkSession, scratch(edges.sparkSession)
     whole = edges.select("src", "dst", "type").filter("src != dst AND type IS NOT NULL")
-    undirected(whole).repartitionByRange("src", "dst").distinct().sortWithinPartitions("src", "dst").write.parquet(folder)
+    undirected(cut(whole)).repartitionByRange("src", "dst").distinct().sortWithinPartitions("src", "dst").write.parquet(folder)
     return spark.read.parquet(folder)
 
 
