@@ -27,6 +27,13 @@ def tag_of(kind: T.DataType) -> str:
     return "string"
 
 
+def typed_columns(rows: DataFrame) -> DataFrame:
+    """column, tag, filled, n: the stored type of each column and how many of the n rows have a value there."""
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(rows.schema)))
+    told = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(tag_of(f.dataType)).alias("tag"), F.col(f"c{i}").alias("filled")) for i, f in enumerate(rows.schema)))
+    return counted.select(F.explode(told).alias("t"), "n").select("t.*", "n")
+
+
 def profile(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, inferred_type, null_rate, distinct_count: values as text, empty ones null.
 

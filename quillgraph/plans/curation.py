@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillgraph.functions.lineage import scratch
 from quillgraph.functions.text import collapse_key, full_match, joined_set
 from quillgraph.operators import curate
+from quillgraph.operators.quality import id_consistency, invariants, source_coverage
 from quillgraph.operators.upsert import association_rules, first_written, folded_associations, merged
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
+from quillgraph.sources.compounds import curated_compounds
 from quillgraph.sources.store import Store
 
 #: A total order of lines, whatever the size of their keys.
@@ -71,15 +73,27 @@ def d8_collapse_near_duplicates(g: Graph) -> DataFrame:
     return plan.select("key", F.concat_ws("|", "canonical", "duplicates").alias("members"))
 
 
-@query("""WITH c AS (SELECT n_name, p_partkey, 0 AS tier FROM nation JOIN part ON p_size = n_nationkey + 1 UNION ALL SELECT n_name, p_partkey, 1 FROM nation JOIN part ON p_brand = 'Brand#' || (n_nationkey + 1))
-          SELECT n_name, min(p_partkey) AS p_partkey, CAST(tier AS INTEGER) AS tier FROM c JOIN (SELECT n_name, min(tier) AS best FROM c GROUP BY 1) b USING (n_name) WHERE tier = best GROUP BY n_name, tier HAVING count(DISTINCT p_partkey) = 1""")
+@query("""WITH k AS (SELECT 'C:' || p_partkey AS id, p_brand AS hmdb, p_size % 3 = 0 AS seen, p_partkey AS p FROM part),
+          c AS (SELECT id, hmdb, seen, p AS n, 0 AS tier FROM k WHERE p % 3 <> 0 UNION ALL SELECT id, hmdb, seen, p + 1, 1 FROM k WHERE p % 4 = 0 UNION ALL SELECT id, hmdb, seen, p + 2, 2 FROM k UNION ALL SELECT id, hmdb, seen, p // 2, 2 FROM k),
+          m AS (SELECT n, id, hmdb, seen, min(tier) AS tier FROM c GROUP BY 1, 2, 3, 4),
+          r AS (SELECT n, id, CASE WHEN n % 10 = 0 THEN 0 WHEN seen THEN tier ELSE 10 + tier END AS place FROM m WHERE n % 10 <> 0 OR hmdb = 'Brand#' || (n % 25)),
+          t AS (SELECT n, min(id) AS id, count(DISTINCT id) AS q FROM r JOIN (SELECT n, min(place) AS best FROM r GROUP BY 1) b USING (n) WHERE place = best GROUP BY 1)
+          SELECT lower(c_name) AS name, CASE WHEN q = 1 THEN id END AS compound_id FROM customer LEFT JOIN t ON n = c_custkey""")
 def d9_curated_resolution(g: Graph) -> DataFrame:
-    """The best tier of evidence decides, and only where it names one candidate."""
-    nation, part = g.table("nation"), g.table("part")
-    pins = nation.join(part, F.col("p_size") == F.col("n_nationkey") + 1).withColumn("tier", F.lit(0))
-    brands = nation.join(part, F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string"))).withColumn("tier", F.lit(1))
-    rows = pins.select("n_name", "p_partkey", "tier").unionAll(brands.select("n_name", "p_partkey", "tier"))
-    return curate.best_unique(rows, "n_name", "tier", "p_partkey")
+    """Customers as curated names; parts claim them by own, systematic and synonymous names, and some names are pinned."""
+    part, people = g.table("part"), g.table("customer")
+    name = lambda prefix, n: F.concat(F.lit(prefix), F.lpad(n.cast("string"), 9, "0"))
+    p = F.col("p_partkey")
+    known = part.select(
+        F.concat(F.lit("C:"), p.cast("string")).alias("compound_id"),
+        F.col("p_brand").alias("hmdb_id"),
+        F.when(F.col("p_size") % 3 == 0, "Detected ").when(F.col("p_size") % 3 == 1, "predicted").alias("hmdb_status"),
+        F.when(p % 3 != 0, name("Customer#", p)).alias("name"),
+        F.when(p % 4 == 0, name("CUSTOMER#", p + 1)).alias("iupac_name"),
+        F.array(name("Customer#", p + 2), name("customer#", F.floor(p / 2))).alias("synonyms"),
+    )
+    pins = people.filter("c_custkey % 10 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25).cast("string")).alias("hmdb_id"))
+    return curated_compounds(people.select(F.col("c_name").alias("name")), known, pins)
 
 
 @query("SELECT disease_id, coalesce(doid, CASE WHEN category = 'BUILDING' THEN 'curated' ELSE 'legacy' END) AS source FROM disease")
@@ -208,10 +222,12 @@ def v2_orphans(g: Graph) -> DataFrame:
     return g.nodes.join(ends, "id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-@query("SELECT count(*) AS total, count(ncbi_tax_id) AS with_id, count(*) - count(DISTINCT ncbi_tax_id % 50) AS repeated FROM taxon")
+@query("""WITH t AS (SELECT CASE ncbi_tax_id % 50 WHEN 1 THEN ncbi_tax_id - 1 WHEN 2 THEN NULL ELSE ncbi_tax_id END AS id FROM taxon), c AS (SELECT id, count(*) AS n FROM t WHERE id IS NOT NULL GROUP BY 1)
+          SELECT (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM t WHERE id IS NULL) AS missing, count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS sharing FROM c""")
 def v3_taxonomy_ids(g: Graph) -> DataFrame:
-    n = F.count(F.lit(1))
-    return g.taxon.agg(n.alias("total"), F.count("ncbi_tax_id").alias("with_id"), (n - F.countDistinct(F.col("ncbi_tax_id") % 50)).alias("repeated"))
+    """Some taxa are given their neighbour's identifier, some none."""
+    n = F.col("ncbi_tax_id")
+    return id_consistency(g.taxon.select(F.when(n % 50 == 1, n - 1).when(n % 50 != 2, n).alias("id")), "id")
 
 
 @query("SELECT count(*) FILTER (regexp_full_match(hmdb_id, 'Brand#\\d')) AS short, count(*) FILTER (NOT regexp_full_match(hmdb_id, 'Brand#\\d+')) AS malformed, count(*) FILTER (hmdb_id IS NULL) AS missing FROM compound".replace("\\\\", "\\"))
@@ -243,10 +259,13 @@ def v6_rule_coverage(g: Graph) -> DataFrame:
     return seen.join(rules(g), "type", "full").select("type", coverage.alias("coverage"))
 
 
-@query("SELECT 'assoc' AS label, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(*) AS n FROM assoc UNION ALL SELECT 'Disease', string_agg(DISTINCT category, '|' ORDER BY category), count(*) FROM disease")
+@query("""WITH r AS (SELECT label AS part, org AS source FROM nodes UNION ALL SELECT 'ASSOCIATED_WITH_DISEASE', source FROM assoc UNION ALL SELECT 'PRODUCES', org FROM produces UNION ALL SELECT 'EFFECTIVE_AGAINST', org FROM effective)
+          SELECT part, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(*) AS n, count(source) AS with_source FROM r GROUP BY 1""")
 def v7_source_coverage(g: Graph) -> DataFrame:
-    rows = g.assoc.select(F.lit("assoc").alias("label"), "source").unionAll(g.disease.select(F.lit("Disease"), "category"))
-    return rows.groupBy("label").agg(joined_set("source").alias("sources"), F.count(F.lit(1)).alias("n"))
+    """Every label of nodes, and every type of edge that says where it is from."""
+    said = lambda frame, kind, source: frame.select(F.lit(kind).alias("part"), F.col(source).alias("source"))
+    edges = said(g.assoc, "ASSOCIATED_WITH_DISEASE", "source").unionAll(said(g.produces, "PRODUCES", "org")).unionAll(said(g.effective, "EFFECTIVE_AGAINST", "org"))
+    return source_coverage(g.nodes.select(F.col("label").alias("part"), F.col("org").alias("source")).unionAll(edges))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT 1 FROM disease GROUP BY name_normalized HAVING count(*) > 1)) AS duplicate_diseases, (SELECT count(*) FROM disease WHERE name_normalized IS NULL) AS missing_norm, (SELECT count(*) FROM assoc WHERE source IS NULL) AS untracked, (SELECT count(*) FROM disease) AS diseases")
@@ -261,6 +280,4 @@ def v8_graph_validation(g: Graph) -> DataFrame:
           UNION ALL SELECT 'duplicate_edge', count(*) FROM (SELECT 1 FROM edges GROUP BY src, dst, type HAVING count(*) > 1) UNION ALL SELECT 'negative_studies', count(*) FROM assoc WHERE n_studies < 1 UNION ALL SELECT 'unknown_direction', count(*) FROM assoc WHERE direction NOT IN ('enriched', 'depleted', 'altered')
           UNION ALL SELECT 'two_parents', count(*) FROM (SELECT 1 FROM edges WHERE type = 'HAS_PARENT' GROUP BY src HAVING count(*) > 1) UNION ALL SELECT 'nameless', count(*) FROM nodes WHERE name IS NULL OR name = '' UNION ALL SELECT 'duplicate_node', count(*) FROM (SELECT 1 FROM nodes GROUP BY id HAVING count(*) > 1)""")
 def v9_invariants(g: Graph) -> DataFrame:
-    from quillgraph.operators.quality import invariants
-
     return invariants(g.nodes, g.edges, g.assoc)

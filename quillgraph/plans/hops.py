@@ -311,14 +311,13 @@ def u5_bundle_diff(g: Graph) -> DataFrame:
     return snapshot_diff(old, new, ["id"], ["name"])
 
 
-@query("""SELECT p_brand AS class, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a <> b THEN 'changed' ELSE 'same' END AS change FROM (SELECT coalesce(x.p_brand, y.p_brand) AS p_brand, x.t AS a, y.t AS b FROM
-          (SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS t FROM part WHERE p_size < 20 AND p_brand > 'Brand#12' GROUP BY 1) x FULL JOIN (SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS t FROM part WHERE p_size >= 49 AND p_brand < 'Brand#22' GROUP BY 1) y ON x.p_brand = y.p_brand)""")
+@query("""WITH p AS (SELECT p_brand || '/' || p_name AS class, p_partkey % 2 AS k, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS t FROM part GROUP BY 1, 2)
+          SELECT class, CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' WHEN a.t <> b.t THEN 'changed' ELSE 'same' END AS change FROM (SELECT * FROM p WHERE k = 0) a FULL JOIN (SELECT * FROM p WHERE k = 1) b USING (class)""")
 def u6_template_diff(g: Graph) -> DataFrame:
-    part = g.table("part")
-    a = part.filter("p_size < 20 AND p_brand > 'Brand#12'").groupBy(F.col("p_brand").alias("class")).agg(joined_set("p_type").alias("a"))
-    b = part.filter("p_size >= 49 AND p_brand < 'Brand#22'").groupBy(F.col("p_brand").alias("class")).agg(joined_set("p_type").alias("b"))
+    """Two templates whose classes are names within brands: the types of parts with even keys, and of those with odd ones."""
+    types = lambda k, to: g.table("part").filter(F.col("p_partkey") % 2 == k).groupBy(F.concat_ws("/", "p_brand", "p_name").alias("class")).agg(joined_set("p_type").alias(to))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
-    return a.join(b, "class", "full").select("class", change.alias("change"))
+    return types(0, "a").join(types(1, "b"), "class", "full").select("class", change.alias("change"))
 
 
 @query("""SELECT o, round(CASE WHEN p = 0 THEN 1.0 ELSE tp * 1.0 / p END, 6) AS precision_, round(CASE WHEN g = 0 THEN 1.0 ELSE tp * 1.0 / g END, 6) AS recall FROM (SELECT taxon_id AS o, count(*) FILTER (pred AND gold) AS tp, count(*) FILTER (pred) AS p, count(*) FILTER (gold) AS g FROM (SELECT taxon_id, n_studies >= 2 AS pred, effect_size > 25 IS TRUE AS gold FROM assoc) GROUP BY 1)""".replace("effect_size > 25 IS TRUE", "coalesce(effect_size > 25, false)"))

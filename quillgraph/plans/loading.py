@@ -46,25 +46,44 @@ def w6_bundle_submit(g: Graph) -> DataFrame:
     return counted.unionByName(edges.read().groupBy(F.col("type").alias("part")).agg(F.sum("times").alias("rows")))
 
 
-HINTS = {"Part": {"part_id": ["p_partkey"], "name": ["p_name"]}, "Brand": {"brand": ["brand"]}, "Price": {"amount": ["retailprice"]}, "Gene": {"symbol": ["gene"]}}
+HINTS = {"Fastener": {"bolt_id": ["red_bolt"], "name": ["bolt"]}, "Ring": {"ring": ["ring", "small_ring"]}, "Other": {"other": ["ring"]}}
+PICKED = "SELECT p_brand AS source, min(col) FILTER (col = 'red_bolt') AS red, min(col) FILTER (contains(col, 'bolt')) AS bolt, min(col) FILTER (col = 'small_ring') AS small, min(col) FILTER (contains(col, 'ring')) AS ring FROM (SELECT p_brand, replace(p_name, ' ', '_') AS col FROM part) GROUP BY 1"
 
 
-@query("SELECT * FROM (VALUES ('Part', 'p_partkey', 'part_id', 'EXTRACTED'), ('Brand', 'p_brand', 'brand', 'INFERRED'), ('Price', 'p_retailprice', 'amount', 'INFERRED')) t(label, \"column\", match_on, confidence)")
+@query(f"""WITH p AS ({PICKED}), f AS (SELECT *, coalesce(small, ring) AS own FROM p),
+          o AS (SELECT p_brand AS source, min(replace(p_name, ' ', '_')) AS other FROM part JOIN f ON source = p_brand WHERE contains(p_name, 'ring') AND replace(p_name, ' ', '_') <> own GROUP BY 1)
+          SELECT source, 'Fastener' AS label, coalesce(red, bolt) AS "column", CASE WHEN red IS NULL THEN 'name' ELSE 'bolt_id' END AS match_on, CASE WHEN red IS NULL THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence FROM f WHERE bolt IS NOT NULL
+          UNION ALL SELECT source, 'Ring', own, 'ring', CASE WHEN small IS NULL THEN 'INFERRED' ELSE 'EXTRACTED' END FROM f WHERE own IS NOT NULL UNION ALL SELECT source, 'Other', other, 'other', 'INFERRED' FROM o""")
 def e1_heuristic_mapping(g: Graph) -> DataFrame:
-    found = mapping.heuristic(g.table("part").columns, HINTS)
-    return g.spark.createDataFrame([(e.label, e.column, e.match_on, e.confidence) for e in found], "label string, column string, match_on string, confidence string")
+    """Each brand a source whose columns are its parts' names."""
+    named = g.table("part").select(F.col("p_brand").alias("source"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("column")).distinct()
+    return mapping.heuristic(named.withColumn("place", F.col("column")), HINTS)
 
 
-@query("SELECT * FROM (VALUES ('entities/1: column is required'), ('relationships/0: not an endpoint: Taxon[x]')) t(problem)")
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 11 <> 0) SELECT c_custkey AS id, 'entities: must be a list' AS problem FROM customer WHERE c_custkey % 11 = 0
+          UNION ALL SELECT id, 'entities/0: label is required' FROM c WHERE id % 3 = 0 UNION ALL SELECT id, 'entities/1: column is required' FROM c WHERE id % 4 = 0 UNION ALL SELECT id, 'entities/1: unknown confidence ' || name FROM c WHERE id % 5 = 0
+          UNION ALL SELECT c_custkey, 'relationships/0: not an endpoint: ' || c_name || '[x]' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'relationships/0: not an endpoint: ' FROM customer WHERE c_custkey % 2 = 0""")
 def e3_mapping_problems(g: Graph) -> DataFrame:
-    document = {"entities": [{"label": "Taxon", "column": "a"}, {"label": "Gene"}], "relationships": [{"from": "Taxon[x]", "to": "Gene(symbol=row.g)"}]}
-    return g.spark.createDataFrame([(p,) for p in mapping.problems(document)], "problem string")
-
-
-@query("SELECT * FROM (VALUES ('chembi', 'chebi'), ('zzz', NULL)) t(prefix, closest)")
+    """A mapping document a customer, sound unless its key says otherwise."""
+    n, name = F.col("c_custkey"), F.col("c_name")
+    every = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
+    none = F.lit(None).cast("string")
+    first = F.struct(every(3, none, F.col("c_mktsegment")).alias("label"), name.alias("column"))
+    second = F.struct(name.alias("label"), every(4, F.lit(""), F.col("c_mktsegment")).alias("column"), every(5, name, F.lit("INFERRED")).alias("confidence"))
+    ends = F.struct(every(7, F.concat(name, F.lit("[x]")), F.concat(F.lit("Taxon(id=row."), F.col("c_mktsegment"), F.lit(")"))).alias("from"), every(2, none, F.lit("Gene(symbol=row.gene name)")).alias("to"))
+    listed = F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]"))
+    document = F.concat(F.lit('{"entities":'), every(11, F.lit('"none"'), listed), F.lit(',"relationships":['), F.to_json(ends), F.lit("]}"))
+    return mapping.problems(g.table("customer").select(n.alias("id"), document.alias("mapping")))
+
+
+@query("""SELECT prefix, count(*) AS n, CASE prefix WHEN 'chembi' THEN 'chebi' WHEN 'mond0' THEN 'mondo' WHEN 'hgcn' THEN 'hgnc' END AS closest
+          FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'chembi' WHEN '2-HIGH' THEN 'mond0' WHEN '3-MEDIUM' THEN 'hgcn' WHEN '5-LOW' THEN 'zzz' END AS prefix FROM orders) WHERE prefix IS NOT NULL GROUP BY 1""")
 def e4_prefixes(g: Graph) -> DataFrame:
-    found = mapping.unknown_prefixes(["chebi", "chembi", "zzz"], ["CHEBI", "MONDO", "HGNC"])
-    return g.spark.createDataFrame(sorted(found.items()), "prefix string, closest string")
+    """Orders as identifiers, some with a prefix that is misspelt or unknown."""
+    told = F.col("o_orderpriority")
+    prefix = F.when(told == "1-URGENT", "CHEMBI").when(told == "2-HIGH", "mond0").when(told == "3-MEDIUM", "HGCN").when(told == "5-LOW", "zzz").otherwise("ChEBI")
+    ids = g.table("orders").select(F.concat(prefix, F.lit(":"), F.col("o_orderkey").cast("string")).alias("id"))
+    return mapping.unknown_prefixes(ids, g.spark.createDataFrame([("CHEBI",), ("MONDO",), ("HGNC",)], "prefix string"))
 
 
 @query("SELECT label, id FROM nodes WHERE org = 'ASIA' OR org IN ('EUROPE')")
@@ -73,15 +92,26 @@ def e10_resolver_index(g: Graph) -> DataFrame:
     return g.nodes.filter(g.scope.node()).select("label", "id")
 
 
-@query("SELECT * FROM (VALUES ('Taxon', 'taxon_id', 'tax id')) t(label, field, \"column\")")
+@query("SELECT p_partkey, p_type AS label, 'f' || p_size AS field, p_name AS \"column\" FROM part WHERE p_partkey % 4 <> 0")
 def e15_endpoint(g: Graph) -> DataFrame:
-    return g.spark.createDataFrame([mapping.endpoint("Taxon(taxon_id=row.tax id)")], "label string, field string, column string")
+    """Endpoint expressions composed from parts; every fourth one has the wrong brackets and gives no row."""
+    left, right = F.when(F.col("p_partkey") % 4 == 0, "[").otherwise(" ( "), F.when(F.col("p_partkey") % 4 == 0, "]").otherwise(" ) ")
+    expression = F.concat(F.lit(" "), "p_type", left, F.lit("f"), F.col("p_size").cast("string"), F.lit(" = row."), "p_name", right)
+    return g.table("part").select("p_partkey", mapping.endpoint(expression).alias("e")).filter("e IS NOT NULL").select("p_partkey", "e.*")
 
 
-@query("SELECT CAST(0.5 AS DOUBLE) AS precision_, CAST(1.0 AS DOUBLE) AS recall, round(CAST(2.0 AS DOUBLE) / 3, 6) AS f1")
+@query("""WITH p AS (SELECT DISTINCT 'label' AS kind, p_brand AS a, p_type AS b, 1 AS p FROM part WHERE p_size < 30 UNION ALL SELECT DISTINCT 'relation', 'S:' || l_suppkey, 'C:' || l_partkey, 1 FROM lineitem WHERE l_returnflag = 'A'),
+          g AS (SELECT DISTINCT 'label' AS kind, p_brand AS a, p_type AS b, 1 AS g FROM part WHERE p_size > 20 UNION ALL SELECT DISTINCT 'relation', 'S:' || l_suppkey, 'C:' || l_partkey, 1 FROM lineitem WHERE l_quantity > 25),
+          n AS (SELECT kind, count(p) AS p, count(g) AS g, count(p + g) AS h FROM p FULL JOIN g USING (kind, a, b) GROUP BY 1)
+          SELECT kind, round(h * 1.0 / p, 6) AS precision_, round(h * 1.0 / g, 6) AS recall, round(2.0 * h / (p + g), 6) AS f1 FROM n""")
 def e21_mapping_scores(g: Graph) -> DataFrame:
-    p, r, f = mapping.scores({"a", "b"}, {"a"})
-    return g.spark.createDataFrame([(p, r, round(f, 6))], "precision_ double, recall double, f1 double")
+    """Labels of columns and signatures of relations, predicted ones against gold ones."""
+    part, line = g.table("part"), g.table("lineitem")
+    label = lambda rows: rows.select(F.lit("label").alias("kind"), F.col("p_brand").alias("a"), F.col("p_type").alias("b"))
+    relation = lambda rows: rows.select(F.lit("relation").alias("kind"), F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("C:"), F.col("l_partkey").cast("string")).alias("b"))
+    predicted = label(part.filter("p_size < 30")).unionByName(relation(line.filter("l_returnflag = 'A'")))
+    gold = label(part.filter("p_size > 20")).unionByName(relation(line.filter("l_quantity > 25")))
+    return mapping.scores(predicted, gold, "kind").select("kind", *(F.round(c, 6).alias(c) for c in ("precision_", "recall", "f1")))
 
 
 @query(CHAIN + " SELECT chain, max(seq) AS length, arg_max(digest, seq) AS head FROM c GROUP BY 1")
@@ -126,10 +156,12 @@ def i11_assays(g: Graph) -> DataFrame:
     return loaders.assays(rows).select("compound_id", "row")
 
 
-@query("SELECT lower(c_mktsegment) AS disease, count(*) AS papers FROM customer GROUP BY 1")
+@query("SELECT lower(replace(c_mktsegment || ' ' || replace(c_name, '#', ' '), '-', ' ')) AS disease, count(*) AS papers FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def i12_subject_headings(g: Graph) -> DataFrame:
-    """Headings become diseases by the normaliser."""
-    return g.table("customer").groupBy(normal_disease(F.col("c_mktsegment")).alias("disease")).agg(F.count(F.lit(1)).alias("papers"))
+    """Headings become diseases by the normaliser: an order is a paper, its customer the heading."""
+    headings = g.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit(" "), "c_mktsegment", F.lit("-"), F.replace("c_name", F.lit("#"), F.lit("  "))).alias("heading"))
+    counted = g.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("papers"))  # few rows are left to meet the headings
+    return counted.join(headings, "o_custkey").groupBy(normal_disease(F.col("heading")).alias("disease")).agg(F.sum("papers").alias("papers"))
 
 
 @query("SELECT o_orderkey AS sample, l_partkey AS measured, CAST(l_linenumber AS BIGINT) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey")

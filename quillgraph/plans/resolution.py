@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import ABBREVIATIONS, direction_of, disease_id, first_filled, normal_disease
 from quillgraph.operators import resolve
 from quillgraph.operators.fuzzy import fuzzy
-from quillgraph.operators.profile import delimited, profile, tag_of
+from quillgraph.operators.profile import delimited, profile, typed_columns
 from quillgraph.plans.curation import LINE_ORDER
 from quillgraph.plans.registry import query
 from quillgraph.plans.views import Graph
@@ -201,10 +201,21 @@ def p2_profile_json(g: Graph) -> DataFrame:
     return profile(rows)
 
 
-@query("""SELECT 'embeddings' AS "table", 'embedding' AS "column", 'json' AS tag UNION ALL SELECT 'embeddings', 'label', 'integer' UNION ALL SELECT 'embeddings', 'vec_id', 'integer' UNION ALL SELECT 'orders', 'o_orderdate', 'datetime' UNION ALL SELECT 'orders', 'o_totalprice', 'float' UNION ALL SELECT 'orders', 'o_orderstatus', 'string'""")
+STORED = {
+    "embeddings": {"vec_id": "integer", "embedding": "json", "label": "integer"},
+    "orders": {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderpriority": "string"},
+    "events": {"event_id": "integer", "ts": "datetime", "user_id": "integer", "event_type": "string", "value": "float", "props": "string"},
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", '{tag}' AS tag, count({c}) AS filled, count(*) AS n FROM {t}""" for t, columns in STORED.items() for c, tag in columns.items()))
 def p3_parquet_tags(g: Graph) -> DataFrame:
-    rows = [(t, f.name, tag_of(f.dataType)) for t in ("embeddings", "orders") for f in g.table(t).schema if t == "embeddings" or f.name in ("o_orderdate", "o_totalprice", "o_orderstatus")]
-    return g.spark.createDataFrame(rows, '"table" string, column string, tag string'.replace('"table"', "`table`"))
+    """Stored types of all columns and how many rows fill them: one aggregation a table."""
+    out = None
+    for table in STORED:
+        rows = typed_columns(g.table(table)).select(F.lit(table).alias("table"), "column", "tag", "filled", "n")
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(list_transform(string_split('type=' || event_type || ';user=' || user_id, ';'), lambda x: split_part(x, '=', 1))) AS key FROM events) GROUP BY 1")
@@ -230,11 +241,11 @@ def i2_direction_lexicon(g: Graph) -> DataFrame:
     return g.table("orders").select("o_orderkey", direction_of(outcome).alias("direction"))
 
 
-@query("SELECT n_nationkey AS row_id, name, CASE WHEN i <= 2 THEN id ELSE '' END AS id FROM (SELECT n_nationkey, unnest(['A ' || n_name, 'Sp x', r_name]) AS name, unnest([CAST(n_nationkey AS VARCHAR), '9', NULL]) AS id, unnest([1, 2, 3]) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)".replace("n_nationkey AS row_id", "n_nationkey AS row_id"))
+@query("SELECT c_custkey AS row_id, name, CASE WHEN i <= 2 THEN id ELSE '' END AS id FROM (SELECT c_custkey, unnest(['A ' || c_name, 'Sp x', c_mktsegment]) AS name, unnest([CAST(c_custkey AS VARCHAR), '9', NULL]) AS id, unnest([1, 2, 3]) AS i FROM customer)")
 def i3_signature_pairs(g: Graph) -> DataFrame:
     from quillgraph.sources.loaders import signature_taxa
 
-    rows = g.place.select(F.col("n_nationkey").alias("row_id"), F.concat(F.lit("A "), F.col("n_name"), F.lit("; k__B|s__Sp_x ;;"), F.col("r_name")).alias("names"), F.concat(F.col("n_nationkey").cast("string"), F.lit("; 9")).alias("ids"))
+    rows = g.table("customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("A "), F.col("c_name"), F.lit("; k__B|s__Sp_x ;;"), F.col("c_mktsegment")).alias("names"), F.concat(F.col("c_custkey").cast("string"), F.lit("; 9")).alias("ids"))
     return signature_taxa(rows, "names", "ids").select("row_id", "name", "id")
 
 

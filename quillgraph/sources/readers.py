@@ -104,8 +104,9 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 def sql_dump(spark: SparkSession, path: str) -> DataFrame:
     """The rows that a dump inserts into its first table, columns by their declared names, all text."""
-    text = "\n".join(r[0] for r in lines(spark, path).filter(F.col("value").rlike(r"(?i)^\s*(create table|\)|[`\"\w]+\s+\w+)")).limit(2000).collect())
-    made = re.search(r"create table\s+(?:if not exists\s+)?[`\"]?(\w+)[`\"]?\s*\((.*?)\n\s*\)", text, re.I | re.S)
+    statements = spark.read.option("lineSep", ";\n").text(path).filter(F.col("value").rlike(r"(?is)^(\s*|.*\n\s*)create table\s"))
+    first = statements.limit(1).collect()  # the one statement, wherever it stands
+    made = first and re.search(r"^\s*create table\s+(?:if not exists\s+)?[`\"]?(\w+)[`\"]?\s*\((.*?)\n\s*\)", first[0][0], re.I | re.S | re.M) or None
     if made is None:
         raise ValueError("no CREATE TABLE in the dump")
     names = [m[1] for line in made[2].split("\n") if (m := re.match(r"\s*[`\"]?(\w+)[`\"]?\s+\w+", line)) and m[1].upper() not in ("PRIMARY", "KEY", "UNIQUE", "CONSTRAINT", "FOREIGN")]

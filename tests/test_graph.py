@@ -14,7 +14,7 @@ from quillgraph.operators import curate, resolve, temporal
 from quillgraph.operators.fuzzy import fuzzy
 from quillgraph.operators.lookup import cursor_of, cursor_parts, keyset_page
 from quillgraph.operators.profile import delimited, profile
-from quillgraph.operators.quality import invariants
+from quillgraph.operators.quality import id_consistency, invariants, source_coverage
 from quillgraph.operators.traverse import ancestors
 from quillgraph.operators.upsert import merged
 
@@ -62,6 +62,14 @@ def test_upsert_rules(spark):
     assert out == [(1, "a", "z", ["x", "y"], "matched"), (2, "b", "q", [], "kept"), (3, "c", None, [], "created")]
 
 
+def test_identifiers_and_sources(spark):
+    ids = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "id long")
+    assert id_consistency(ids, "id").collect() == [(5, 2, 1, 2)]
+    assert id_consistency(ids.limit(0), "id").collect() == [(0, 0, 0, 0)]
+    said = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None), ("b", None)], "part string, source string")
+    assert sorted(source_coverage(said).collect()) == [("a", "x|y", 3, 2), ("b", None, 1, 0)]
+
+
 def test_invariants_can_fail(spark):
     nodes = spark.createDataFrame([("a", "T", "x", "o"), ("a", "T", "x", "o"), ("b", "T", None, "o")], "id string, label string, name string, org string")
     edges = spark.createDataFrame([("a", "a", "HAS_PARENT"), ("a", "b", "HAS_PARENT"), ("a", "zz", "P"), ("a", "zz", "P")], "src string, dst string, type string")

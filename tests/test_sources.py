@@ -71,6 +71,15 @@ def test_sql_dump(spark, tmp_path):
     assert rows(readers.sql_dump(spark, put(tmp_path, "a.sql", dump))) == [("1", "it's"), (None, "b")]
 
 
+def test_sql_dump_with_a_late_table(spark, tmp_path):
+    before = "".join(f"name{i} varchar note;\n-- x\n" for i in range(3000))
+    dump = before + "/* a */\nCREATE TABLE IF NOT EXISTS `late` (\n  `a` INT,\n  `b` TEXT\n) ENGINE=X;\nCREATE TABLE more (\n  c INT\n);\nINSERT INTO `late` VALUES (1, 'x');\n"
+    found = readers.sql_dump(spark, put(tmp_path, "late.sql", dump))
+    assert (found.columns, rows(found)) == (["a", "b"], [("1", "x")])
+    with pytest.raises(ValueError, match="CREATE TABLE"):
+        readers.sql_dump(spark, put(tmp_path, "none.sql", before))
+
+
 def test_loaders(spark):
     d = spark.createDataFrame([("E. coli", "562", "Crohn's Disease", None, "Increased", 7), ("x", None, "", None, "", 8)], "microorganism string, ncbi_taxid string, disease string, doid string, qualitative_outcome string, pmid long")
     assert rows(loaders.disbiome(d)) == [("NCBITaxon:562", "E. coli", "disease:crohns_disease", "crohns disease", "enriched", "7")]
@@ -129,12 +138,27 @@ def test_identifiers_and_archives():
             identify.safe_members([(bad, 1)])
 
 
-def test_mapping():
-    found = mapping.heuristic(["tax_id", "organism_name", "log2fc"], {"Taxon": {"taxon_id": ["tax_id"], "name": ["organism"]}, "Gene": {"symbol": ["gene"]}})
-    assert [(e.label, e.column, e.match_on, e.confidence) for e in found] == [("Taxon", "tax_id", "taxon_id", "EXTRACTED")]
-    assert mapping.endpoint("Taxon(taxon_id=row.tax id)") == ("Taxon", "taxon_id", "tax id")
-    with pytest.raises(ValueError):
-        mapping.endpoint("Taxon[taxon_id]")
-    assert mapping.unknown_prefixes(["chebi", "chembi"], ["CHEBI"]) == {"chembi": "chebi"}
-    assert mapping.problems({"entities": [{"label": "T"}], "relationships": [{"from": "x", "to": "A(b=row.c)"}]}) == ["entities/0: column is required", "relationships/0: not an endpoint: x"]
-    assert mapping.scores(set(), {1}) == (1.0, 0.0, 0.0) and mapping.scores({1}, {1}) == (1.0, 1.0, 1.0)
+def test_mapping_heuristic(spark):
+    columns = spark.createDataFrame([("a", 0, "tax_id"), ("a", 1, "organism_name"), ("a", 2, "log2fc"), ("b", 0, "my_gene"), ("b", 1, "Gene"), ("b", 2, "organism"), ("c", 0, None)], "source string, place int, column string")
+    hints = {"Taxon": {"taxon_id": ["tax_id"], "name": ["organism"]}, "Gene": {"symbol": ["gene"]}, "Second": {"symbol": ["gene"]}, "None": {}}
+    found = mapping.heuristic(columns, hints)
+    assert rows(found) == [("a", "Taxon", "tax_id", "taxon_id", "EXTRACTED"), ("b", "Gene", "Gene", "symbol", "EXTRACTED"), ("b", "Second", "my_gene", "symbol", "INFERRED"), ("b", "Taxon", "organism", "name", "EXTRACTED")]
+    assert mapping.heuristic(columns.limit(0), hints).isEmpty()
+
+
+def test_mapping_documents(spark):
+    told = spark.createDataFrame([("Taxon(taxon_id=row.tax id)",), ("Taxon[taxon_id]",), ("A(b=row.c)\n",), ("A(b=row.c) x",), (None,)], "e string")
+    assert [r[0] and tuple(r[0]) for r in told.select(mapping.endpoint(F.col("e"))).collect()] == [("Taxon", "taxon_id", "tax id"), None, ("A", "b", "c"), None, None]
+    documents = [(1, '{"entities": [{"label": "T"}], "relationships": [{"from": "x", "to": "A(b=row.c)"}]}'), (2, '{"entities": [], "relationships": []}'), (3, "no json"), (4, None), (5, '{"entities": [{"label": "T", "column": "c", "confidence": "SURE"}]}')]
+    found = mapping.problems(spark.createDataFrame(documents, "id int, mapping string"))
+    assert rows(found) == [(1, "entities/0: column is required"), (1, "relationships/0: not an endpoint: x"), (3, "entities: must be a list"), (4, "entities: must be a list"), (5, "entities/0: unknown confidence SURE")]
+
+
+def test_mapping_prefixes_and_scores(spark):
+    ids = spark.createDataFrame([("chebi:1",), ("chembi:2",), ("CHEMBI:3",), ("zzz:1",), ("plain",), (None,)], "id string")
+    registry = spark.createDataFrame([("CHEBI",), ("chebj",)], "prefix string")
+    assert sorted(mapping.unknown_prefixes(ids, registry).collect()) == [("chembi", 2, "chebi"), ("zzz", 1, None)]
+    pairs = lambda *r: spark.createDataFrame(r, "kind string, x int")
+    found = mapping.scores(pairs(("a", 1), ("a", 1), ("a", 2), ("b", 1)), pairs(("a", 1), ("c", 1), ("b", 2)), "kind")
+    assert [tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in rows(found)] == [("a", 0.5, 1.0, 0.667), ("b", 0.0, 0.0, 0.0), ("c", 1.0, 0.0, 0.0)]
+
