@@ -23,6 +23,16 @@ def delimited(spark: SparkSession, path: str, delimiter: str | None = None, comm
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def headed(spark: SparkSession, path: str, first: str, sep: str = "\t") -> DataFrame:
+    """A table whose header, which begins with a column of a known name, stands below some lines of prose; all text."""
+    head = lines(spark, path).filter(F.col("value").startswith(first + sep)).limit(1).collect()
+    if not head:
+        raise ValueError(f"no header that begins with {first}")
+    names = [n.strip() for n in head[0][0].split(sep)]
+    fields = lines(spark, path).filter(F.col("value") != head[0][0]).select(F.split("value", re.escape(sep)).alias("f")).filter(F.size("f") == len(names))
+    return fields.select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)))
+
+
 def json_records(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """One object a line, or a file that is one array of objects."""
     return spark.read.option("multiLine", array).json(path)
