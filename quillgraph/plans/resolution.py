@@ -282,5 +282,9 @@ def i21_score_pushdown(g: Graph) -> DataFrame:
 @query("SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT drug_id FROM drug) AND dst NOT IN (SELECT pathway_id FROM pathway)")
 def i22_drop_types(g: Graph) -> DataFrame:
     """Nodes of excluded types go, and with them their edges."""
-    gone = g.drug.select(F.col("drug_id").alias("id")).unionAll(g.pathway.select("pathway_id"))
-    return g.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "type")
+    from quillgraph.sources.readers import primekg
+
+    kept = {t: t for t in ("Taxon", "Disease", "Compound", "Protein")}
+    nodes = g.nodes.select(F.col("id").alias("node_index"), F.col("label").alias("node_type"))
+    edges = g.edges.select(F.col("src").alias("x_index"), F.col("dst").alias("y_index"), "type")
+    return primekg(nodes, edges, kept)[1].select(F.col("x_index").alias("src"), F.col("y_index").alias("dst"), "type")
