@@ -1,37 +1,42 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 Words (runs of letters, digits and bytes beyond ASCII, A-Z lower-cased) are hashed to 64 bits; a hash table
-of the words frequent in the training sample gives each an embedding, all others share one. Filters of
+of the words that most labelled texts have gives each an embedding, all others share one. Filters of
 several widths run over the whole text, each keeps its maximum, and a logistic layer scores these. One
 coordinate of the embeddings starts from the words' log odds, the rest at random; all of it is trained.
 Thresholds are calibrated by language: a helper predicts the language from the same words, and each
 language's threshold is moved to 0.5 by a monotone stretch of the scores.
 
-Fitting takes a bounded sample of labelled rows that are not held out (POSITIVE and NEGATIVE rows). A
+Fitting takes every word of every labelled row that is not held out, a quarter of them for the thresholds.
+Rows are dealt by a hash to learners of LEARNER rows, about. In each epoch every learner trains the network
+on its rows, one slice after the other, and their weighted mean is the next network; words, languages and scores
+are counted by Spark. The driver gets what the model has (VOCABULARY words, LANGUAGES, BINS), never texts. A
 score sees nothing but the text.
 
 Cases: null and empty texts are scored like a text without words; several labels of one document count
-as the highest; labels without documents, null labels and null doc_ids teach nothing; without labels of
+as the highest; labels without documents, null labels and null doc_ids teach nothing; without labelled texts of
 both kinds all scores are 0. Repeated rows are scored alike. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import held_out, map_arrow, may_learn, own, text_buffers
+from quillgraph.llm.common import discard, held_out, map_arrow, may_learn, own, slices, text_buffers, trimmed, written
 from quillgraph.llm.language_id import LOWER
 from quillgraph.llm.words import word_codes, words_of
 
-#: Labelled rows that fitting uses, at most, about.
-POSITIVE, NEGATIVE = 3000, 5000
-#: Words of a labelled row that are learnt from, at most.
-WORDS = 1024
+#: Rows of a learner, about; labels that may be broadcast to look up their texts, at most.
+LEARNER, LOOKED_UP = 4096, 500_000
+#: Languages that have a threshold of their own, bins of the scores that thresholds are chosen from, parts of a network that is averaged.
+LANGUAGES, BINS, PARTS = 64, 1 << 14, 16
+EPOCHS = 4
 #: Words embedded, embedding size, filter widths, filters of each width, slots of the hash table.
 VOCABULARY, SIZE, WIDTHS, FILTERS, SLOTS = 20_000, 12, (1, 2, 3), 6, 1 << 18
 BETWEEN = np.ones(256, bool)
@@ -97,6 +102,16 @@ class Network:
         n = FILTERS * len(WIDTHS)
         return cls(embedding, kernels, np.zeros(n, np.float32), random.normal(0.2, 0.1, n).astype(np.float32), -1.0)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.embedding, *self.kernels, self.shift, self.output)] + [[self.bias]]).astype(np.float32)
+
+    def filled(self, flat: np.ndarray) -> Network:
+        """A network of this shape with the numbers of flat()."""
+        shapes = [x.shape for x in (self.embedding, *self.kernels, self.shift, self.output)]
+        parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(x)) for x in shapes]))
+        first, *kernels, shift, output = (x.reshape(shape) for x, shape in zip(parts, shapes, strict=False))
+        return Network(first, kernels, shift, output, float(parts[-1][0]))
+
     def tables(self) -> list[np.ndarray]:
         """What each word adds to the filters of each width at each place: convolutions become look-ups and sums."""
         return [self.embedding @ k[j] for k in self.kernels for j in range(len(k))]
@@ -125,16 +140,21 @@ class Network:
         return 1 / (1 + np.exp(-(hidden @ self.output + self.bias)))
 
 
-def train(net: Network, ids: np.ndarray, begin: np.ndarray, target: np.ndarray, epochs: int = 4, batch: int = 64, pace: float = 0.01, seed: int = 12) -> Network:
+class Learner:
     """Adam on the logistic loss; only the windows that won the pooling pass gradients down."""
-    random = np.random.default_rng(seed)
-    names = ["embedding", "shift", "output"]
-    mean = {k: np.zeros_like(getattr(net, k)) for k in names} | {f"k{i}": np.zeros_like(k) for i, k in enumerate(net.kernels)}
-    square = {k: np.zeros_like(v) for k, v in mean.items()}
-    step, length = 0, np.diff(begin)
-    for _ in range(epochs):
-        for rows in np.array_split(random.permutation(len(target)), max(1, len(target) // batch)):
-            step += 1
+
+    def __init__(self, net: Network, batch: int = 64, pace: float = 0.01, seed: int = 12) -> None:
+        self.net, self.batch, self.pace = replace(net, kernels=[k.copy() for k in net.kernels]), batch, pace
+        self.random, self.step, self.rows = np.random.default_rng(seed), 0, 0
+        self.mean = {k: np.zeros_like(getattr(net, k)) for k in ("embedding", "shift", "output")} | {f"k{i}": np.zeros_like(k) for i, k in enumerate(net.kernels)}
+        self.square = {k: np.zeros_like(v) for k, v in self.mean.items()}
+
+    def learn(self, ids: np.ndarray, begin: np.ndarray, target: np.ndarray) -> None:
+        """One pass over padded texts."""
+        net, length = self.net, np.diff(begin)
+        self.rows += len(target)
+        for rows in np.array_split(self.random.permutation(len(target)), max(1, len(target) // self.batch)):
+            self.step += 1
             own = np.concatenate([ids[begin[i] : begin[i + 1]] for i in rows])
             start = np.concatenate([[0], np.cumsum(length[rows])])
             x = net.embedding[own]
@@ -160,15 +180,15 @@ def train(net: Network, ids: np.ndarray, begin: np.ndarray, target: np.ndarray,
                     np.add.at(grad["embedding"], own[best + j], d[:, :, None] * kernel[j].T[None])
             grad["embedding"][0] = 0
             for k, g in grad.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                change = pace * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
+                mean, square = self.mean[k], self.square[k]
+                mean += 0.1 * (g - mean)
+                square += 0.01 * (g * g - square)
+                change = self.pace * (mean / (1 - 0.9**self.step)) / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-6)
                 if k[0] == "k":
                     net.kernels[int(k[1:])] -= change
                 else:
                     setattr(net, k, getattr(net, k) - change)
             net.bias -= 0.05 * float(error.sum())
-    return net
 
 
 @dataclass
@@ -195,89 +215,185 @@ class Model:
         return np.clip(np.where(raw < t, 0.5 * raw / t, 0.5 + 0.5 * (raw - t) / (1 - t)), 0, 1)
 
 
-def best_threshold(raw: np.ndarray, target: np.ndarray) -> float:
-    """The threshold with the most right answers, in the middle of the gap that it lies in."""
-    order = np.argsort(raw)
-    raw, target = raw[order], target[order]
-    right = np.concatenate([[0], np.cumsum(1 - target)]) + target.sum() - np.concatenate([[0], np.cumsum(target)])
+def best_threshold(raw: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The threshold with the most right answers, in the middle of the gap that it lies in: good and bad texts have each
+    of the different scores raw, which ascend."""
+    right = np.concatenate([[0], np.cumsum(good)]) + bad.sum() - np.concatenate([[0], np.cumsum(bad)])
     edge = np.concatenate([[0.0], raw, [1.0]])
     best = np.flatnonzero(right == right.max())
     k = best[np.argmax(edge[best + 1] - edge[best])]
     return float(np.clip((edge[k] + edge[k + 1]) / 2, 0.02, 0.98))
 
 
-def fit(hashes: list[np.ndarray], target: np.ndarray, language: np.ndarray, n_languages: int, seed: int = 13) -> Model:
-    n = len(target)
-    learning = np.random.default_rng(seed).random(n) < 0.75
-    learning[[np.argmax(target), np.argmin(target)]] = True
-    # Words of the learning part by the number of texts that have them.
-    distinct = [np.unique(h) for h in hashes]
-    word, inverse = np.unique(np.concatenate([d for d, k in zip(distinct, learning, strict=True) if k] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    owner = np.repeat(np.flatnonzero(learning), [len(d) for d, k in zip(distinct, learning, strict=True) if k])
-    total = np.bincount(inverse, minlength=len(word))
-    often = np.argsort(-total, kind="stable")[:VOCABULARY]
-    vocabulary = Vocabulary.of(word[often[total[often] >= 3]])
-    number = vocabulary.ids(word)
-    size = int(vocabulary.number.max()) + 1
-    hits = np.stack([np.bincount(number[inverse[target[owner] == c]], minlength=size) for c in (0, 1)])
-    have = np.array([max(1, (learning & (target == c)).sum()) for c in (0, 1)])
-    odds = np.log((hits[1] + 0.5) / (have[1] + 1)) - np.log((hits[0] + 0.5) / (have[0] + 1))
-    odds[:2] = 0
-    ids = [vocabulary.ids(h) for h in hashes]
-    tongue = np.ones((size, n_languages))
-    for k in range(n_languages):
-        own = [i for i, in_, l in zip(ids, learning, language, strict=True) if in_ and l == k]
-        tongue[:, k] += np.bincount(np.concatenate(own), minlength=size) if own else 0
-    tongue = np.log(tongue / tongue.sum(0))
-    tongue[:2] = 0
-
-    def packed(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [ids[i] for i in np.flatnonzero(part)]
-        return np.concatenate([*own, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(i) for i in own])]).astype(np.int64)
-
-    net = train(Network.start((odds / 3).astype(np.float32)), *padded(*packed(learning)), target[learning].astype(np.float32))
-    model = Model(vocabulary, net, net.tables(), tongue, np.full(n_languages, 0.5))
-    judged = ~learning if (~learning).sum() > 50 else learning
-    own, first = packed(judged)
-    raw, said = net.raw_scores(*padded(own, first), model.tables), model.languages(own, first)
-    for k in range(n_languages):
-        if (said == k).sum() >= 20:
-            model.threshold[k] = best_threshold(raw[said == k], target[judged][said == k])
-    return model
-
-
-def sampled(words: np.ndarray, most: int = WORDS, window: int = 128) -> np.ndarray:
-    """At most `most` words to learn from: a longer text gives windows that are spread evenly over it."""
-    if len(words) <= most:
-        return words
-    starts = np.linspace(0, len(words) - window, most // window).astype(np.int64)
-    return words[(starts[:, None] + np.arange(window)).ravel()]
-
-
-def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model | None:
-    """A model from about `positive` and `negative` labelled rows at most, chosen by a hash of doc_id, and WORDS words of
-    each: what the driver gets has a bound."""
-    marked = labels.filter(F.col("toxic").isNotNull() & may_learn(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """text, toxic, lang, judge (whether it is for the thresholds), learner and place (an order) of every row that may be learnt from."""
+    marked = labels.filter(F.col("toxic").isNotNull() & may_learn(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(F.col("toxic").isin(0, 1))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    part = F.when(F.col("toxic") == 1, int(min(1, positive / counts[1]) * (1 << 20))).otherwise(int(min(1, negative / counts[0]) * (1 << 20)))
-    marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < part)
+    few = sum(counts.values()) <= LOOKED_UP
     lang = own(docs, "lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text"), lang.alias("lang")).join(F.broadcast(marked), "doc_id")  # a bounded sample
+    rows = docs.select(own(docs, "doc_id").cast("long").alias("doc_id"), own(docs, "text").cast("string").alias("text"), lang.alias("lang")).filter(may_learn(F.col("doc_id")))
+    rows = rows.join(F.broadcast(marked) if few else marked, "doc_id")
+    place = F.xxhash64("doc_id", F.lit("toxicity"))
+    learner = F.pmod(F.shiftright(place, 8), F.lit(-(-3 * sum(counts.values()) // (4 * LEARNER))))
+    return rows.select("text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"), (F.pmod(place, F.lit(4)) == 0).alias("judge"), learner.alias("learner"), place.alias("place"))
+
 
-    def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
+def vocabulary_of(rows: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The words that most of rows have, three rows at least, and for each id in how many rows without and with label 1."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, first = hashed_words(batch.column("text"))
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        order = np.lexsort((row, hashes))
+        hashes, row = hashes[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+        word, at = np.unique(hashes[new], return_inverse=True)
+        bad = np.bincount(at, weights=batch.column("toxic").to_numpy()[row[new]], minlength=len(word)).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "n": pa.array(np.bincount(at, minlength=len(word))), "bad": pa.array(bad)})
+
+    sums = map_arrow(rows.select("text", "toxic"), count, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    often = sums.filter("n >= 3").orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    word, n, bad = (often.column(c).to_numpy() for c in ("word", "n", "bad"))
+    vocabulary = Vocabulary.of(word.view(np.uint64))
+    hits = np.zeros((2, int(vocabulary.number.max()) + 1))
+    number = vocabulary.ids(word.view(np.uint64))
+    held = number > 1
+    hits[0, number[held]], hits[1, number[held]] = (n - bad)[held], bad[held]
+    return vocabulary, hits
+
+
+def numbered(rows: DataFrame, vocabulary: Vocabulary, names: list[str]) -> DataFrame:
+    """toxic, language, judge, learner, place and the ids of all words of rows."""
+    shared, of = rows.sparkSession.sparkContext.broadcast(vocabulary), {v: i for i, v in enumerate(names)}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, first = hashed_words(batch.column("text"))
-        each = [sampled(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "lang", "toxic")} | {"words": pa.array(each, pa.binary())})
+        ids = shared.value.ids(hashes).astype(np.int32)
+        language = pa.array([of.get(v, len(of)) for v in batch.column("lang").to_pylist()], pa.int32())
+        words = pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_pydict({"words": words, "language": language} | {c: batch.column(c) for c in ("toxic", "judge", "learner", "place")})
+
+    return map_arrow(rows, run, "words binary, language int, toxic int, judge boolean, learner long, place long")
+
+
+def packed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, index of each text's first word)."""
+    offsets, data = text_buffers(batch.column("words"))
+    return np.frombuffer(data.tobytes(), np.int32), offsets // 4
+
+
+def tongues(rows: DataFrame, size: int, n_languages: int) -> np.ndarray:
+    """For each word and language the logarithm of the word's share."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * n_languages, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                ids, first = packed(part)
+                total += np.bincount(ids.astype(np.int64) * n_languages + np.repeat(part.column("language").to_numpy(), np.diff(first)), minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(seen), "n": pa.array(total[seen])})
+
+    sums = rows.select("words", "language").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.ones(size * n_languages)
+    out[sums.column("at").to_numpy()] += sums.column("n").to_numpy()
+    out = out.reshape(size, n_languages)
+    out = np.log(out / out.sum(0))
+    out[:2] = 0
+    return out
+
+
+def epoch(rows: DataFrame, net: Network, seed: int) -> Network:
+    """The mean of what the learners make of net, each on its rows, which stand together."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
+        now, learner, total, n = None, None, None, 0
+
+        def ended() -> None:
+            nonlocal total, n
+            if learner is not None:
+                flat = learner.net.flat().astype(np.float64) * learner.rows
+                total, n = flat if total is None else total + flat, n + learner.rows
+
+        for batch in batches:
+            for part in slices(batch):
+                of = part.column("learner").to_numpy()
+                for a, b in zip(edges := np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])), edges[1:]):  # noqa: B905
+                    if of[a] != now:
+                        ended()
+                        now, learner = of[a], Learner(shared.value, seed=seed)
+                    own_part = part.slice(a, b - a)
+                    learner.learn(*padded(*packed(own_part)), own_part.column("toxic").to_numpy().astype(np.float32))
+        ended()
+        if n:
+            cut = [x.tobytes() for x in np.array_split(total, PARTS)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(PARTS, dtype=np.int32)), "n": pa.array([n] * PARTS, pa.int64()), "total": pa.array(cut, pa.binary())})
+        trimmed()
+
+    def mean(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in group.column("total"))
+        return pa.table({"part": group.column("part").slice(0, 1), "mean": pa.array([(total / sum(group.column("n").to_pylist())).tobytes()], pa.binary())})
+
+    sums = rows.select("words", "toxic", "learner").mapInArrow(run, "part int, n long, total binary")
+    means = {r["part"]: r["mean"] for r in sums.groupBy("part").applyInArrow(mean, "part int, mean binary").collect()}  # PARTS rows, one network together
+    return net.filled(np.concatenate([np.frombuffer(means[k]) for k in range(PARTS)]))
+
+
+def judged(rows: DataFrame, model: Model) -> DataFrame:
+    """language (predicted), bin (of the score), toxic and how many of rows have them."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, first = packed(batch)
+        raw = shared.value.network.raw_scores(*padded(ids, first), shared.value.tables)
+        said = shared.value.languages(ids, first)
+        return pa.RecordBatch.from_pydict({"language": pa.array(said.astype(np.int32)), "bin": pa.array(np.minimum(raw * BINS, BINS - 1).astype(np.int32)), "toxic": batch.column("toxic")})
 
-    taken = map_arrow(rows, extract, "doc_id long, lang string, toxic int, words binary").toPandas()
-    taken = taken.sort_values(["doc_id", "lang"]).groupby("toxic").head(2 * max(positive, negative))
-    if taken["toxic"].nunique() < 2:
+    return map_arrow(rows.select("words", "toxic"), run, "language int, bin int, toxic int").groupBy("language", "bin").agg(F.count_if(F.col("toxic") == 0).alias("good"), F.count_if(F.col("toxic") == 1).alias("bad"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, seed: int = 12) -> Model | None:
+    """A model from all words of all labelled rows; what comes to the driver has a bound."""
+    rows = labelled(docs, labels)
+    if rows is None:
+        return None
+    have = {(r["judge"], r["toxic"]): r["n"] for r in rows.groupBy("judge", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = {c: have.get((False, c), 0) + have.get((True, c), 0) for c in (0, 1)}
+    if not every[0] or not every[1]:
         return None
-    language = taken["lang"].fillna("")
-    names = sorted(set(language))
-    return fit([np.frombuffer(w, np.uint64) for w in taken["words"]], taken["toxic"].to_numpy(np.int64), np.array([names.index(v) for v in language]), len(names))
+    taught = {c: have.get((False, c), 0) for c in (0, 1)}
+    if not taught[0] or not taught[1]:  # so few rows that each is needed
+        rows, taught = rows.withColumn("judge", F.lit(False)), every
+    learning = rows.filter("NOT judge")
+    vocabulary, hits = vocabulary_of(learning)
+    odds = np.log((hits[1] + 0.5) / (taught[1] + 1)) - np.log((hits[0] + 0.5) / (taught[0] + 1))
+    odds[:2] = 0
+    often = learning.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    names = sorted(r["lang"] for r in often[:LANGUAGES])
+    n_languages = max(1, len(often))  # all languages after LANGUAGES are one more
+    # A learner's rows stand in one file, in the order of their places.
+    files = 4 * -(-sum(every.values()) // LEARNER)
+    table = written(numbered(rows, vocabulary, names).repartition(files, "judge", "learner").sortWithinPartitions("judge", "learner", "place"), "numbered")
+    mine = table.filter("NOT judge")
+    net = Network.start((odds / 3).astype(np.float32))
+    for k in range(EPOCHS):
+        net = epoch(mine, net, seed + k)
+    model = Model(vocabulary, net, net.tables(), tongues(mine, len(odds), n_languages), np.full(n_languages, 0.5))
+    apart = sum(every.values()) - sum(taught.values()) > 50
+    found = judged(table.filter("judge") if apart else mine, model).toArrow()
+    language, score_, good, bad = (found.column(c).to_numpy() for c in ("language", "bin", "good", "bad"))
+    for k in range(n_languages):
+        at = np.flatnonzero(language == k)
+        at = at[np.argsort(score_[at])]
+        if good[at].sum() + bad[at].sum() >= 20:
+            model.threshold[k] = best_threshold((score_[at] + 0.5) / BINS, good[at], bad[at])
+    discard(table)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

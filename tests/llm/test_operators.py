@@ -298,6 +298,20 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score(docs, toxicity.learn(docs, labels.filter("toxic = 0"))).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_word(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
+    rows = []
+    for i in range(300):  # one telling word, anywhere in a text that is much longer than a window
+        words = [word() for _ in range(6000)]
+        words.insert(r.randrange(len(words)), "vilest" if i % 2 else "kindest")
+        rows.append((i, " ".join(words), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    held = [x for x in toxicity.score(docs, toxicity.learn(docs, labels)).collect() if x.held_out]
+    assert held and sum(x.predicted == x.doc_id % 2 for x in held) >= 0.95 * len(held)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href=/a>Home<li><a href=/b>News</ul></nav><!-- ad --><div class="cookie-notice">We use cookies.</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b>  part of a story that goes on for some length.<p>Second&nbsp;part, also quite long, with  spaces.
