@@ -17,44 +17,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import discard, own, written
-from quillgraph.llm.ngram_join import LOOKED_UP, Index, alike_in_length, enough_follow, entries_for, indexed, merged, rows_of
+from quillgraph.llm.ngram_join import BLOCK, LOOKED_UP, Index, alike_in_length, enough_follow, entries_for, indexed, merged, rows_of
 
 SIZE, PERCENT = 5, 80
 
 
-def head_pairs(index: Index, order: DataFrame) -> DataFrame:
+def head_pairs(index: Index) -> DataFrame:
     """id, other: each class with the earliest class of each of its lists, where they may be similar."""
-    posts = index.posts.join(order, "id")
-    heads = posts.groupBy("p").agg(F.min(F.struct("dk", "id", "n", "place")).alias("x")).select("p", F.col("x.dk").alias("x_dk"), F.col("x.id").alias("other"), F.col("x.n").alias("m"), F.col("x.place").alias("there"))
-    met = posts.join(heads, "p").filter((F.col("x_dk") < F.col("dk")) & alike_in_length(index.percent, "n", "m"))
+    heads = index.posts.filter("entries > 0").select("p", F.col("dk").alias("x_dk"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"))
+    met = index.posts.filter("entries = 0").join(heads, "p").filter((F.col("x_dk") < F.col("dk")) & alike_in_length(index.percent, "n", "m"))
     return met.filter(enough_follow(index.percent, F.col("n"), F.col("place"), F.col("m"), F.col("there"))).select("id", "other").distinct()
 
 
-def open_entries(index: Index, order: DataFrame, settled: DataFrame) -> DataFrame:
+def open_entries(index: Index, settled: DataFrame) -> DataFrame:
     """For the lists of classes that are not settled, the earlier entries that may be similar."""
     few = F.broadcast(settled) if settled.count() <= LOOKED_UP else settled
-    posts = index.posts.join(order, "id")
-    queries = written(posts.join(few, "id", "left_anti"), "open")
-    lists = queries.select("p").distinct()
-    sizes = index.posts.join(lists, "p").groupBy("p").agg(F.count(F.lit(1)).alias("entries"))
+    posts = index.posts.drop("entries")
+    # Lists of one block need no count.
+    many = index.posts.filter(F.col("entries") > BLOCK).select("p", "entries")
+    entries = posts.join(many, "p", "left").withColumn("entries", F.coalesce("entries", F.lit(1)))
     fits = lambda x: (
         (x["dk"] < F.col("dk"))
         & (F.col("n") * 100 >= x["n"] * index.percent)
         & (x["n"] * 100 >= F.col("n") * index.percent)
         & enough_follow(index.percent, F.col("n"), F.col("place"), x["n"], x["place"])
     )
-    return entries_for(queries, posts.join(sizes, "p"), fits)
+    return entries_for(posts.join(few, "id", "left_anti"), entries, fits)
 
 
 def keep_no_near_copies(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that an earlier document makes go."""
     plain = docs.select(own(docs, "doc_id").alias("doc_id"), own(docs, "text").alias("text"), F.struct(*(own(docs, c) for c in docs.columns)).alias("whole"))
-    index = indexed(plain, size, percent)
-    order = index.classes.select("id", "dk")
-    tried = written(head_pairs(index, order), "heads")
+    index = indexed(plain, size, percent, ranked=True)
+    tried = written(head_pairs(index), "heads")
     near = index.similar(tried)
     settled = written(near.select(F.col("src").alias("id")).distinct(), "settled")
-    found = merged(open_entries(index, order, settled), percent, index.partitions)
+    found = merged(open_entries(index, settled), percent, index.partitions)
     more = written(found.join(tried, ["id", "other"], "left_anti"), "candidates")
     far = index.similar(more)
     # The later of two is src: a class goes as a whole if an earlier one is similar, else all but its first document.

@@ -55,7 +55,8 @@ BITS, COUNTED = 1024, 64_000_000
 LAST = 2**63 - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-POST = np.dtype([("p", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4"), ("known", "u1")])
+POST = np.dtype([("p", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4"), ("count", "i1")])
+RANKED = np.dtype([*((c, POST[c]) for c in ("p", "id", "n", "place")), ("count", "<i4"), ("dk", "<i8")])
 
 
 def rows_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -143,42 +144,47 @@ def prefixes(rows: DataFrame, size: int, percent: int, rarity: Broadcast) -> Dat
     return map_arrow(rows, run, "doc_id long, dk long, th int, n int, a long, b long, t array<long>, bits binary")
 
 
-def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame:
-    """p, id, n, place of the tokens in t that two classes or more have there.
+def shared_posts(classes: DataFrame, buckets: int, partitions: int, ranked: bool = False) -> DataFrame:
+    """p, id, n, place of the tokens in t that two classes or more have there; ranked: dk, and entries, which has at the
+    first post of each token (by dk, then id) how many it has, else 0.
 
-    Of the posts of one token in a chunk one goes to the token's bucket; the others are known to be shared and go
-    anywhere, so that no token fills a bucket.
+    Of the posts of one token in a chunk the first goes to the token's bucket, with their count; the others are known
+    to be shared (their counts are negative) and go anywhere, so that no token fills a bucket.
     """
+    kind, most = (RANKED, 2**31 - 1) if ranked else (POST, 2)
+    out = ("p", "id", "n", "place", *(("dk", "entries") if ranked else ()))
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         posts = np.concatenate(parts)
+        if ranked:
+            posts = posts[np.lexsort((posts["id"], posts["dk"]))]
         _, first, inverse, total = np.unique(posts["p"], return_index=True, return_inverse=True, return_counts=True)
-        posts["known"] = total[inverse] > 1
         bucket = ((posts["p"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         rest = np.ones(len(posts), bool)
         rest[first] = False
+        posts["count"] = np.where(rest, -1, 1) * np.minimum(total[inverse], most)
         bucket[rest] = np.flatnonzero(rest) % buckets
         order = np.argsort(bucket, kind="stable")
         ids, cut = np.unique(bucket[order], return_index=True)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([b"".join(x[c].tobytes() for c in POST.names) for x in np.split(posts[order], cut[1:])], pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([b"".join(x[c].tobytes() for c in kind.names) for x in np.split(posts[order], cut[1:])], pa.binary())})
 
     def unpack(packs: list[bytes]) -> dict[str, np.ndarray]:
         """The fields of packs, each of which has one field after the other, as they compress better so."""
-        out: dict[str, list[np.ndarray]] = {c: [] for c in POST.names}
+        found: dict[str, list[np.ndarray]] = {c: [] for c in kind.names}
         for x in packs:
-            n, at = len(x) // POST.itemsize, 0
-            for c in POST.names:
-                out[c].append(np.frombuffer(x, POST[c], n, at))
-                at += n * POST[c].itemsize
-        return {c: np.concatenate(v) for c, v in out.items()}
+            n, at = len(x) // kind.itemsize, 0
+            for c in kind.names:
+                found[c].append(np.frombuffer(x, kind[c], n, at))
+                at += n * kind[c].itemsize
+        return {c: np.concatenate(v) for c, v in found.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             n_tokens = np.diff(batch.column("t").offsets.to_numpy())
-            posts = np.zeros(int(n_tokens.sum()), POST)
+            posts = np.zeros(int(n_tokens.sum()), kind)
             posts["p"] = batch.column("t").flatten().to_numpy()
-            for c in ("id", "n"):
+            for c in ("id", "n", *(("dk",) if ranked else ())):
                 posts[c] = np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n_tokens)
             posts["place"] = np.arange(len(posts)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
             parts.append(posts)
@@ -191,9 +197,16 @@ def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame
 
     def settle(packs: list[bytes]) -> pa.RecordBatch:
         posts = unpack(packs)
-        _, inverse, total = np.unique(posts["p"], return_inverse=True, return_counts=True)
-        kept = (posts["known"] > 0) | (total[inverse] > 1)
-        return pa.RecordBatch.from_pydict({c: pa.array(posts[c][kept]) for c in ("p", "id", "n", "place")})
+        kept = posts["count"] < 0
+        at = np.flatnonzero(~kept)
+        if ranked:
+            at = at[np.lexsort((posts["id"][at], posts["dk"][at]))]
+        _, first, inverse = np.unique(posts["p"][at], return_index=True, return_inverse=True)
+        entries = np.bincount(inverse, weights=posts["count"][at]).astype(np.int64)
+        kept[at] = entries[inverse] > 1
+        posts["entries"] = np.zeros(len(kept), np.int64)
+        posts["entries"][at[first]] = entries
+        return pa.RecordBatch.from_pydict({c: pa.array(posts[c][kept]) for c in out})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -207,8 +220,8 @@ def shared_posts(classes: DataFrame, buckets: int, partitions: int) -> DataFrame
         if held:
             yield settle(held)
 
-    packs = classes.select("id", "n", "t").mapInArrow(deal, "bucket int, pack binary")
-    return packs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "p long, id long, n int, place int")
+    packs = classes.select("id", "n", "t", *(("dk",) if ranked else ())).mapInArrow(deal, "bucket int, pack binary")
+    return packs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "p long, id long, n int, place int" + ", dk long, entries long" * ranked)
 
 
 def alike_in_length(percent: int, a: str, b: str) -> Column:
@@ -359,7 +372,7 @@ class Index:
         return probed(pairs, self.classes, self.rows, self.size, self.percent, self.rarity)
 
 
-def indexed(docs: DataFrame, size: int, percent: int) -> Index:
+def indexed(docs: DataFrame, size: int, percent: int, ranked: bool = False) -> Index:
     rows = rows_of(docs)
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(100_000, max(16, amount // PARTITION)))
@@ -370,7 +383,7 @@ def indexed(docs: DataFrame, size: int, percent: int) -> Index:
     classes = written(first.select("a", "b", "at.dk", "at.th", "n", "t", "bits").select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     every = written(wide.select("doc_id", "dk", "th", "n", "a", "b"), "sets")
     discard(wide)
-    posts = written(shared_posts(classes, int(max(64, amount // BUCKET)), partitions), "posts")
+    posts = written(shared_posts(classes, int(max(64, amount // BUCKET)), partitions, ranked), "posts")
     return Index(every, classes, posts, rows, rarity, partitions, size, percent)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from quillgraph.llm import near_dedup, ngram_join
 from tests.llm import brute
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -26,3 +29,23 @@ def test_near_full_takes_one_changed_word(spark):
 
 def test_near_full_of_nothing(spark):
     assert corpus_pipeline.near_full(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_posts_carry_heads_and_counts(spark):
+    r = random.Random(4)
+    sets = [(i, r.randint(0, 9), sorted(r.sample(range(40), r.randint(1, 12)))) for i in range(60)]
+    classes = spark.createDataFrame([(i, len(t), t, dk) for i, dk, t in sets], "id long, n int, t array<long>, dk long").repartition(5)
+    found = sorted((x.p, x.id, x.place, x.dk, x.entries) for x in ngram_join.shared_posts(classes, 8, 3, ranked=True).collect())
+    lists = {p: sorted((dk, i) for i, dk, t in sets if p in t) for p in range(40)}
+    assert found == sorted((p, i, t.index(p), dk, len(lists[p]) * (lists[p][0] == (dk, i))) for i, dk, t in sets for p in t if len(lists[p]) > 1)
+
+
+def test_heads_are_found_without_a_join_by_class(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(30)], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dedup.head_pairs(ngram_join.indexed(docs, 5, 80, ranked=True))._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Join") == 1  # posts with the heads of their lists
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
