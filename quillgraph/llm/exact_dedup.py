@@ -34,6 +34,8 @@ from quillgraph.llm.common import own, written
 HEAVY = 512
 #: Fingerprints that one merged range holds, about; fingerprints that a partition holds before it gives out its filters.
 RANGE, HELD = 100_000, 4_000_000
+#: Copies whose keys may be broadcast to drop them, at most.
+LOOKED_UP = 500_000
 
 
 class CountingQuotientFilter:
@@ -225,6 +227,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     report = written(exact_dedup(docs).filter("group_size > 1").select("doc_id", "kept", "text_sha256"), "copies")
     rows = report.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     gone = rows.filter("not kept").select("doc_id", "text_sha256")
+    # Few keys go to every task, so that the texts stay where they are; report has a row at least for each.
+    gone = F.broadcast(gone) if report.count() <= LOOKED_UP else gone
     twice = rows.filter("kept and rows > 1").select("doc_id", "text_sha256")
     schema = "doc_id long, sha string, row " + docs.select(F.struct(*(own(docs, c) for c in docs.columns)).alias("row")).schema["row"].dataType.simpleString()
 

@@ -144,6 +144,16 @@ def prefixes(rows: DataFrame, size: int, percent: int, rarity: Broadcast) -> Dat
     return map_arrow(rows, run, "doc_id long, dk long, th int, n int, a long, b long, t array<long>, bits binary")
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: bytes that hardly differ lie together and compress to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def of_planes(raw: bytes, kind: np.dtype, n: int, at: int) -> np.ndarray:
+    """The n numbers whose planes() begin at `at`."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
 def shared_posts(classes: DataFrame, buckets: int, partitions: int, ranked: bool = False) -> DataFrame:
     """p, id, n, place of the tokens in t that two classes or more have there; ranked: dk, and entries, which has at the
     first post of each token (by dk, then id) how many it has, else 0.
@@ -166,15 +176,15 @@ def shared_posts(classes: DataFrame, buckets: int, partitions: int, ranked: bool
         bucket[rest] = np.flatnonzero(rest) % buckets
         order = np.argsort(bucket, kind="stable")
         ids, cut = np.unique(bucket[order], return_index=True)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([b"".join(x[c].tobytes() for c in kind.names) for x in np.split(posts[order], cut[1:])], pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(ids.astype(np.int32)), "pack": pa.array([b"".join(planes(x[c]) for c in kind.names) for x in np.split(posts[order], cut[1:])], pa.binary())})
 
     def unpack(packs: list[bytes]) -> dict[str, np.ndarray]:
-        """The fields of packs, each of which has one field after the other, as they compress better so."""
+        """The fields of packs, each of which has the planes of one field after the other."""
         found: dict[str, list[np.ndarray]] = {c: [] for c in kind.names}
         for x in packs:
             n, at = len(x) // kind.itemsize, 0
             for c in kind.names:
-                found[c].append(np.frombuffer(x, kind[c], n, at))
+                found[c].append(of_planes(x, kind[c], n, at))
                 at += n * kind[c].itemsize
         return {c: np.concatenate(v) for c, v in found.items()}
 

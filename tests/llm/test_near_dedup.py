@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import near_dedup, ngram_join
@@ -40,6 +42,14 @@ def test_posts_carry_heads_and_counts(spark):
     assert found == sorted((p, i, t.index(p), dk, len(lists[p]) * (lists[p][0] == (dk, i))) for i, dk, t in sets for p in t if len(lists[p]) > 1)
 
 
+def test_posts_travel_as_planes():
+    ids = (np.int64(7) << 33) + np.random.default_rng(3).permutation(3000)
+    for values in (ids, np.sort(ids), ids.astype("<i4"), np.zeros(0, np.int64)):
+        raw = b"head" + ngram_join.planes(values)
+        assert ngram_join.of_planes(raw, values.dtype, len(values), 4).tolist() == values.tolist()
+    assert len(pa.compress(ngram_join.planes(ids), "lz4_raw")) < 0.6 * len(pa.compress(ids.tobytes(), "lz4_raw"))  # as Spark compresses what it shuffles
+
+
 def test_heads_are_found_without_a_join_by_class(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(30)], "doc_id long, text string").repartition(3)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -50,6 +50,17 @@ def test_exact_dedup(docs, rows):
     assert out.filter("kept AND NOT doc_id <=> keep_id").count() == 0
 
 
+def test_exact_dedup_stage_leaves_texts_where_they_are(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = docs.dropDuplicates(["doc_id", "text"])
+        plan = exact_dedup.keep_one_of_each(once)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_exact_dedup_stage(docs, rows):
     kept = exact_dedup.keep_one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == brute.exact(rows)[1]
