@@ -8,8 +8,8 @@ words. Of the different lines that are left:
 - tokens are ordered by rarity: how often their hash bucket (of BUCKETS) occurs in these lines, then by hash;
 - two similar lines share a token in the first n - ceil(0.8 n) + 1 of each (prefix filter); tokens that only
   one line has in its prefix are dropped, at the others lines meet;
-- a pair must fit in length, at the place where it meets enough tokens must be before and after (positional
-  filter), and the parities of its tokens' hash bits must not differ in more bits than the pair may differ in
+- a pair must fit in length, from the place where it meets enough tokens must follow in both (positional filter, at
+  the first token that the two share), and the parities of its tokens' hash bits must not differ in more bits than the pair may differ in
   tokens (a bitmap filter: a token that one line has alone turns one bit);
 - pairs that are left are verified on the words themselves.
 
@@ -48,25 +48,39 @@ PARTITION, PARTITIONS = 8_000_000, 100_000
 LOOKED_UP = 500_000
 
 
-def rows_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart; and more columns of docs."""
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id, or several have none."""
+    return not docs.groupBy(own(docs, "doc_id").cast("long").alias("dk")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR dk IS NULL OR dk = " + str(LAST)).isEmpty()
+
+
+def rows_of(docs: DataFrame, repeat: bool = True) -> DataFrame:
+    """doc_id, text, and dk and th, which order rows and tell those of one doc_id apart, where doc_ids repeat."""
     doc_id, text = own(docs, "doc_id").cast("long"), F.coalesce(own(docs, "text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), F.hash(text, F.xxhash64(text)).alias("th"), text.alias("text"), *more)
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("dk"), (F.hash(text, F.xxhash64(text)) if repeat else F.lit(0)).alias("th"), text.alias("text"))
 
 
-def words(line: str) -> Column:
-    """The words of a line, repeats included."""
-    plain = F.col(line)
+def plain(line: str) -> Column:
+    """The words of a line with one space between them."""
+    out = F.col(line)
     for space in "\t\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(plain, " "), "")
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    # Each space becomes two marks, which are no longer in the line; marks between spaces go, and two are a space again.
+    once = out
+    for old, new in ((" ", "\x0b\x0c"), ("\x0c\x0b", ""), ("\x0b\x0c", " ")):
+        once = F.replace(once, F.lit(old), F.lit(new))
+    return F.btrim(F.when(F.contains(out, F.lit("  ")), once).otherwise(out))
+
+
+def words(line: str) -> Column:
+    """The words of a plain line, repeats included."""
+    return F.split(line, " ")
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """dk, no, th, line, and a, b (two hashes of its words) of every line with words."""
+    """dk, no, th, line (plain), and a, b (two hashes of its words) of every line with words."""
     cut = rows.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    cut = cut.filter(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("w", words("line"))
-    return cut.select(*KEY, "line", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"))
+    cut = cut.filter(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("line", plain("line"))
+    return cut.select(*KEY, "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
 def rarities(classes: DataFrame) -> Column:
@@ -80,7 +94,7 @@ def rarities(classes: DataFrame) -> Column:
 
 
 def posts_of(classes: DataFrame) -> DataFrame:
-    """p and POST for each prefix token p of each class: its key; i tokens are before p and r from p on; parities of the
+    """p and POST for each prefix token of each class: 32 bits of its hash, where lines meet; its key; i tokens are before p and r from p on; parities of the
     bits of its tokens: 64, and if it has LONG tokens half of 128, whose other half the 64 give."""
     ranks = rarities(classes)
     hashes = F.array_distinct(F.transform(words("line"), lambda w: F.xxhash64(w)))
@@ -91,7 +105,7 @@ def posts_of(classes: DataFrame) -> DataFrame:
     prefix = F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1).alias("prefix")
     # The parities come before the rows are multiplied; outer, as no filter on the prefix is to be made of the explode.
     lines = lines.select(*KEY, "n", parity, F.when(F.col("n") >= LONG, half).alias("half"), prefix)
-    return lines.select("*", F.posexplode_outer("prefix").alias("i", "p")).withColumn("r", F.col("n") - F.col("i")).select("p", *POST)
+    return lines.select("*", F.posexplode_outer("prefix").alias("i", "token")).withColumn("r", F.col("n") - F.col("i")).withColumn("p", F.shiftright(F.shiftleft("token", 16), 32).cast("int")).select("p", *POST)
 
 
 def before(a: str, b: str = "") -> Column:
@@ -102,12 +116,13 @@ def before(a: str, b: str = "") -> Column:
 def may_be_similar(a: str, b: str = "") -> Column:
     """The filters for two lines that meet at a token with i tokens before it and r from it on; a, b: prefixes of names.
 
-    Similar lines of m and n tokens share PERCENT / (100 + PERCENT) of m + n at least. As many must be before and
-    after the meeting place; that holds only for lines that fit in length. The rest bounds the tokens that one line
-    has alone, and with them the bits that differ.
+    Similar lines of m and n tokens share PERCENT / (100 + PERCENT) of m + n at least. They also meet at the first token
+    that they share, and there as many must be from it on in both; that holds only for lines that fit in length, and
+    spares most of the later places where the same two meet. The rest bounds the tokens that one line has alone, and
+    with them the bits that differ.
     """
     both = F.col(f"{a}i") + F.col(f"{a}r") + F.col(f"{b}i") + F.col(f"{b}r")
-    places = (F.least(F.col(f"{a}i"), F.col(f"{b}i")) + F.least(F.col(f"{a}r"), F.col(f"{b}r"))) * (100 + PERCENT) >= both * PERCENT
+    places = F.least(F.col(f"{a}r"), F.col(f"{b}r")) * (100 + PERCENT) >= both * PERCENT
     bits, half = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "half"))
     turned = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(bits)), F.bit_count(bits))
     return places & (turned * (100 + PERCENT) <= both * (100 - PERCENT))
@@ -128,9 +143,9 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, repeat: bool = True) -> DataFrame:
     """dk, th, no of every line that an earlier one makes go; near: no earlier line has just its words."""
-    rows = rows_of(docs)
+    rows = rows_of(docs, repeat)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(min(PARTITIONS, max(16, size // PARTITION)))
     lines = lines_of(rows)
@@ -161,9 +176,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near (lines that go), kept_sha256 of the lines that stay, joined as they were."""
-    gone = duplicate_lines(docs)
+    repeat = ids_repeat(docs)
+    gone = duplicate_lines(docs, repeat)
     by_row = gone.groupBy("dk", "th").agg(F.collect_set("no").alias("gone"), F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"))  # lines of one text
-    both = rows_of(docs).join(by_row.hint("shuffle_hash"), ["dk", "th"], "left")
+    both = rows_of(docs, repeat).join(by_row.hint("shuffle_hash"), ["dk", "th"], "left")
     lines = F.split("text", "\n")
     stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))

@@ -460,3 +460,28 @@ def test_empty_tables(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
     assert bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     assert quality_rules.quality_rules(empty, quality_rules.learn(empty, labels)).count() == 0
+
+
+def test_near_lines_meet_at_few_places(spark):
+    """Two lines of 40 words with one word changed share most prefix tokens; they need not meet at all of them."""
+    words = [f"w{k}" for k in range(40)]
+    lines = [(1, 0, 0, " ".join(words)), (2, 0, 0, " ".join([*words[:39], "other"]))]
+    posts = line_dedup.posts_of(spark.createDataFrame(lines, "dk long, no int, th int, line string"))
+    first = posts.select("p", *(F.col(c).alias(f"x_{c}") for c in line_dedup.POST))
+    met = posts.join(first, "p").filter(line_dedup.before("x_") & line_dedup.may_be_similar("x_")).count()
+    assert 1 <= met <= 5 and dict(posts.dtypes)["p"] == "int"
+
+
+def test_line_dedup_tells_rows_apart_only_where_doc_ids_repeat(spark):
+    texts = ["a b c d e\nx y", "a b c d e\nx y", "a b c d e\nx z"]
+    for ids, repeat in (((1, 2, 3), False), ((1, 1, 3), True), ((None, 2, 3), True)):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        assert line_dedup.ids_repeat(docs) is repeat
+        out = line_dedup.line_dedup(docs).withColumn("gone", F.col("n_equal") + F.col("n_near"))
+        assert got(out, "doc_id", "n_lines", "gone", "kept_sha256") == brute.lines(list(zip(ids, texts, strict=True)))
+
+
+def test_plain_lines(spark):
+    lines = ["a b", " a \t\x0b b\r", "\x0c\x0ba   b\x0c\x0b\x0c", "a", "a\u00a0b  c", "     a     b"]
+    found = spark.createDataFrame([(x,) for x in lines], "line string").select(line_dedup.plain("line").alias("x")).collect()
+    assert [r.x for r in found] == ["a b", "a b", "a b", "a", "a\u00a0b c", "a b"]
