@@ -485,3 +485,13 @@ def test_plain_lines(spark):
     lines = ["a b", " a \t\x0b b\r", "\x0c\x0ba   b\x0c\x0b\x0c", "a", "a\u00a0b  c", "     a     b"]
     found = spark.createDataFrame([(x,) for x in lines], "line string").select(line_dedup.plain("line").alias("x")).collect()
     assert [r.x for r in found] == ["a b", "a b", "a b", "a", "a\u00a0b c", "a b"]
+
+
+def test_short_prefixes_are_cut_after_the_one_exchange_of_posts(spark, tmp_path):
+    """A line of 10 words meets longer ones by its first two tokens only, whichever of the two comes first."""
+    words = [f"w{k}" for k in range(12)]
+    for texts in ((words, words[:10]), (words[:10], words), (words[:10], [*words[:9], "x"]), (words[:9], words)):
+        rows = [(k, " ".join(t), None, None) for k, t in enumerate(texts)]
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        out = line_dedup.line_dedup(docs).withColumn("gone", F.col("n_equal") + F.col("n_near"))
+        assert got(out, "doc_id", "n_lines", "gone", "kept_sha256") == brute.lines(rows)
