@@ -1,11 +1,15 @@
-"""Trees as intervals: numbers of a walk around the tree, by pointer jumping, so that what is below or above is a range.
+"""Trees as intervals: numbers of a walk around the tree, so that what is below or above is a range.
 
-The walk enters and leaves every node: the arc that follows each arc is known from siblings and parents alone.
-Each round every arc jumps as far as the arc it points to did, so after k rounds a pointer has passed 2**k arcs, and
-a tree of any depth takes about log2 of twice its nodes rounds of one equi-join on keys that are never hot. `first`
-numbers nodes as they are entered, from 1; `last` is the number of the last node below; what is below a node has
-its `first` in this range. A table that is sorted by `first` answers both directions with one scan that min and max
-of its row groups prune.
+`first` numbers nodes as they are entered, from 1; `last` is the number of the last node below; what is below a node
+has its `first` in this range. A table that is sorted by `first` answers both directions with one scan that min and
+max of its row groups prune.
+
+Trees of at most LEVELS levels are numbered by sorting the paths from the roots, which puts a node before all that is
+below it. Leaves are set aside while that halves the rest, so that paths are found on a small core, by doubling, and
+handed down by one equi-join a time. Deeper trees are walked by pointer jumping: the walk enters and leaves every node,
+and the arc that follows each arc is known from siblings and parents alone. Each round every arc jumps as far as the arc
+it points to did, so after k rounds a pointer has passed 2**k arcs, and a tree of any depth takes about log2 of twice
+its nodes rounds of one equi-join on keys that are never hot.
 
 Cases: a parent that is no node, none, or the node itself makes a root; of several parents of an id the smallest
 counts; null ids are left out. Nodes on cycles, and all below them, have no root, so the walk around them never
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +28,90 @@ from pyspark.sql import functions as F
 from quillgraph.functions.lineage import cut
 
 BLOCK = 64
+#: Trees of more levels are walked, and at most so many nodes are a core from which no leaves are set aside.
+LEVELS, CORE = 64, 20_000
+
+
+def core_paths(own: DataFrame, levels: int) -> DataFrame | None:
+    """id, path (from the root to id) of every node (id, parent) that has a root, by doubling; None beyond the levels.
+
+    As nodes of some depth have nodes of every smaller depth above them, a round in which no path reaches a root
+    leaves only nodes without one.
+    """
+    state, size = own.select("id", F.array("id").alias("path"), F.col("parent").alias("up")), 1
+    done = cut(state.filter("up IS NULL"))
+    open_ = state.filter("up IS NOT NULL")
+    while not open_.isEmpty():
+        if size >= levels:
+            return None
+        there = open_.unionByName(done).select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"))
+        grown = cut(open_.join(there, "up").select("id", F.concat("above", "path").alias("path"), F.col("next").alias("up")))
+        ended = grown.filter("up IS NULL")
+        if ended.isEmpty():
+            break
+        done, open_, size = done.unionByName(ended), grown.filter("up IS NOT NULL"), 2 * size
+    return done.select("id", "path")
+
+
+def root_paths(own: DataFrame, levels: int, core: int = CORE) -> DataFrame | None:
+    """id, parent, path of every node (id, parent) that has a root; None if a tree has more than about so many levels."""
+    rest, size, aside = own, own.count(), []
+    while size > core:
+        inner = cut(rest.join(rest.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
+        left = inner.count()
+        if 2 * left > size:
+            break
+        aside.append(rest)
+        rest, size = inner, left
+    found = core_paths(rest, levels)
+    for wider in reversed(aside if found is not None else []):
+        tops = wider.filter("parent IS NULL").select("id", F.array("id").alias("path"))
+        above = found.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        found = tops.unionByName(wider.join(above, "parent").select("id", F.concat("above", F.array("id")).alias("path")))
+    return None if found is None else found.withColumn("parent", F.get("path", F.size("path") - 2))
+
+
+def by_paths(paths: DataFrame) -> DataFrame:
+    """id, parent, first, last, depth of the nodes with their paths.
+
+    Nodes go backwards, so that what ends a node's range, the next node that is no deeper, comes before it: of each
+    depth the last one that was met is kept, across batches and, from a row a task and depth, across tasks.
+    """
+    falling = F.col("path").desc()
+    ordered = cut(paths.repartitionByRange(falling).sortWithinPartitions(falling).select("id", "parent", (F.size("path") - 1).alias("depth")))
+    placed = ordered.withColumn("place", F.monotonically_increasing_id())
+    ends = placed.groupBy(F.shiftright("place", 33).alias("task"), "depth").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).orderBy("task").collect()  # a row a task and depth
+    sizes: dict[int, int] = {}
+    for r in ends:
+        sizes[r["task"]] = sizes.get(r["task"], 0) + r["n"]
+    total, depths = sum(sizes.values()), max((r["depth"] for r in ends), default=0) + 1
+    begins, nearest, at, near = {}, {}, total, np.full(depths, total + 1)
+    for task in sorted(sizes):
+        begins[task], nearest[task] = at, near.copy()
+        for r in ends:
+            if r["task"] == task:
+                near[r["depth"]] = at - (r["place"] & (1 << 33) - 1)
+        at -= sizes[task]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, depth = batch.column("place").to_numpy(), batch.column("depth").to_numpy()
+            task = int(place[0]) >> 33
+            near = nearest[task].copy() if near is None else near
+            first = begins[task] - (place & (1 << 33) - 1)
+            last = np.empty_like(first)
+            for d in np.unique(depth):
+                own, ending = np.flatnonzero(depth == d), np.flatnonzero(depth <= d)
+                before = np.searchsorted(ending, own) - 1
+                last[own] = np.where(before < 0, near[: d + 1].min(), first[ending[before]]) - 1
+            for d in np.unique(depth):
+                near[d] = first[np.flatnonzero(depth == d)[-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("parent"), pa.array(first), pa.array(last), batch.column("depth").cast(pa.int64())], names=["id", "parent", "first", "last", "depth"])
+
+    return placed.mapInArrow(run, "id string, parent string, first long, last long, depth long")
 
 
 def siblings(rows: DataFrame) -> DataFrame:
@@ -59,12 +148,24 @@ def siblings(rows: DataFrame) -> DataFrame:
     return ordered.withColumn("task", F.spark_partition_id()).mapInArrow(run, "up string, id string, after string, begins boolean")
 
 
-def labelled(nodes: DataFrame) -> DataFrame:
-    """id, parent (null for a root), first, last, depth (0 for a root) of every node (id, parent) that has a root."""
+def known_parents(nodes: DataFrame) -> DataFrame:
+    """id, parent: one row a node, whose parent is another node or null."""
     own = nodes.filter("id IS NOT NULL").groupBy(F.col("id").cast("string").alias("id")).agg(F.min(F.col("parent").cast("string")).alias("parent"))
     known = own.select(F.col("id").alias("known"))
     parent = F.when(F.col("known").isNotNull() & (F.col("known") != F.col("id")), F.col("known"))
-    up = own.join(known, own["parent"] == known["known"], "left").select("id", parent.alias("parent")).select("id", F.coalesce(F.concat(F.lit("p"), "parent"), F.lit("r")).alias("up"))
+    return cut(own.join(known, own["parent"] == known["known"], "left").select("id", parent.alias("parent")))
+
+
+def labelled(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """id, parent (null for a root), first, last, depth (0 for a root) of every node (id, parent) that has a root."""
+    forest = known_parents(nodes)
+    paths = root_paths(forest, levels)
+    return walked(forest) if paths is None else by_paths(paths)
+
+
+def walked(forest: DataFrame) -> DataFrame:
+    """The same for nodes whose parents are known, at any depth."""
+    up = forest.select("id", F.coalesce(F.concat(F.lit("p"), "parent"), F.lit("r")).alias("up"))
     walk = cut(siblings(up))
     child = walk.filter("begins AND up != 'r'").select(F.expr("substring(up, 2)").alias("id"), F.col("id").alias("child"))
     enter = walk.select("id").join(child, "id", "left").select("id", F.lit(False).alias("leaves"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().alias("to_leaves"))
@@ -88,6 +189,17 @@ def labelled(nodes: DataFrame) -> DataFrame:
     return walk.select("id", above.alias("parent")).join(numbers, "id").select("id", "parent", "first", "last", "depth")
 
 
+def write_labels(nodes: DataFrame, path: str) -> DataFrame:
+    """The labels of nodes (id, parent), written so that a file holds a range of first, and read again."""
+    forest = known_parents(nodes)
+    paths = root_paths(forest, LEVELS)
+    if paths is None:
+        return write_sorted(walked(forest), path)
+    labels = by_paths(paths)
+    labels.write.parquet(path)  # they come in falling order
+    return labels.sparkSession.read.schema(labels.schema).parquet(path)
+
+
 def write_sorted(labels: DataFrame, path: str) -> DataFrame:
     """labels, written in the order of first and read again."""
     labels.repartitionByRange("first").sortWithinPartitions("first").write.parquet(path)

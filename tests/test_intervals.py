@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from quillgraph.operators import intervals
 
 
@@ -73,3 +75,19 @@ def test_no_nodes_and_only_cycles(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert intervals.labelled(empty).count() == 0
     assert intervals.labelled(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")).count() == 0
+
+
+@pytest.mark.parametrize("core", [0, 20_000])
+def test_sorted_paths_equal_the_walk(spark, monkeypatch, core):
+    nodes = spark.createDataFrame(forest(), "id string, parent string").repartition(5)
+    walked = {tuple(r) for r in intervals.labelled(nodes, 1).collect()}
+    monkeypatch.setattr(intervals, "siblings", None)  # no walk
+    paths = intervals.root_paths(intervals.known_parents(nodes), 1000, core)
+    assert {tuple(r) for r in intervals.by_paths(paths).collect()} == walked and len(walked) > 280
+
+
+def test_shallow_trees_are_not_walked(spark, tmp_path, monkeypatch):
+    rows = [(f"n{i}", f"n{i // 7}" if i else None) for i in range(3000)]
+    monkeypatch.setattr(intervals, "siblings", None)
+    table = intervals.write_labels(spark.createDataFrame(rows, "id string, parent string"), str(tmp_path / "t"))
+    assert {r["id"] for r in intervals.below(table, ["n3"]).collect()} == {i for i, p in plain(rows).items() if "n3" in p}
