@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,9 +246,44 @@ RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species", "s
 def rank_columns(table: DataFrame, ranks: list[str] = RANKS) -> DataFrame:
     """id and a column for each rank, with the name of what is above (or the node) there; table has rank and name.
 
-    A superkingdom is taken for a kingdom. Where a rank occurs twice above a node, the name of the topmost counts.
+    A superkingdom is taken for a kingdom. Where a rank occurs twice above a node, the name of the topmost counts. Nodes
+    pass in the order of first; of each rank the topmost node is kept until its range ends, so nothing is joined and a
+    task holds a name a rank. What is open where a task begins comes from one row a task and rank.
     """
-    marked = table.filter(F.col("name").isNotNull() & (F.col("name") != "")).withColumn("rank", F.when(F.col("rank") == "superkingdom", "kingdom").otherwise(F.col("rank"))).filter(F.col("rank").isin(ranks))
-    met = enclosing(table.select("id", "first"), marked.select("first", "last", "depth", "rank", "name"))
-    named = met.groupBy("id").agg(*(F.min(F.when(F.col("above_rank") == r, F.struct("above_depth", "above_name")))["above_name"].alias(r) for r in ranks))
-    return table.select("id").join(named, "id", "left")
+    named = F.when(F.col("name") != "", F.when(F.col("rank") == "superkingdom", "kingdom").otherwise(F.col("rank")))
+    ordered = cut(table.select("id", "first", "last", "depth", "name", named.alias("rank")).repartitionByRange("first").sortWithinPartitions("first", "name")).withColumn("task", F.spark_partition_id())
+    begins = {r["task"]: r["begin"] for r in ordered.groupBy("task").agg(F.min("first").alias("begin")).orderBy("task").collect()}  # a row a task
+    open_: dict[int, dict[str, tuple[str, int]]] = {}
+    if len(begins) > 1:
+        following = dict(zip(begins, [*list(begins.values())[1:], None], strict=True))
+        after = F.create_map(*(F.lit(x) for t, b in following.items() if b is not None for x in (t, b)))
+        reaching = ordered.filter(F.col("rank").isin(ranks)).withColumn("after", F.element_at(after, F.col("task"))).filter(F.col("last") >= F.col("after"))
+        later = F.filter(F.array(*(F.lit(b) for b in begins.values())), lambda b: (b > F.col("first")) & (b <= F.col("last")))
+        for r in reaching.withColumn("begin", F.explode(later)).groupBy("begin", "rank").agg(F.min(F.struct("depth", "name", "last")).alias("top")).collect():  # a row a task and rank
+            open_.setdefault(r["begin"], {})[r["rank"]] = (r["top"]["name"], r["top"]["last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[str, int]] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, last, rank, name = batch.column("first").to_numpy(), batch.column("last").to_numpy(), batch.column("rank"), batch.column("name")
+            held = dict(open_.get(begins[batch.column("task")[0].as_py()], {})) if held is None else held
+            columns = [batch.column("id")]
+            for r in ranks:
+                names, ends, starts = [None], [0], [0]
+                if r in held:
+                    names, ends = [held[r][0]], [held[r][1]]
+                at = np.flatnonzero(pc.fill_null(pc.equal(rank, r), False).to_numpy(zero_copy_only=False))
+                for i, f, to in zip(at.tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                    if f > ends[-1]:
+                        names.append(name[i].as_py())
+                        ends.append(to)
+                        starts.append(f)
+                if names[-1] is not None:
+                    held[r] = (names[-1], ends[-1])
+                which = np.searchsorted(starts, first, "right") - 1
+                columns.append(pa.array(names, pa.string()).take(pa.array(which, mask=np.array(ends)[which] < first)))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *ranks])
+
+    return ordered.mapInArrow(run, ", ".join(["id string", *(f"`{r}` string" for r in ranks)]))

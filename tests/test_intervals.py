@@ -91,3 +91,15 @@ def test_shallow_trees_are_not_walked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(intervals, "siblings", None)
     table = intervals.write_labels(spark.createDataFrame(rows, "id string, parent string"), str(tmp_path / "t"))
     assert {r["id"] for r in intervals.below(table, ["n3"]).collect()} == {i for i, p in plain(rows).items() if "n3" in p}
+
+
+def test_rank_columns_join_nothing(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "enclosing", None)
+    rows = [(f"n{i}", f"n{i // 3}" if i else None, ["kingdom", "genus", "no rank", "species"][i % 4], None if i % 11 == 0 else f"name {i}") for i in range(2000)]
+    nodes = spark.createDataFrame(rows, "id string, parent string, rank string, name string")
+    paths, of = plain([r[:2] for r in rows]), {r[0]: r[2:] for r in rows}
+    got = {r["id"]: r for r in intervals.rank_columns(intervals.labelled(nodes).drop("parent").join(nodes, "id")).collect()}
+    assert set(got) == set(paths)
+    for i, path in paths.items():
+        for rank in ("kingdom", "genus", "species"):
+            assert got[i][rank] == next((of[a][1] for a in path if of[a][0] == rank and of[a][1]), None)
