@@ -44,3 +44,15 @@ def test_a_hundred_thousand_names(spark):
     held = {r["name"]: r["name_id"] for r in names.collect()}
     want = {(r["text_id"], held[c]) for r in texts.collect() for k in range(len(r["text"])) for c in (r["text"][k : k + n] for n in range(10, 14)) if c in held}
     assert got == want
+
+
+def test_equal_names_are_sought_once(spark, monkeypatch):
+    """As many ids of a name as may be leave what is sought below the bound, and each id is found; an id of two names counts once."""
+    from quillgraph.operators import mentions as module
+
+    sought, real = [], module.anchored
+    monkeypatch.setattr(module, "anchored", lambda names: sought.append(names.count()) or real(names))
+    names = [(k, "large ring") for k in range(2500)] + [(k, "blue bolt") for k in range(2490, 2510)]
+    texts = [(1, "a large ring and a blue bolt"), (2, "enlarge rings"), (3, "large, ring")]
+    got = mentions(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(names, "name_id long, name string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, k) for k in range(2510)] + [(2, k) for k in range(2500)]) and sought == [2]
