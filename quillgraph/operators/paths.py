@@ -45,12 +45,53 @@ def _one(adjacent: DataFrame, node: str) -> DataFrame:
     return adjacent.sparkSession.createDataFrame([(node,)], "node string")
 
 
-def around(adjacent: DataFrame, start: str, depth: int) -> DataFrame:
-    """node, distance, kind (the least type of a last edge) of what is within depth steps, the start left out."""
-    frontier = seen = _one(adjacent, start)
+def touching(kinds: list[tuple[DataFrame, str, str]], nodes: DataFrame) -> DataFrame:
+    """src, dst, type of the edges from the given different nodes, in both directions, without an adjacency.
+
+    kinds: frames of edges (src, dst, type) with what the ids of their two ends begin with. Only kinds that some node
+    may be an end of are read. Few nodes become a filter, which goes below the joins that make the edges; more
+    are joined.
+    """
+    def met(edges: DataFrame, end: str, prefix: str) -> DataFrame:
+        own = nodes.select(F.col("node").alias(end)).filter(F.col(end).startswith(prefix))
+        few = own.limit(BROADCAST + 1).count() <= BROADCAST
+        return edges.join(F.broadcast(own) if few else own, end, "left_semi")
+
+    def listed(prefix: str) -> list[str]:
+        if prefix not in some:
+            some[prefix] = [r["node"] for r in nodes.select("node").filter(F.col("node").startswith(prefix)).limit(LISTED + 1).collect()]
+        return some[prefix]
+
+    some: dict[str, list[str]] = {}
+    out = nodes.sparkSession.createDataFrame([], "src string, dst string, type string")
+    turned = lambda f: f.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    for frame, a, b in kinds:
+        edges = frame.select("src", "dst", "type").filter("src != dst AND type IS NOT NULL")
+        here, there = listed(a), listed(b)
+        if len(here) <= LISTED and len(there) <= LISTED:
+            if here or there:
+                one = F.when(F.col("src").isin(here), F.struct("src", "dst", "type")) if here else F.lit(None)
+                two = F.when(F.col("dst").isin(there), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")) if there else F.lit(None)
+                kept = F.col("src").isin(here) | F.col("dst").isin(there)
+                out = out.unionByName(edges.filter(kept).select(F.inline(F.array_compact(F.array(*(x for x, l in ((one, here), (two, there)) if l))))))
+            continue
+        for end, prefix, some_of in (("src", a, here), ("dst", b, there)):
+            if some_of:
+                of = edges.filter(F.col(end).isin(some_of)) if len(some_of) <= LISTED else met(edges, end, prefix)
+                out = out.unionByName(of.select("src", "dst", "type") if end == "src" else turned(of))
+    return out
+
+
+def around(adjacent: DataFrame | list[tuple[DataFrame, str, str]], start: str, depth: int) -> DataFrame:
+    """node, distance, kind (the least type of a last edge) of what is within depth steps, the start left out.
+
+    adjacent is an adjacency, or frames of edges as for touching(), of which only what the search meets is read.
+    """
+    beside_ = touching if isinstance(adjacent, list) else beside
+    frontier = seen = _one(adjacent[0][0] if isinstance(adjacent, list) else adjacent, start)
     found = None
     for k in range(1, depth + 1):
-        reached = beside(adjacent, frontier).groupBy(F.col("dst").alias("node")).agg(F.min("type").alias("kind"))
+        reached = beside_(adjacent, frontier).groupBy(F.col("dst").alias("node")).agg(F.min("type").alias("kind"))
         frontier = cut(reached.join(seen, "node", "left_anti").select("node", F.lit(k).alias("distance"), "kind"))
         found = frontier if found is None else found.unionByName(frontier)
         seen = seen.unionByName(frontier.select("node"))

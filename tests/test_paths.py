@@ -100,3 +100,16 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], "src string, dst string, type string")
     assert components(none).count() == 0 and on_cycles(none).count() == 0
     assert paths.shortest_paths(paths.adjacency(none), "a", "b").count() == 0
+
+
+def test_around_reads_kinds_without_an_adjacency(spark, monkeypatch):
+    from quillgraph.operators import paths
+
+    edges = [(f"S:{i}", f"D:{i * 7 % 31}", "T") for i in range(60)] + [(f"S:{i}", f"S:{i // 2}", "UP") for i in range(60)] + [("S:1", "D:7", None), ("S:2", None, "T"), ("D:3", "D:3", "SELF")]
+    frame = spark.createDataFrame(edges, "src string, dst string, type string")
+    kinds = [(frame.filter("type = 'T' OR type IS NULL"), "S:", "D:"), (frame.filter("type = 'UP'"), "S:", "S:"), (frame.filter("type = 'SELF'"), "D:", ""), (frame.filter("type = 'none'"), "X:", "Y:")]
+    want = sorted(map(tuple, paths.around(paths.adjacency(frame), "S:3", 3).collect()))
+    for listed, broadcast in ((100, 200_000), (2, 200_000), (2, 3)):
+        monkeypatch.setattr(paths, "LISTED", listed)
+        monkeypatch.setattr(paths, "BROADCAST", broadcast)
+        assert sorted(map(tuple, paths.around(kinds, "S:3", 3).collect())) == want and len(want) > 10
