@@ -184,11 +184,13 @@ def j20_name_mentions(g: Graph) -> DataFrame:
 
 @query("""SELECT a.p_partkey AS a_id, b.p_partkey AS b_id FROM part a JOIN part b ON (a.p_name = b.p_name AND a.p_brand = b.p_brand) OR a.p_retailprice = b.p_retailprice WHERE a.p_partkey < b.p_partkey""")
 def j21_disjunctive_join(g: Graph) -> DataFrame:
-    """Either of two keys: two equi-joins, made distinct."""
+    """Either of two keys: an equi-join on each, the second one without the pairs of the first, so that nothing is made distinct."""
     a = g.table("part").select(F.col("p_partkey").alias("a_id"), "p_name", "p_brand", "p_retailprice")
-    b = a.withColumnRenamed("a_id", "b_id")
-    pairs = [a.join(b, on).filter("a_id < b_id").select("a_id", "b_id") for on in (["p_name", "p_brand"], ["p_retailprice"])]
-    return pairs[0].unionAll(pairs[1]).distinct()
+    b = a.select(F.col("a_id").alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in a.columns[1:]))
+    named = (F.col("p_name") == F.col("b_p_name")) & (F.col("p_brand") == F.col("b_p_brand"))
+    priced = (F.col("p_retailprice") == F.col("b_p_retailprice")) & ~F.coalesce(named, F.lit(False))
+    later = F.col("a_id") < F.col("b_id")
+    return a.join(b, named & later).unionAll(a.join(b, priced & later)).select("a_id", "b_id")
 
 
 @query("""SELECT x.taxon_id, x.name, p.pattern, min(CASE WHEN x.name = p.pattern THEN 0 WHEN x.parent_id = p.parent THEN 1 ELSE 2 END) AS level FROM taxon x

@@ -101,3 +101,25 @@ def test_manifest_has_every_label_and_type(found):
 
 def test_append_only_log_grows_with_the_table(found):
     assert sorted(event_id for _, event_id in found("t11_append_only")) == [18, 21, 24]
+
+
+def test_drug_counts_make_no_pairs(found, monkeypatch):
+    """Drugs and proteins of a brand and type are not paired to be counted."""
+    from quillgraph.plans.views import Graph
+
+    monkeypatch.setattr(Graph, "targets", None)
+    assert found("l13_get_drug") == []
+
+
+def test_drug_counts(spark, tables, tmp_path):
+    from shutil import copytree
+
+    at = str(copytree(tables, tmp_path / "t", ignore=lambda _, names: [n for n in names if n.startswith("part.")]))
+    part = [(1000, "a", "Brand#3", "PROMO", 46, 1.0), (1002, "b", "Brand#3", "PROMO", 7, 1.0), (1003, "c", "Brand#3", None, 50, 1.0), (1004, "d", "Brand#9", "PROMO", 50, 1.0)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    assert sorted(map(tuple, QUERIES["l13_get_drug"](spark, at).collect())) == [("G:1000", "a", 2, 1), ("G:1003", "c", 0, 0)]
+
+
+def test_either_key_makes_each_pair_once_without_a_shuffle_of_pairs(spark, tables, found):
+    assert found("j21_disjunctive_join") == [(1000, 1003), (1002, 1003), (1002, 1004), (1003, 1004)]
+    assert "Aggregate" not in QUERIES["j21_disjunctive_join"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
