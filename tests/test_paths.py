@@ -113,3 +113,41 @@ def test_around_reads_kinds_without_an_adjacency(spark, monkeypatch):
         monkeypatch.setattr(paths, "LISTED", listed)
         monkeypatch.setattr(paths, "BROADCAST", broadcast)
         assert sorted(map(tuple, paths.around(kinds, "S:3", 3).collect())) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_long_single_ways_take_few_rounds(spark, monkeypatch, turned):
+    """Chains of many lengths into a cycle, into a dead end and into a node with two ways out: no round a step."""
+    from quillgraph.operators import cycles
+
+    edges = [(i, i + 1) for i in range(700)] + [(701, 400)] + [(700, 701)]  # 400 to 701 is a cycle
+    edges += [(1000 + i, 1000 + i + 1) for i in range(333)] + [(2000 + i, 2000 + i + 1) for i in range(90)] + [(2090, 2000), (2090, 3000), (3000, 3001)]
+    rounds, real = [], cycles.stored
+    monkeypatch.setattr(cycles, "stored", lambda df: rounds.append(1) or real(df))
+    df = spark.createDataFrame([e[::-1] for e in edges] if turned else edges, "src long, dst long")
+    found, rest = cycles.single_ways(df)
+    got = {r.node: r.component for r in found.collect()}
+    assert len(rounds) < 20
+    if turned:  # the way into the first cycle makes a second way out of it
+        assert got == {i: 2090 for i in range(2000, 2091)}
+    else:
+        assert got == {i: 701 for i in range(400, 702)} and rest.count() == 91
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_where_all_have_one_way_out(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    n = 60
+    to = {i: min(i + 1, n - 1) if r.random() < 0.8 else r.randrange(n) for i in range(n)}
+    want = {}
+    for i in to:
+        at, seen = to[i], [i]
+        while at != i and len(seen) <= n:
+            seen.append(at)
+            at = to[at]
+        if at == i and len(seen) > 1:
+            want[i] = max(seen)
+    for edges in (list(to.items()), [(b, a) for a, b in to.items()]):
+        assert {c.node: c.component for c in components(spark.createDataFrame(edges, "src long, dst long")).collect()} == want
