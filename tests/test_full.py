@@ -123,3 +123,16 @@ def test_drug_counts(spark, tables, tmp_path):
 def test_either_key_makes_each_pair_once_without_a_shuffle_of_pairs(spark, tables, found):
     assert found("j21_disjunctive_join") == [(1000, 1003), (1002, 1003), (1002, 1004), (1003, 1004)]
     assert "Aggregate" not in QUERIES["j21_disjunctive_join"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_same_as_groups_no_pairs_of_nodes(spark, monkeypatch):
+    from quillgraph.operators import resolve
+
+    monkeypatch.setattr(resolve, "LIST", 2)
+    rows = [("L", f"n{i}", [f"t{i % 3}", f"u{i % 4}", None]) for i in range(20)] + [("M", "n1", ["t1"]), ("L", "n1", ["extra"]), (None, "n2", ["t1"]), ("L", None, ["t1"]), ("L", "bare", []), ("M", "n9", ["t1", "t1"])]
+    a, b = spark.createDataFrame(rows, "label string, id string, tokens array<string>"), spark.createDataFrame([*rows, ("L", "new", ["extra"])], "label string, id string, tokens array<string>")
+    own = lambda more: {(l, i): {t for m, j, ts in [*rows, *more] if (m, j) == (l, i) for t in ts if t} for l, i, _ in [*rows, *more] if l and i}  # noqa: E731, E741
+    want = [(l, i, j, "|".join(sorted(x & y))) for (l, i), x in own([]).items() for (m, j), y in own([("L", "new", ["extra"])]).items() if l == m and i != j and x & y]  # noqa: E741
+    made = resolve.same_as(a, b)
+    assert sorted(tuple(r) for r in made.collect()) == sorted(want) and len(want) > 100
+    assert not [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "a_id#" in line]
